@@ -39,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, blob: str) -> tuple[DataFrame, int]:
+    """df written, and about how many bytes its rows take in memory."""
+    table = written(df, name)
+    row = table.agg(F.count("*").alias("n"), F.sum(F.octet_length(blob)).alias("bytes")).first()
+    return table, 64 * row.n + (row.bytes or 0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a finished intermediate through Hadoop's file system, whatever store it is in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import input_bytes, order_id, small_batches
+from .shared import input_bytes, measured, order_id, small_batches
 from .textbytes import ngrams, slices, sliding_min, split_words
 
 ANCHOR = 9
+TAG = 2**24 - 1
 #: Windows that a task holds before it settles them and passes on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Marks are broadcast to the texts if they take no more bytes than this, else both are shuffled.
+BROADCAST_BYTES = 32_000_000
 
 
 def _windows(texts, window: int):
@@ -49,21 +52,25 @@ def _windows(texts, window: int):
         yield a, w, at, best, g
 
 
-def _ranges(batch_doc: np.ndarray, batch_hash: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Marked starts as one row for each document: sorted int32 starts in a binary."""
-    order = np.lexsort((start, batch_hash, batch_doc))
-    d, t, s = batch_doc[order], batch_hash[order], start[order].astype(np.int32)
-    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(d) else np.zeros(0, np.int64)
-    end = np.r_[cut[1:], len(d)]
-    blobs = [s[i:j].tobytes() for i, j in zip(cut, end)]
-    return _batch(d[cut], t[cut], blobs)
+def _runs(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Marked windows as one row for each document: runs of consecutive starts, as int32 pairs (start, length)."""
+    order = np.lexsort((pos, pos & TAG, doc))
+    d, t, s = doc[order], (pos & TAG)[order], (pos >> 24)[order]
+    other = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
+    head = np.flatnonzero(other | np.r_[True, s[1:] > s[:-1] + 1])
+    length = s[np.r_[head[1:], len(s)] - 1] - s[head] + 1
+    pairs = np.stack([s[head], length], 1).astype("<i4")
+    cut = np.flatnonzero(other[head])
+    blobs = [pairs[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(head)])]
+    return pa.RecordBatch.from_arrays([pa.array(d[head][cut], pa.int64()), pa.array(t[head][cut], pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "tag", "runs"])
 
 
-def _batch(doc, text_hash, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "th", "starts"])
+def _tag():
+    """24 bits of the text's hash, which tell rows apart that repeat a doc_id."""
+    return F.xxhash64("text").bitwiseAND(F.lit(TAG))
 
 
-_OCC = ["h1", "h2", "doc", "th", "start"]
+_OCC = ["h1", "h2", "doc", "pos"]
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -79,32 +86,32 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     bitmap = sketch.repeated_cells(docs.select("text"), anchors, bits)
 
     def settle(parts: list[list[np.ndarray]]):
-        h1, h2, doc, th, start = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, doc, h2, h1))
-        h1, h2, doc, th, start = (x[order] for x in (h1, h2, doc, th, start))
+        h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, doc, h2, h1))
+        h1, h2, doc, pos = (x[order] for x in (h1, h2, doc, pos))
         same = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        tie = (doc == doc[head]) & (start == start[head])  # not later than the first
-        go = ~same | (tie & np.r_[False, th[1:] != th[:-1]])
-        late = ~tie
-        yield pa.RecordBatch.from_arrays([pa.array(h1[go].view(np.int64)), pa.array(h2[go].view(np.int64)), pa.array(doc[go]), pa.array(th[go]), pa.array(start[go].astype(np.int32)), pa.nulls(int(go.sum()), pa.binary())], names=[*_OCC, "starts"])
+        late = (doc != doc[head]) | (pos >> 24 != pos[head] >> 24)
+        go = np.flatnonzero(~late & ~(same & np.r_[False, pos[1:] == pos[:-1]]))
+        for lo in range(0, len(go), 50_000):
+            g = go[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[g].view(np.int64)) for x in (h1, h2, doc, pos)), pa.nulls(len(g), pa.binary())], names=[*_OCC, "runs"])
         if late.any():
-            r = _ranges(doc[late], th[late], start[late])
-            n = r.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), r.column(0), r.column(1), pa.nulls(n, pa.int32()), r.column(2)], names=[*_OCC, "starts"])
+            r = _runs(doc[late], pos[late])
+            none = pa.nulls(r.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *r.columns], names=[*_OCC, "runs"])
 
     def occurrences(batches):
         held, n = [], 0
         seen = bitmap.value
         for batch in batches:
-            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for a, w, at, best, g in _windows(batch.column(2), window):
-                hit = sketch.is_repeated(seen, g[best], bits)
-                if not hit.any():
+                at = at[sketch.is_repeated(seen, g[best], bits)]
+                if not len(at):
                     continue
-                at = at[hit]
                 row = w.doc[at] + a
-                held.append([ngrams(w.hashes(0), window)[at], ngrams(w.hashes(1), window, 1)[at], ids[row], hashes[row], at - w.first[w.doc[at]]])
+                held.append([ngrams(w.hashes(0), window)[at], ngrams(w.hashes(1), window, 1)[at], ids[row], (at - w.first[w.doc[at]]) << 24 | tags[row]])
                 n += len(at)
                 if n >= HELD:
                     yield from settle(held)
@@ -116,7 +123,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         """Rows sorted by hash, document and start: all but the first of a hash are marked."""
         last = None
         for batch in batches:
-            h1, h2, doc, th, start = (batch.column(i).to_numpy() for i in range(5))
+            ready = batch.column(4).is_valid()
+            done = batch.filter(ready)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays(done.columns[2:], names=["doc", "tag", "runs"])
+            h1, h2, doc, pos = (c.to_numpy() for c in batch.filter(pc.invert(ready)).columns[:4])
             if not len(h1):
                 continue
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
@@ -124,62 +135,53 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 new[0] = False
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             head_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-            head_start = np.where(head >= 0, start[head], last[3] if last else 0)
-            late = (doc != head_doc) | (start != head_start)
+            head_start = np.where(head >= 0, pos[head] >> 24, last[3] if last else 0)
+            late = (doc != head_doc) | (pos >> 24 != head_start)
             last = (h1[-1], h2[-1], head_doc[-1], head_start[-1])
             if late.any():
-                yield _ranges(doc[late], th[late], start[late])
-
-    keyed = docs.select(order_id().alias("doc"), F.xxhash64("text").alias("th"), "text")
-    occ = keyed.mapInArrow(occurrences, "h1 long, h2 long, doc long, th long, start int, starts binary")
-    # One partition a hash for single windows; what is settled already is dealt by its document.
-    dealt = occ.repartition(F.when(F.col("starts").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "th"))).sortWithinPartitions(*_OCC)
-
-    def finish(batches):
-        def single():
-            for batch in batches:
-                ready = batch.column(5).is_valid()
-                done = batch.filter(ready)
-                if done.num_rows:
-                    held.append(_batch(done.column(2), done.column(3), done.column(5)))
-                yield batch.filter(pc.invert(ready))
-
-        held: list[pa.RecordBatch] = []
-        for out in later(single()):
-            yield out
-            while held:
-                yield held.pop()
-        while held:
-            yield held.pop()
-
-    marks = dealt.mapInArrow(finish, "doc long, th long, starts binary").groupBy("doc", "th").agg(F.collect_list("starts").alias("starts"))
-
-    width = window
+                yield _runs(doc[late], pos[late])
+
+    keyed = docs.select(order_id().alias("doc"), _tag().alias("tag"), "text")
+    occ = keyed.mapInArrow(occurrences, "h1 long, h2 long, doc long, pos long, runs binary")
+    # Single windows are dealt by their hash, what is settled already by its document.
+    dealt = occ.repartition(F.when(F.col("runs").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "pos"))).sortWithinPartitions(*_OCC)
+    found = dealt.mapInArrow(later, "doc long, tag long, runs binary").groupBy("doc", "tag").agg(F.collect_list("runs").alias("runs"))
+    def merge(batches):
+        """The runs of a document, which were found in tasks of many hashes, as few runs."""
+        for batch in batches:
+            out = []
+            for parts in batch.column(2).to_pylist():
+                pair = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
+                pair = pair[np.argsort(pair[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(pair.sum(1))
+                head = np.flatnonzero(np.r_[True, pair[1:, 0] > reach[:-1]])
+                out.append(np.stack([pair[head, 0], reach[np.r_[head[1:], len(pair)] - 1] - pair[head, 0]], 1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc", "tag", "runs"])
+
+    marks, size = measured(found.mapInArrow(merge, "doc long, tag long, runs binary"), "substring-marks", "runs")
 
     def cut(batches):
         for batch in batches:
-            texts, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             kept, n, gone = [], [], []
-            for text, marked in zip(texts, starts):
+            for text, marked in zip(texts, runs):
                 words = (text or "").encode().split()
                 n.append(len(words))
                 if marked:
+                    pair = np.frombuffer(marked, "<i4").reshape(-1, 2)
                     edge = np.zeros(len(words) + 1, np.int32)
-                    s = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in marked]))
-                    edge[s] += 1
-                    np.subtract.at(edge, s + width, 1)
+                    np.add.at(edge, pair[:, 0], 1)
+                    np.subtract.at(edge, pair[:, 0] + pair[:, 1] + (window - 1), 1)
                     stay = np.cumsum(edge[:-1]) == 0
-                    gone.append(int(len(words) - stay.sum()))
                     words = [words[i] for i in np.flatnonzero(stay)]
-                else:
-                    gone.append(0)
+                gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            rest = [batch.column(i) for i in range(2, batch.num_columns)]
+            rest = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([*rest, batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[2:], "text", "n_words", "n_removed", "kept_text"])
 
     # Own columns go in a struct, so that no name of the table can clash with ours.
-    packed = docs.select(order_id().alias("doc"), F.xxhash64("text").alias("th"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"))
-    joined = packed.join(marks, ["doc", "th"], "left").select("text", "starts", "own")
+    packed = docs.select(order_id().alias("doc"), _tag().alias("tag"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"))
+    joined = packed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["doc", "tag"], "left").select("text", "runs", "own")
     own = joined.schema["own"].dataType.simpleString()
     out = joined.mapInArrow(cut, f"own {own}, text string, n_words long, n_removed long, kept_text string")
     back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,7 +39,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
     got = _POWERS.get(which)
     if got is None or len(got[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
         base = _BASES[which]
         both = []
         for b in (base, pow(base, -1, 2**64)):
