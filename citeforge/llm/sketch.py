@@ -1,9 +1,10 @@
-"""A count-min sketch row in two bits a cell: never seen, seen once, seen more often.
+"""A count-min sketch in two bits a cell: never seen, seen once, seen more often.
 
 Each partition makes its own sketch of 64-bit hashes; partial sketches meet by block of cells and
 are merged, counts of two partials adding up and stopping at two. A cell collects every hash that
-falls into it, so the estimate is never below the true count: what was hashed twice is always told
-to be repeated, and something hashed once is told so only if another hash shares its cell. The
+falls into it, so the least of a hash's cells is never below its true count: what was hashed twice
+is always told to be repeated, and something hashed once is told so only if other hashes share all
+its cells. The
 sketch has at most 2**MAX_BITS cells, so its broadcast is bounded; over more data it only gets less
 selective, and the exact step behind it gets more to do.
 """
@@ -18,6 +19,8 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from .textbytes import mix
+
 MAX_BITS, MIN_BITS, BLOCKS = 28, 16, 256
 #: Hashes that a task holds before it emits a partial sketch.
 HELD = 16_000_000
@@ -27,8 +30,12 @@ def bits_for(input_bytes: int) -> int:
     return max(MIN_BITS, min(MAX_BITS, (2 * max(input_bytes, 1)).bit_length()))
 
 
-def cells(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.uint32)
+def cells(h: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
+    """The cells of each hash, one for each of depth hash functions."""
+    out = [(h >> np.uint64(64 - bits)).astype(np.uint32)]
+    for i in range(1, depth):
+        out.append((mix(h + np.uint64(i)) >> np.uint64(64 - bits)).astype(np.uint32))
+    return out
 
 
 def _partial(held: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
@@ -51,15 +58,15 @@ def _partial(held: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "once", "twice"])
 
 
-def repeated_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
+def repeated_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = 1) -> Broadcast:
     """The broadcast bitmap of cells that hashes of df's rows fall into more than once."""
 
     def part(batches):
         held, n = [], 0
         for batch in batches:
             for h in hashes(batch):
-                held.append(cells(h, bits))
-                n += len(h)
+                held += cells(h, bits, depth)
+                n += len(h) * depth
                 if n >= HELD:
                     yield from _partial(held, bits)
                     held, n = [], 0
@@ -90,6 +97,8 @@ def repeated_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
     return df.sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
-def is_repeated(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    c = cells(h, bits)
-    return (bitmap[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
+def is_repeated(bitmap: np.ndarray, h: np.ndarray, bits: int, depth: int = 1) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for c in cells(h, bits, depth):
+        out &= (bitmap[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
+    return out

@@ -3,9 +3,10 @@
 Method: count-min prefilter. Any window of ``window`` words contains ``ANCHOR`` + 1 or more grams of
 ``window - ANCHOR`` words; the smallest of them by hash, its anchor, depends on the window's words
 alone. So a window that occurs twice has an anchor that occurs at two places, and the merged
-partition sketches of anchors (:mod:`.sketch`) overestimate the count of every window. A second
-pass takes only windows whose anchor is estimated repeated, groups them exactly by 128 bits of
-hash, and marks all but the first. No repeated window is lost.
+partition sketches of anchors (:mod:`.sketch`) overestimate the count of every window. A sketch of
+the windows whose anchor is estimated repeated does so more closely. The last pass takes only
+windows estimated repeated by both, groups them exactly by 128 bits of hash, and marks all but the
+first. No repeated window is lost.
 
 A task first settles the windows it holds itself: of equal ones only the earliest goes on, the
 others are marked at once. So a window that occurs in a third of all rows is shuffled once a task.
@@ -29,6 +30,8 @@ from .textbytes import ngrams, slices, sliding_min, split_words
 
 ANCHOR = 9
 TAG = 2**24 - 1
+#: Hash functions of the sketches.
+DEPTH = 2
 #: Windows that a task holds before it settles them and passes on.
 HELD = 1_000_000
 #: Marks are broadcast to the texts if they take no more bytes than this, else both are shuffled.
@@ -83,7 +86,16 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         for _, _, _, best, g in _windows(batch.column(0), window):
             yield g[np.unique(best)]
 
-    bitmap = sketch.repeated_cells(docs.select("text"), anchors, bits)
+    bitmap = sketch.repeated_cells(docs.select("text"), anchors, bits, DEPTH)
+
+    def likely(texts):
+        """The windows whose anchor is estimated repeated, with their hashes."""
+        for a, w, at, best, g in _windows(texts, window):
+            at = at[sketch.is_repeated(bitmap.value, g[best], bits, DEPTH)]
+            if len(at):
+                yield a, w, at, ngrams(w.hashes(0), window)[at]
+
+    second = sketch.repeated_cells(docs.select("text"), lambda batch: (h for *_, h in likely(batch.column(0))), bits, DEPTH)
 
     def settle(parts: list[list[np.ndarray]]):
         h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
@@ -103,15 +115,16 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def occurrences(batches):
         held, n = [], 0
-        seen = bitmap.value
+        seen = second.value
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, w, at, best, g in _windows(batch.column(2), window):
-                at = at[sketch.is_repeated(seen, g[best], bits)]
+            for a, w, at, h in likely(batch.column(2)):
+                hit = sketch.is_repeated(seen, h, bits, DEPTH)
+                at, h = at[hit], h[hit]
                 if not len(at):
                     continue
                 row = w.doc[at] + a
-                held.append([ngrams(w.hashes(0), window)[at], ngrams(w.hashes(1), window, 1)[at], ids[row], (at - w.first[w.doc[at]]) << 24 | tags[row]])
+                held.append([h, ngrams(w.hashes(1), window, 1)[at], ids[row], (at - w.first[w.doc[at]]) << 24 | tags[row]])
                 n += len(at)
                 if n >= HELD:
                     yield from settle(held)
