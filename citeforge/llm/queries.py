@@ -47,7 +47,35 @@ def op9_token_binary(spark, sf_dir):
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_url_bloom_cascade(spark, sf_dir):
+    from .urlfilter import judge
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_block_topk(spark, sf_dir):
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op1_mix_entropy(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality_votes(spark, sf_dir):
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 QUERIES = {
+    "op1_mix_entropy": op1_mix_entropy,
+    "op7_quality_votes": op7_quality_votes,
+    "op3_url_bloom_cascade": op3_url_bloom_cascade,
+    "op10_block_topk": op10_block_topk,
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
@@ -55,4 +83,25 @@ QUERIES = {
 }
 
 #: What DuckDB can run over whole tables; the other queries are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_bloom_cascade": r"""
+        WITH u AS (
+            SELECT page_id,
+                translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        hit AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+            FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN hit USING (page_id)""",
+    "op10_block_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
