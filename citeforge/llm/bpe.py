@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,12 +154,12 @@ def _digests(raw_ids: bytes, vocabulary: list[bytes]) -> tuple[int, str, str]:
     return len(raw_ids) // 4, hashlib.sha256(raw_ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-_OUT = "key long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_OUT = "key long, doc_ids array<long>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _finished(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.nulls(0, k) for k in kinds], names=["key", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.nulls(0, k) for k in kinds], names=["key", "doc_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -177,7 +178,7 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     bits = sketch.bits_for(input_bytes(docs))
 
     def hashes(batch):
-        for *_, hi, _ in _chunks(batch.column(0)):
+        for *_, hi, _ in _chunks(pc.fill_null(batch.column(0), "").dictionary_encode().dictionary):
             yield mix(hi)
 
     bitmap = sketch.repeated_cells(docs.select("text"), hashes, bits)
@@ -187,8 +188,15 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
         e, vocabulary = encoder(path)
         seen = bitmap.value
         for batch in batches:
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, data, base, ends, hi, lo in _chunks(batch.column(2)):
+            # Equal texts of a batch, such as the copies that a mix makes, are one text with several documents.
+            coded_texts = pc.fill_null(batch.column(2), "").dictionary_encode()
+            which = coded_texts.indices.to_numpy()
+            order = np.argsort(which, kind="stable")
+            first = np.searchsorted(which[order], np.arange(len(coded_texts.dictionary) + 1))
+            all_ids = batch.column(1).take(pa.array(order)).to_pylist()
+            ids = [all_ids[i:j] for i, j in zip(first[:-1], first[1:])]
+            keys = batch.column(0).to_numpy()[order[first[:-1]]].tolist()
+            for a, data, base, ends, hi, lo in _chunks(coded_texts.dictionary):
                 shared = sketch.is_repeated(seen, mix(hi), bits)
                 at, jobs, view = 0, [], memoryview(data)
                 for i, e_i in enumerate(ends):
@@ -205,7 +213,7 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                 rows = []
                 for i, pos, d1, d2, text, later in jobs:
                     raw = None if later else next(coded)
-                    head = (keys[a + i], ids[a + i])
+                    head = (keys[a + i], ids[a + i] if pos <= 0 else None)
                     if pos < 0:
                         rows.append((*head, -1, None, None, *_digests(raw, vocabulary), raw if with_ids else None, None))
                     else:
@@ -214,7 +222,7 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _LOCAL)], names=_LOCAL_NAMES)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(keyed.mapInArrow(local, "key long, doc_id long, pos int, d1 long, d2 long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, text string"), "bpe-chunks")
+    rows = written(keyed.mapInArrow(local, "key long, doc_ids array<long>, pos int, d1 long, d2 long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, text string"), "bpe-chunks")
 
     def encode_shared(batches):
         e, _ = encoder(path)
@@ -223,10 +231,10 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["d1", "d2", "coded"])
 
     shared = rows.where("text is not null").groupBy("d1", "d2").agg(F.first("text").alias("text")).mapInArrow(encode_shared, "d1 long, d2 long, coded binary")
-    waiting = rows.where("pos >= 0").select("key", "doc_id", "pos", "d1", "d2", "ids")
-    mine = waiting.where("d1 is null").select("key", "doc_id", "pos", "ids")
-    theirs = waiting.where("d1 is not null").join(shared, ["d1", "d2"]).select("key", "doc_id", "pos", F.col("coded").alias("ids"))
-    whole = mine.unionByName(theirs).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "ids"))).getField("ids").alias("parts"))
+    waiting = rows.where("pos >= 0").select("key", "doc_ids", "pos", "d1", "d2", "ids")
+    mine = waiting.where("d1 is null").select("key", "doc_ids", "pos", "ids")
+    theirs = waiting.where("d1 is not null").join(shared, ["d1", "d2"]).select("key", "doc_ids", "pos", F.col("coded").alias("ids"))
+    whole = mine.unionByName(theirs).groupBy("key").agg(F.first("doc_ids", True).alias("doc_ids"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x.getField("ids")).alias("parts"))
 
     def assemble(batches):
         e, vocabulary = encoder(path)
@@ -240,10 +248,10 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(raws, pa.binary())], names=[*out.schema.names, "ids"])
 
     done = whole.mapInArrow(assemble, _OUT + ", ids binary")
-    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    columns = [F.explode("doc_ids").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"]
     every = rows.where("pos < 0").select(*columns, "ids").unionByName(done.select(*columns, "ids"))
-    return every if with_ids else every.select(*columns)
+    return every if with_ids else every.drop("ids")
 
 
-_LOCAL = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
-_LOCAL_NAMES = ["key", "doc_id", "pos", "d1", "d2", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "text"]
+_LOCAL = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
+_LOCAL_NAMES = ["key", "doc_ids", "pos", "d1", "d2", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "text"]

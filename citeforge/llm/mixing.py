@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import measured, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 200_000
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 STEPS = 16
+#: Copies are broadcast to the texts if they take no more bytes than this, else both are shuffled.
+BROADCAST_BYTES = 32_000_000
 _MICRO = 1_000_000
 
 
@@ -135,5 +137,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it has copies."""
     plan = mix(docs, **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("th").alias("mix_th")).agg(F.max("copies").alias("mix_copies"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.xxhash64("text") == F.col("mix_th")))
-    return joined.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    plan, size = measured(plan.where("mix_copies > 0"), "mix-copies", "mix_source")
+    side = F.broadcast(plan) if size <= BROADCAST_BYTES else plan
+    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.xxhash64("text") == F.col("mix_th")))
+    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])

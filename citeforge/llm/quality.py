@@ -22,7 +22,7 @@ from .shared import written
 _WHITE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-ITERATIONS = 25
+ITERATIONS = 100
 PRIOR = 20
 
 # (name, bad if, good if); neither: the rule abstains. Shares are of words unless named otherwise.
@@ -88,37 +88,48 @@ def _posteriors(share: list[float], chance: list[list[float]]) -> Column:
 
 
 def fit(voted: DataFrame) -> tuple[list[float], list[list[float]]]:
-    """EM over the counts of vote patterns.
+    """EM over the counts of vote patterns, which Spark counts over all documents.
 
     Class 0 is good, and each rule has a class of bad documents of its kind, since kinds of bad text
     exclude each other and one class for all would have to explain why most rules don't fire on it.
+    What is iterated over is the table of patterns, whose size does not depend on the documents'.
     """
     names = [r[0] for r in RULES]
-    kinds = len(names) + 1
-    table = written(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
-    fired = sum((F.when(F.col(v) == -1, 1).otherwise(0) for v in names), F.lit(0))
-    p = F.array(F.when(fired > 0, 0.05).otherwise(0.98), *[F.when(F.col(v) == -1, F.lit(0.95) / fired).when(fired > 0, 0.0).otherwise(0.02 / len(names)) for v in names])
-    share, chance, last = [1.0 / kinds] * kinds, [[0.5] * len(names) for _ in range(kinds)], None
-    total_docs = table.agg(F.sum("n")).first()[0] or 0
-    before = lambda k, j: (1, PRIOR + total_docs) if k == 0 else (PRIOR, 1) if j == k - 1 else (1, 1)
+    kinds, rules = len(names) + 1, range(len(names))
+    table = [(tuple(r[v] for v in names), r.n) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    table.sort()  # sums in one order, so that reruns agree
+    total = sum(n for _, n in table)
+    weight = []
+    for votes_, _ in table:
+        fired = votes_.count(-1)
+        w = [0.05 if fired else 0.98, *[0.95 / fired if v == -1 else 0.0 if fired else 0.02 / len(names) for v in votes_]]
+        weight.append([x / sum(w) for x in w])
+    # Imagined votes keep estimates inside (0, 1) and say which class is which. Good documents get as
+    # many good votes as there are documents: a rule that fires alone can't be told from the votes to
+    # be right or wrong, and stays trusted unless other rules contradict it. A class of bad ones gets
+    # PRIOR votes against by its own rule, and one each way by the others.
+    against = [[PRIOR if k == j + 1 else 1 for j in rules] for k in range(kinds)]
+    for_it = [[PRIOR + total if k == 0 else 1 for _ in rules] for k in range(kinds)]
+    share, chance = [1.0 / kinds] * kinds, [[0.5] * len(names) for _ in range(kinds)]
     for _ in range(ITERATIONS):
-        # Weights in whole millionths, so that sums don't depend on order.
-        total = "aggregate(p, 0D, (a, x) -> a + x)"
-        each = table.withColumn("p", p).select("n", F.array(*names).alias("votes"), F.posexplode(F.expr(f"transform(p, x -> x / {total})")).alias("k", "w"))
-        long = each.select("k", F.round(F.col("w") * F.col("n") * F.lit(1e6)).cast("decimal(38,0)").alias("w"), F.posexplode("votes").alias("j", "vote"))
-        got = {(r.k, r.j, r.vote): float(r.w) / 1e6 for r in long.groupBy("k", "j", "vote").agg(F.sum("w").alias("w")).collect()}
-        if not got:
+        mass = [1.0] * kinds
+        bad, good = [list(map(float, x)) for x in against], [list(map(float, x)) for x in for_it]
+        for (votes_, n), w in zip(table, weight):
+            for k in range(kinds):
+                mass[k] += n * w[k]
+                for j in rules:
+                    if votes_[j] == -1:
+                        bad[k][j] += n * w[k]
+                    elif votes_[j] == 1:
+                        good[k][j] += n * w[k]
+        new = [m / sum(mass) for m in mass]
+        chance = [[bad[k][j] / (bad[k][j] + good[k][j]) for j in rules] for k in range(kinds)]
+        moved, share = max(abs(x - y) for x, y in zip(new, share)), new
+        for i, (votes_, _) in enumerate(table):
+            w = [share[k] * math.prod(chance[k][j] if votes_[j] == -1 else 1 - chance[k][j] if votes_[j] == 1 else 1.0 for j in rules) for k in range(kinds)]
+            weight[i] = [x / sum(w) for x in w]
+        if moved < 1e-9:
             break
-        mass = [sum(got.get((k, 0, v), 0.0) for v in (-1, 0, 1)) for k in range(kinds)]
-        share = [(m + 1) / (sum(mass) + kinds) for m in mass]
-        # Imagined votes keep estimates inside (0, 1) and say which class is which. Good ones get as many good votes as
-        # there are documents: a rule that fires alone can't be told from the votes to be right or
-        # wrong, and so stays trusted unless other rules contradict it. A class of bad ones gets PRIOR against by its own rule, and one each way by the others.
-        chance = [[(got.get((k, j, -1), 0.0) + before(k, j)[0]) / (got.get((k, j, -1), 0.0) + got.get((k, j, 1), 0.0) + sum(before(k, j))) for j in range(len(names))] for k in range(kinds)]
-        p = _posteriors(share, chance)
-        if last and max(abs(a - b) for a, b in zip(share, last)) < 1e-7:
-            break
-        last = share
     return share, chance
 
 

@@ -71,7 +71,26 @@ def op7_quality_votes(spark, sf_dir):
     return judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op5_language_mixture(spark, sf_dir):
+    from .langid import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out(2, 4))
+    languages, model = train(docs.where(~F.coalesce("held_out", F.lit(False))))
+    return identify(docs.select("doc_id", "text", "held_out"), languages, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def op8_toxicity_kneser_ney(spark, sf_dir):
+    from .langid import held_out
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, sf_dir, "labels"), 1, 3)
+    return score(docs.withColumn("held_out", held_out(1, 3)), model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op5_language_mixture": op5_language_mixture,
+    "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op1_mix_entropy": op1_mix_entropy,
     "op7_quality_votes": op7_quality_votes,
     "op3_url_bloom_cascade": op3_url_bloom_cascade,
