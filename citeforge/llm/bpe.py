@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .encoding import PieceEncoder, byte_level_vocabulary
 from .shared import input_bytes, small_batches, written
-from .textbytes import mix, slices
+from .textbytes import mix, slices, tidy
 
 #: A cut falls after about every 2**CHUNK_BITS bytes, at LEAST bytes or more from the last, and not inside a character.
 CHUNK_BITS, LEAST, SEPARATOR = 10, 256, "<|endoftext|>"
@@ -222,7 +222,9 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _LOCAL)], names=_LOCAL_NAMES)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(keyed.mapInArrow(local, "key long, doc_ids array<long>, pos int, d1 long, d2 long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, text string"), "bpe-chunks")
+    rows = written(keyed.mapInArrow(tidy(local), "key long, doc_ids array<long>, pos int, d1 long, d2 long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, text string"), "bpe-chunks")
+
+    bitmap.unpersist()
 
     def encode_shared(batches):
         e, _ = encoder(path)
@@ -230,7 +232,7 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
             coded = e.encode(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["d1", "d2", "coded"])
 
-    shared = rows.where("text is not null").groupBy("d1", "d2").agg(F.first("text").alias("text")).mapInArrow(encode_shared, "d1 long, d2 long, coded binary")
+    shared = rows.where("text is not null").groupBy("d1", "d2").agg(F.first("text").alias("text")).mapInArrow(tidy(encode_shared), "d1 long, d2 long, coded binary")
     waiting = rows.where("pos >= 0").select("key", "doc_ids", "pos", "d1", "d2", "ids")
     mine = waiting.where("d1 is null").select("key", "doc_ids", "pos", "ids")
     theirs = waiting.where("d1 is not null").join(shared, ["d1", "d2"]).select("key", "doc_ids", "pos", F.col("coded").alias("ids"))
@@ -247,7 +249,7 @@ def _run(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
             out = _finished(rows)
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(raws, pa.binary())], names=[*out.schema.names, "ids"])
 
-    done = whole.mapInArrow(assemble, _OUT + ", ids binary")
+    done = whole.mapInArrow(tidy(assemble), _OUT + ", ids binary")
     columns = [F.explode("doc_ids").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"]
     every = rows.where("pos < 0").select(*columns, "ids").unionByName(done.select(*columns, "ids"))
     return every if with_ids else every.drop("ids")

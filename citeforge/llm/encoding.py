@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _ODD = re.compile(r" (?=\s|\Z)")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
+from .textbytes import tidy
 
 BUCKETS, ROUNDS, GROUP = 4096, 12, 128
 UNKNOWN = "und"
@@ -76,7 +77,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    rows = docs.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * BUCKETS + 1).collect()
+    rows = docs.where("lang is not null").select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * BUCKETS + 1).collect()
     languages = sorted({r.lang for r in rows})
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
                     sets.append([names[x] for x in np.argsort(-share[i], kind="stable") if share[i, x] > 1e-3])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=["own", "lang_pred", "score", "languages"])
 
-    out = packed.mapInArrow(predict, f"own {packed.schema['own'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
+    out = packed.mapInArrow(tidy(predict), f"own {packed.schema['own'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
     return out.select(*[F.col("own").getField(c).alias(c) for c in keep], "lang_pred", "score", "languages")
 
 

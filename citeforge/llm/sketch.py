@@ -19,11 +19,11 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .textbytes import mix
+from .textbytes import mix, tidy
 
 MAX_BITS, MIN_BITS, BLOCKS = 28, 16, 256
 #: Hashes that a task holds before it emits a partial sketch.
-HELD = 16_000_000
+HELD = 4_000_000
 
 
 def bits_for(input_bytes: int) -> int:
@@ -89,8 +89,8 @@ def repeated_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
         for b, (_, two) in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack.compress(two.tobytes())], pa.binary())], names=["block", "bits"])
 
-    partial = df.mapInArrow(part, "block int, once binary, twice binary")
-    merged = partial.repartition("block").mapInArrow(merge, "block int, bits binary")
+    partial = df.mapInArrow(tidy(part), "block int, once binary, twice binary")
+    merged = partial.repartition("block").mapInArrow(tidy(merge), "block int, bits binary")
     out = np.zeros((BLOCKS, (1 << bits) // BLOCKS // 8), np.uint8)
     for r in merged.collect():  # BLOCKS rows of 2**MAX_BITS / 8 bytes in all at most
         out[r.block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.bits)), np.uint8)

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .shared import input_bytes, measured, order_id, small_batches
-from .textbytes import ngrams, slices, sliding_min, split_words
+from .textbytes import ngrams, slices, sliding_min, split_words, tidy
 
 ANCHOR = 9
 TAG = 2**24 - 1
 #: Hash functions of the sketches.
 DEPTH = 2
 #: Windows that a task holds before it settles them and passes on.
-HELD = 1_000_000
+HELD = 500_000
 #: Marks are broadcast to the texts if they take no more bytes than this, else both are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -155,10 +155,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 yield _runs(doc[late], pos[late])
 
     keyed = docs.select(order_id().alias("doc"), _tag().alias("tag"), "text")
-    occ = keyed.mapInArrow(occurrences, "h1 long, h2 long, doc long, pos long, runs binary")
+    occ = keyed.mapInArrow(tidy(occurrences), "h1 long, h2 long, doc long, pos long, runs binary")
     # Single windows are dealt by their hash, what is settled already by its document.
     dealt = occ.repartition(F.when(F.col("runs").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "pos"))).sortWithinPartitions(*_OCC)
-    found = dealt.mapInArrow(later, "doc long, tag long, runs binary").groupBy("doc", "tag").agg(F.collect_list("runs").alias("runs"))
+    found = dealt.mapInArrow(tidy(later), "doc long, tag long, runs binary").groupBy("doc", "tag").agg(F.collect_list("runs").alias("runs"))
     def merge(batches):
         """The runs of a document, which were found in tasks of many hashes, as few runs."""
         for batch in batches:
@@ -171,7 +171,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 out.append(np.stack([pair[head, 0], reach[np.r_[head[1:], len(pair)] - 1] - pair[head, 0]], 1).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc", "tag", "runs"])
 
-    marks, size = measured(found.mapInArrow(merge, "doc long, tag long, runs binary"), "substring-marks", "runs")
+    marks, size = measured(found.mapInArrow(tidy(merge), "doc long, tag long, runs binary"), "substring-marks", "runs")
+
+    bitmap.unpersist()
+    second.unpersist()
 
     def cut(batches):
         for batch in batches:
@@ -196,6 +199,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     packed = docs.select(order_id().alias("doc"), _tag().alias("tag"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"))
     joined = packed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["doc", "tag"], "left").select("text", "runs", "own")
     own = joined.schema["own"].dataType.simpleString()
-    out = joined.mapInArrow(cut, f"own {own}, text string, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(tidy(cut), f"own {own}, text string, n_words long, n_removed long, kept_text string")
     back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     return out.select(*back, "n_words", "n_removed", "kept_text")

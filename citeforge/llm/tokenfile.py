@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .encoding import PieceEncoder
 from .shared import LAST_ID, input_bytes, new_path, order_id, small_batches
+from .textbytes import tidy
 
 # Fixed values of the seekable format.
 SEEK_FRAME, INDEX_FRAME, MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, b"\xb1\xea\x92\x8f", 0x80
@@ -116,7 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["shard"])
 
     ordered = docs.select(order_id().alias("doc"), "text").repartitionByRange(shards, "doc").sortWithinPartitions("doc", F.xxhash64("text"))
-    made = ordered.mapInArrow(shard, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    made = ordered.mapInArrow(tidy(shard), "shard binary").select(F.col("shard").cast("string").alias("value"))
     made.write.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
@@ -138,8 +139,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([n] * count, pa.int32()), pa.array(r.docs), pa.array(r.starts[:-1]), pa.array(np.diff(r.starts)), pa.array(crc, pa.int64())], names=["shard", "doc", "local", "n_tokens", "ids_crc32"])
 
     # One row a shard, so this window is over few rows whatever the number of documents.
-    before = files.mapInArrow(totals, "shard int, total long").withColumn("before", F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = files.mapInArrow(documents, "shard int, doc long, local long, n_tokens long, ids_crc32 long")
+    before = files.mapInArrow(tidy(totals), "shard int, total long").withColumn("before", F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = files.mapInArrow(tidy(documents), "shard int, doc long, local long, n_tokens long, ids_crc32 long")
     doc = F.when(F.col("doc") != LAST_ID, F.col("doc"))
     return rows.join(before, "shard").select(doc.alias("doc_id"), (F.col("local") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textbytes import tidy
+
 SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 1024
 
 
@@ -90,10 +92,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([dims], pa.int32()), pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["segment", "dims", "ids", "m"])
 
     made = "segment int, dims int, ids binary, m binary"
-    candidates = dealt.mapInArrow(pack, made).select(F.xxhash64("ids").alias("part"), "dims", "ids", "m")
+    candidates = dealt.mapInArrow(tidy(pack), made).select(F.xxhash64("ids").alias("part"), "dims", "ids", "m")
     queries = ints.where(F.col("id") % every == 0)
     blocks = max(1, -(-total // (every * QUERY_BLOCK)))
-    asked = queries.repartitionByRange(blocks, "id").select(F.spark_partition_id().alias("segment"), "id", "v").mapInArrow(pack, made).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.monotonically_increasing_id().alias("q"))
+    asked = queries.repartitionByRange(blocks, "id").select(F.spark_partition_id().alias("segment"), "id", "v").mapInArrow(tidy(pack), made).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.monotonically_increasing_id().alias("q"))
     # Each block of queries meets each segment: rows of a block and a segment, one pair a row.
     spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
     placed = candidates.withColumn("slot", F.expr(f"pmod(part, {segments})").cast("int"))
@@ -108,6 +110,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 a, b, s = search_segment(qid, q, cid, c, k)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": a, "vec_id": b, "score": s}), preserve_index=False)
 
-    found = pairs.select("q_ids", "q_dims", "q_m", "ids", "dims", "m").repartition(max(1, segments * blocks), F.xxhash64("q_ids", "ids")).mapInArrow(score, "query_id long, vec_id long, score long")
+    found = pairs.select("q_ids", "q_dims", "q_m", "ids", "dims", "m").repartition(max(1, segments * blocks), F.xxhash64("q_ids", "ids")).mapInArrow(tidy(score), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
