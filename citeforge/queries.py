@@ -1,4 +1,6 @@
-"""Registered queries over the reference's domain; filled by the modules of ``plans``."""
+"""Registered queries over the reference's domain."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import analysis, catalog
+
+QUERIES = catalog.QUERIES | analysis.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | analysis.ORACLE_SQL
