@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 _ODD = re.compile(r" (?=\s|\Z)")
 
 
@@ -33,14 +33,43 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.keep_space, self.dtype = keep_space, np.dtype(dtype)
+        # A word of letters below U+0130 is one match of either pattern, with its space or without, and a
+        # full stop or comma behind it another; normalisation only lower-cases it. So the library's BPE
+        # model can have it at once, in the characters that stand for its bytes.
+        self.shown = byte_characters()
+        self.lower = self.tokenizer.normalizer is not None
+        self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = self.first if not keep_space else {}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            parts = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+            got = self.words[word] = np.array([t.id for t in parts], self.dtype).tobytes()
+        return got
+
     def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in known]
+        new = []
+        for p in pieces.difference(known):
+            # A line feed between two other characters is a match of its own.
+            lines = p.split("\n")
+            value = b""
+            for i, line in enumerate(lines):
+                body, tail = (line[:-1], line[-1]) if line[-1:] in (".", ",") else (line, "")
+                if not body.isalpha() or max(body) >= "\u0130":
+                    new.append(p)
+                    break
+                if i:
+                    value += self._word("\n")
+                value += self._word(("" if i else before) + (body.lower() if self.lower else body))
+                if tail:
+                    value += self._word(tail)
+            else:
+                known[p] = value
         plain = [p for p in new if "<|" not in p]
         for p in new:
             if "<|" in p:
@@ -55,11 +84,13 @@ class PieceEncoder:
                 known[p] = parts[i + 1 : j].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > REMEMBERED:
+        if max(len(self.first), len(self.rest)) > REMEMBERED:
             self.first.clear()
             self.rest.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
         whole = [t if self.keep_space and _ODD.search(t) else None for t in texts]
-        cut = [t.split(" ") if w is None else () for t, w in zip(texts, whole)]
+        cut = [(t if self.keep_space else t.replace("\n", " ")).split(" ") if w is None else () for t, w in zip(texts, whole)]
         if self.keep_space:
             heads, tails = set(), set()
             for c in cut:
@@ -78,12 +109,16 @@ class PieceEncoder:
         return [b"".join(map(rest, c)) for c in cut]
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level tokenizer shows for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def byte_level_vocabulary(tokenizer) -> list[bytes]:
     """The bytes that each id of a byte-level vocabulary stands for; special tokens as their text."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown}
-    byte |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    byte = {c: b for b, c in byte_characters().items()}
+    special = set(tokenizer.get_added_tokens_decoder())
     out = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         out[i] = token.encode() if i in special else bytes(byte[c] for c in token)

@@ -110,8 +110,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
         e, out = _encoder(tokenizer), ShardWriter()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a in range(0, len(ids), 250):
-                for doc, raw in zip(ids[a : a + 250], e.encode(texts[a : a + 250])):
+            for a in range(0, len(ids), 500):
+                for doc, raw in zip(ids[a : a + 500], e.encode(texts[a : a + 500])):
                     out.add(doc, raw + end)
         if out.ids:
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], names=["shard"])
