@@ -93,3 +93,22 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, F.least(F.greatest(dot(a, b) / norm, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
+def author_overlap(a: Column, b: Column) -> Column:
+    """struct(score, matched, only_cited, only_candidate): shared authors over the shorter list, and sorted lists."""
+    a, b = (F.array_distinct(F.filter(x, lambda v: v.isNotNull())) for x in (a, b))
+    least = F.least(F.size(a), F.size(b))
+    score = F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+    return F.struct(score.alias("score"), F.sort_array(F.array_intersect(a, b)).alias("matched"), F.sort_array(F.array_except(a, b)).alias("only_cited"), F.sort_array(F.array_except(b, a)).alias("only_candidate"))
+
+
+def blend(base: Column, model: Column) -> Column:
+    """Rule and model confidence together; a sure rule that the model contradicts weighs more."""
+    a = F.when((F.abs(base - model) > 0.45) & (base >= 0.85), 0.9).otherwise(0.72)
+    return a * base + (1 - a) * model
+
+
+def sentences(x: Column, least: int = 25) -> Column:
+    """Sentences and lines of ``least`` characters or more; null has none."""
+    return F.filter(F.split(F.coalesce(x, F.lit("")), r"[.!?]+([ \t\n\r]+|$)|\n+"), lambda s: F.length(F.trim(s)) >= least)

@@ -47,3 +47,13 @@ def token_blocked_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFra
 def keep_best(rows: DataFrame, key: list[str], quality: list) -> DataFrame:
     """The first row of each key in the order of quality."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*quality))).where("_n = 1").drop("_n")
+
+
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """One page of rows in an order that has to be total."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows at random, the same ones for the same seed."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)

@@ -45,3 +45,18 @@ def coverage_accuracy(rows: DataFrame, levels=(0.5, 0.7, 0.9, 0.95, 1.0)) -> Dat
     want = total.withColumn("coverage", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("coverage"))).cast("long"))
     top = ranked.withColumn("l", F.explode(F.array(*[F.lit(x) for x in levels]))).join(F.broadcast(want), F.col("l") == F.col("coverage")).where("rank <= k")
     return top.groupBy("coverage", "k").agg(F.avg((F.col("y") == F.col("pred")).cast("int")).alias("accuracy"))
+
+
+def hashed_split(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``split``: 70 % train, 15 % validation, 15 % test, by a hash of the key alone, so equal keys stay together."""
+    h = F.substring(F.md5(F.col(key).cast("string")), 1, 4)
+    return rows.withColumn("split", F.when(h < "b333", "train").when(h < "d99a", "validation").otherwise("test"))
+
+
+def threshold_metrics(rows: DataFrame, thousandths: list[int]) -> DataFrame:
+    """(threshold, tp, fp, tn, fn, precision_, recall_, f1) of p against y, all thresholds in one aggregation."""
+    yes, p = F.col("y") == 1, F.round(F.col("p") * 1000)
+    counts = lambda t: F.struct(F.lit(t).alias("threshold"), F.count_if((p >= t) & yes).alias("tp"), F.count_if((p >= t) & ~yes).alias("fp"), F.count_if((p < t) & ~yes).alias("tn"), F.count_if((p < t) & yes).alias("fn"))
+    c = rows.agg(F.array(*[counts(t) for t in thousandths]).alias("c")).select(F.inline("c"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.expr(a), F.expr(b)), F.lit(0.0))
+    return c.select("*", share("tp", "tp + fp").alias("precision_"), share("tp", "tp + fn").alias("recall_"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))

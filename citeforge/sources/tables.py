@@ -48,13 +48,13 @@ ESSAYS = "essays AS (SELECT o_orderkey AS essay_id, o_custkey AS user_id, o_cust
 
 
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """(essay_id, line, label, confidence, is_overridden)."""
+    """(essay_id, line, key, label, confidence, is_overridden); key is what is cited."""
     l = table(spark, folder, "lineitem")  # noqa: E741
     label = F.when(F.col("l_returnflag") == "R", "suspected_hallucination").when(F.col("l_returnflag") == "A", "metadata_error").when(F.col("l_linestatus") == "F", "unresolved").otherwise("verified")
-    return l.select(F.col("l_orderkey").alias("essay_id"), F.col("l_linenumber").alias("line"), label.alias("label"), ((F.col("l_orderkey") * 7919 % 1000) / 1000.0).alias("confidence"), (F.col("l_linenumber") == 7).alias("is_overridden"))
+    return l.select(F.col("l_orderkey").alias("essay_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("key"), label.alias("label"), ((F.col("l_orderkey") * 7919 % 1000) / 1000.0).alias("confidence"), (F.col("l_linenumber") == 7).alias("is_overridden"))
 
 
-VERDICTS = """verdicts AS (SELECT l_orderkey AS essay_id, l_linenumber AS line,
+VERDICTS = """verdicts AS (SELECT l_orderkey AS essay_id, l_linenumber AS line, l_partkey AS key,
     CASE WHEN l_returnflag = 'R' THEN 'suspected_hallucination' WHEN l_returnflag = 'A' THEN 'metadata_error' WHEN l_linestatus = 'F' THEN 'unresolved' ELSE 'verified' END AS label,
     (l_orderkey * 7919 % 1000) / 1000.0 AS confidence, l_linenumber = 7 AS is_overridden FROM lineitem)"""
 
