@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-_WHITE = "\t\n\x0b\x0c\r "
+#: Between words, as the inside of a character class.
+WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # a power of two
 ITERATIONS = 100
 PRIOR = 20
 
@@ -42,33 +43,45 @@ RULES: tuple[tuple[str, str, str], ...] = (
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_exclaim, n_stops, n_stutter)."""
     text = F.coalesce("text", F.lit(""))
-    without = lambda c, chars: F.translate(c, chars, "")
-    words = F.filter(F.split(F.translate(text, _WHITE[:-1], " " * 5), " "), lambda w: w != F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: without(x, _WHITE) != F.lit(""))
-    one = docs.select("doc_id", text.alias("text"), without(text, _WHITE).alias("solid"), words.alias("words"), lines.alias("lines"))
-    n = F.size("words")
-    window = F.transform(F.sequence(F.lit(1), n - F.lit(WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    two = one.select(
+    words = F.array_remove(F.split(text, f"[{WHITE}]+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    one = docs.select(
         "doc_id",
-        n.cast("long").alias("n_words"),
-        F.length("solid").cast("long").alias("word_chars"),
-        (F.length("solid") - F.length(without(F.col("solid"), SYMBOLS))).cast("long").alias("n_symbols"),
+        words.alias("words"),
+        lines.alias("lines"),
+        count(f"[{SYMBOLS}]").alias("n_symbols"),
+        count("[A-Z]").alias("n_upper"),
+        count("!").alias("n_exclaim"),
+        count("[.?]").alias("n_stops"),
+    )
+    base = [
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.length("solid") - F.length(without(F.col("solid"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
-        (F.length("solid") - F.length(without(F.col("solid"), "!"))).cast("long").alias("n_exclaim"),
-        (F.length("solid") - F.length(without(F.col("solid"), ".?"))).cast("long").alias("n_stops"),
-        F.size(F.expr("filter(words, (w, i) -> i > 0 and w = words[greatest(i - 1, 0)])")).cast("long").alias("n_stutter"),
-        F.when(n >= WINDOW, window).alias("hashes"),
-    )
+        "n_upper",
+        "n_exclaim",
+        "n_stops",
+    ]
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_exclaim", "n_stops", "n_stutter"]
+    table = one.select("doc_id", *base, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    stutter = F.size(F.expr("filter(hashes, (h, i) -> i > 0 and h = hashes[greatest(i - 1, 0)])")).cast("long")
+    table = table.withColumn("n_stutter", stutter)
+    # Hashes of one word become those of two, of four and of WINDOW words.
+    width = 1
+    while width < WINDOW:
+        pairs = F.expr(f"zip_with(slice(hashes, 1, greatest(size(hashes) - {width}, 0)), slice(hashes, {width + 1}, size(hashes)), (x, y) -> xxhash64(x, y))")
+        table = table.select(*counts, pairs.alias("hashes"))
+        width *= 2
+    table = table.select(*counts, "hashes", (F.size("hashes") > F.size(F.array_distinct("hashes"))).alias("repeats"))
     # Windows by hash and place; those equal to a neighbour in this order occur more than once.
-    three = two.withColumn("sorted", F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    four = three.withColumn(
-        "places",
-        F.expr("array_sort(transform(filter(sorted, (x, k) -> (k > 0 and x.h = sorted[greatest(k - 1, 0)].h) or (k < size(sorted) - 1 and x.h = sorted[least(k + 1, size(sorted) - 1)].h)), x -> x.i))"),
-    )
+    table = table.select(*counts, F.when(F.col("repeats"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
+    places = F.expr("sort_array(transform(filter(sorted, (x, k) -> (k > 0 and x.h = sorted[greatest(k - 1, 0)].h) or (k < size(sorted) - 1 and x.h = sorted[least(k + 1, size(sorted) - 1)].h)), x -> x.i))")
+    table = table.select(*counts, places.alias("places"))
     covered = F.expr(f"case when places is null or size(places) = 0 then 0L else {WINDOW}L + aggregate(transform(places, (p, k) -> if(k = 0, 0, least({WINDOW}, p - places[greatest(k - 1, 0)]))), 0L, (a, x) -> a + x) end")
-    return four.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_upper", "n_exclaim", "n_stops", "n_stutter")
+    return table.select(*counts[:5], covered.alias("n_repeat_words"), *counts[5:])
 
 
 def votes() -> list[Column]:
