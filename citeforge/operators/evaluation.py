@@ -60,3 +60,17 @@ def threshold_metrics(rows: DataFrame, thousandths: list[int]) -> DataFrame:
     c = rows.agg(F.array(*[counts(t) for t in thousandths]).alias("c")).select(F.inline("c"))
     share = lambda a, b: F.coalesce(F.try_divide(F.expr(a), F.expr(b)), F.lit(0.0))
     return c.select("*", share("tp", "tp + fp").alias("precision_"), share("tp", "tp + fn").alias("recall_"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))
+
+
+def abstention_threshold(rows: DataFrame, target: float = 0.8) -> DataFrame:
+    """(threshold, coverage): the probability in [0, 1] that a share ``target`` of the rows reach, and the share that do.
+
+    A histogram finds the bucket that holds it, so that only that bucket's different values are put in order."""
+    bucket = F.floor(F.col("p") * 1000)
+    total = rows.agg(F.greatest(F.lit(1), F.bround(F.count("p") * F.lit(target))).alias("k"), F.count("p").alias("total"))
+    high_first = Window.orderBy(F.desc("bucket"))  # at most 1001 rows
+    hist = rows.where("p is not null").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(high_first))
+    held = hist.join(F.broadcast(total)).where("upto >= k").agg(F.max("bucket").alias("at"), F.max_by(F.col("upto") - F.col("c"), "bucket").alias("before"), F.max("k").alias("k"), F.max("total").alias("total"))
+    inside = rows.join(F.broadcast(held), bucket == F.col("at")).groupBy("p").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("k").alias("k"), F.first("total").alias("total"))
+    reach = inside.withColumn("reach", F.col("before") + F.sum("c").over(Window.orderBy(F.desc("p")))).where("reach >= k")
+    return reach.agg(F.max("p").alias("threshold"), F.max_by(F.col("reach") / F.col("total"), "p").alias("coverage"))

@@ -38,3 +38,41 @@ def inherit(occurrences: DataFrame, link: str, is_ibid: str) -> DataFrame:
 
 def uncited(references: DataFrame, links: DataFrame) -> DataFrame:
     return references.join(links, ["doc_id", "reference_id"], "left_anti")
+
+
+def by_title(occurrences: DataFrame, references: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, pos, reference_id, score): the reference of highest Jaccard over title words, the first of equal ones.
+
+    ``words`` are distinct. Pairs come from a join on shared words, so titles without one never meet."""
+    left = occurrences.select("doc_id", "pos", F.size("words").alias("n1"), F.explode("words").alias("word"))
+    right = references.select("doc_id", "reference_id", "order_index", F.size("words").alias("n2"), F.explode("words").alias("word"))
+    pairs = left.join(right, ["doc_id", "word"]).groupBy("doc_id", "pos", "reference_id", "order_index", "n1", "n2").agg(F.count("*").alias("both"))
+    scored = pairs.withColumn("score", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).where(F.col("score") >= least)
+    best = scored.groupBy("doc_id", "pos").agg(F.max_by(F.struct("reference_id", "score"), F.struct("score", -F.col("order_index"))).alias("best"))
+    return best.select("doc_id", "pos", "best.*")
+
+
+def cited_counts(references: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, reference_id, n, places): how many occurrences cite each reference, and which; 0 and '' for none."""
+    per = links.groupBy("doc_id", "reference_id").agg(F.collect_set("pos").alias("at"))
+    return references.select("doc_id", "reference_id").join(per, ["doc_id", "reference_id"], "left").select("doc_id", "reference_id", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.sort_array("at"), ","), F.lit("")).alias("places"))
+
+
+def link_summary(occurrences: DataFrame, links: DataFrame, methods: list[str]) -> DataFrame:
+    """(method, n): occurrences by the method that linked them, "missing" for none; methods without any count 0."""
+    one = links.groupBy("doc_id", "pos").agg(F.first("method").alias("method"))
+    per = occurrences.select("doc_id", "pos").join(one, ["doc_id", "pos"], "left").groupBy(F.coalesce("method", F.lit("missing")).alias("method")).agg(F.count("*").alias("n"))
+    every = occurrences.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in [*methods, "missing"]])).alias("method"))
+    return every.join(per, "method", "left").select("method", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def exact_duplicates(references: DataFrame) -> DataFrame:
+    """(doc_id, kind, key, n, representative): references of a document with one DOI; of the others, with one arXiv id.
+
+    The representative is the first in order."""
+    size = lambda *keys: F.count("*").over(Window.partitionBy("doc_id", *keys))
+    doi = references.withColumn("doi_group", F.when(F.col("doi").isNotNull() & (size("doi") > 1), F.col("doi").cast("string")))
+    rest = doi.withColumn("arxiv_left", F.when(F.col("doi_group").isNull(), F.col("arxiv_id").cast("string")))
+    kind = F.when(F.col("doi_group").isNotNull(), "doi").when(F.col("arxiv_left").isNotNull(), "arxiv")
+    keyed = rest.select("doc_id", kind.alias("kind"), F.coalesce("doi_group", "arxiv_left").alias("key"), "reference_id", "order_index").where("kind is not null")
+    return keyed.groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"), F.min_by("reference_id", "order_index").alias("representative")).where("n > 1")

@@ -1,6 +1,6 @@
 """Registered queries over the reference's domain."""
 
-from .plans import analysis, catalog, cohort
+from .plans import analysis, catalog, cohort, matching
 
-QUERIES = catalog.QUERIES | analysis.QUERIES | cohort.QUERIES
-ORACLE_SQL = catalog.ORACLE_SQL | analysis.ORACLE_SQL | cohort.ORACLE_SQL
+QUERIES = catalog.QUERIES | analysis.QUERIES | cohort.QUERIES | matching.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | analysis.ORACLE_SQL | cohort.ORACLE_SQL | matching.ORACLE_SQL

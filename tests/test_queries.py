@@ -22,7 +22,7 @@ def rows(columns, data):
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
@@ -38,3 +38,33 @@ def test_query_equals_sql(spark, name):
 def test_no_nested_loops_over_tables(spark):
     plan = QUERIES["link_cascade"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_title_ratios_against_table_of_subsequences(spark):
+    from citeforge.functions.ratios import normalize_title, title_ratios
+    from pyspark.sql import functions as F
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    pairs = [("Deep learning", "deep Learning!"), ("a b c d", "d c b a"), ("graph kernels for text", "kernels for large text corpora"), ("", "x"), (None, "x"), ("x", None), ("abc", "xyz"), ("été à Paris", "ete a paris")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", normalize_title(F.col("a")).alias("x"), normalize_title(F.col("b")).alias("y"), title_ratios(F.col("a"), F.col("b")).alias("r")).collect():
+        want = 2 * common(r.x, r.y) / (len(r.x) + len(r.y)) if r.x and r.y else 0.0
+        assert abs(r.r.ratio - want) < 1e-12 and 0 <= r.r.token_set <= 1
+        if r.a in ("Deep learning", "a b c d"):
+            assert r.r.token_set == 1.0
+    got = QUERIES["fuzzy_title_ratios"](spark, SF).collect()
+    assert got and all(0 <= r.ratio <= 1 for r in got)
+
+
+def test_abstention_with_ties_and_without_rows(spark):
+    from citeforge.operators.evaluation import abstention_threshold
+
+    df = spark.createDataFrame([(0.9,), (0.9,), (0.5,), (0.5,), (None,), (1.0,)], "p double")
+    assert [tuple(r) for r in abstention_threshold(df, 0.5).collect()] == [(0.9, 0.6)]
+    assert [tuple(r) for r in abstention_threshold(df.limit(0)).collect()] == [(None, None)]
