@@ -22,22 +22,81 @@ RULES: tuple[tuple[str, str, str, str], ...] = (
 DEFAULT = ("R-WEAK-EVIDENCE", "unresolved", "0.4")
 
 
-def decide() -> Column:
+_SURE_YEAR = "(year_distance <= 1 or year_distance >= 900)"
+_NOT_FOUND = "not has_candidate and substantive and clean_sources >= 2 and not known_author"
+_STYLE, _BOTH = "- style_penalty", "- style_penalty - provenance_penalty"
+
+
+def _own(rule: str) -> tuple[str, str, str, str]:
+    return next(r for r in RULES if r[0] == rule)
+
+
+# The chain with guards, resource and specialist rules. Besides the columns above it reads fake_url,
+# fabricated_doi, fake_author, future_year, known_author, url_status, clean_sources (registries that answered "none"),
+# substantive, kind (of a source that no registry indexes), best_source, linked, ambiguous, book, style_penalty and
+# provenance_penalty. Conditions that may be null stand for false.
+EVIDENCE_RULES: tuple[tuple[str, str, str, str], ...] = (
+    ("R-FAKE-URL", "fake_url", "suspected_hallucination", "0.95"),
+    ("R-FABRICATED-DOI", "fabricated_doi", "suspected_hallucination", "0.9"),
+    ("R-FAKE-AUTHOR", "fake_author and not (doi_exact_match and title_sim >= 0.85)", "suspected_hallucination", "0.95"),
+    ("R-FUTURE-YEAR-KNOWN-AUTHOR", "future_year and (known_author or (has_candidate and (doi_exact_match or title_sim >= 0.85)))", "metadata_error", "0.65"),
+    ("R-FUTURE-YEAR", "future_year", "suspected_hallucination", "0.95"),
+    ("R-DEAD-URL", "not has_candidate and url_status = 'dead_link' and not known_author", "suspected_hallucination", f"greatest(0, 0.85 {_STYLE})"),
+    ("R-WAYBACK-ARCHIVED", "not has_candidate and not has_doi and url_status = 'archived_alive'", "resource", "0.9"),
+    ("R-URL-RESOURCE", "not has_candidate and not has_doi and url_status in ('alive', 'restricted_alive')", "resource", "0.95"),
+    ("R-NONEXISTENT-DOI", f"{_NOT_FOUND} and has_doi", "suspected_hallucination", f"greatest(0, 0.85 {_STYLE})"),
+    ("R-NON-SCHOLARLY-RESOURCE", f"{_NOT_FOUND} and kind in ('web_resource', 'legal_or_standard')", "resource", "0.85"),
+    ("R-UNINDEXED-BOOK-OR-SOURCE", f"{_NOT_FOUND} and kind is not null", "unresolved", f"greatest(0, 0.55 {_STYLE})"),
+    ("R-NO-SCHOLARLY-RECORD", _NOT_FOUND, "suspected_hallucination", f"greatest(0, 0.8 {_STYLE})"),
+    _own("R-NO-CANDIDATE"),
+    ("R-DOI-TITLE-AUTHOR", _own("R-DOI-TITLE-AUTHOR")[1], "verified", f"greatest(0, least(0.95, 0.7 + 0.2 * title_sim + 0.1 * author_sim) {_BOTH})"),
+    ("R-RFC-VERIFIED", f"best_source = 'tech_standard' and title_sim >= 0.8 and {_SURE_YEAR}", "verified", f"greatest(0, 0.92 {_BOTH})"),
+    ("R-RFC-VERIFIED", "best_source = 'tech_standard' and title_sim >= 0.8", "metadata_error", f"greatest(0, 0.75 {_STYLE})"),
+    ("R-WIKIDATA-VERIFIED", f"best_source = 'wikidata_opencitations' and title_sim >= 0.8 and {_SURE_YEAR}", "verified", f"greatest(0, 0.9 {_BOTH})"),
+    ("R-WIKIDATA-VERIFIED", "best_source = 'wikidata_opencitations' and title_sim >= 0.8", "metadata_error", f"greatest(0, 0.75 {_STYLE})"),
+    ("R-HF-VERIFIED", f"best_source = 'huggingface' and title_sim >= 0.85 and {_SURE_YEAR}", "verified", f"greatest(0, 0.9 {_BOTH})"),
+    ("R-WELL-LINKED", "linked and title_sim >= 0.7 and author_sim >= 0.3 and year_distance <= 1", "verified", f"greatest(0, 0.85 {_BOTH})"),
+    ("R-WELL-LINKED-MODERATE", "linked and title_sim >= 0.5 and title_sim < 0.7 and author_sim >= 0.3 and year_distance <= 1 and (doi_exact_match or consensus >= 2)", "verified", f"greatest(0, 0.75 {_BOTH})"),
+    ("R-DOI-TITLE-MISMATCH", "not linked and " + _own("R-DOI-TITLE-MISMATCH")[1], "metadata_error", "0.7"),
+    _own("R-CONSENSUS-FULL"),
+    _own("R-CONSENSUS-PARTIAL"),
+    _own("R-SINGLE-SOURCE-VERIFIED"),
+    ("R-BOOK-EDITION-VERIFIED", "book and title_sim >= 0.95 and author_sim >= 0.9 and year_distance > 1 and year_distance <= 15", "verified", "0.78"),
+    _own("R-SINGLE-SOURCE-PARTIAL"),
+    ("R-AMBIGUOUS-MAPPING", "ambiguous", "unresolved", "least(0.5, title_sim)"),
+    ("R-NONEXISTENT-DOI", _own("R-NONEXISTENT-DOI")[1], "suspected_hallucination", "0.85"),
+    ("R-DEAD-URL", "url_status = 'dead_link' and title_sim < 0.6", "suspected_hallucination", "0.85"),
+    ("R-WAYBACK-ARCHIVED", "url_status = 'archived_alive' and not has_doi and title_sim < 0.6", "resource", "0.9"),
+    ("R-URL-RESOURCE", "url_status in ('alive', 'restricted_alive') and not has_doi and title_sim < 0.6", "resource", "0.95"),
+    _own("R-ABSTENTION-BORDER"),
+    _own("R-DOMAIN-EXCEPTION"),
+    ("R-KNOWN-AUTHOR-WEAK-EVIDENCE", "known_author", "metadata_error", "0.55"),
+    _own("R-HALLUCINATED-SOURCE"),
+)
+
+
+def decide(rules: tuple[tuple[str, str, str, str], ...] = RULES) -> Column:
     """struct(label, confidence, rule)."""
     chain = F
-    for rule, when, label, confidence in RULES:
+    for rule, when, label, confidence in rules:
         chain = chain.when(F.expr(when), F.struct(F.lit(label).alias("label"), F.expr(confidence).cast("double").alias("confidence"), F.lit(rule).alias("rule")))
     rule, label, confidence = DEFAULT
     return chain.otherwise(F.struct(F.lit(label).alias("label"), F.expr(confidence).cast("double").alias("confidence"), F.lit(rule).alias("rule")))
 
 
-def classify(features: DataFrame) -> DataFrame:
-    return features.withColumn("_d", decide()).select("*", "_d.label", "_d.confidence", "_d.rule").drop("_d")
+def classify(features: DataFrame, rules: tuple[tuple[str, str, str, str], ...] = RULES) -> DataFrame:
+    return features.withColumn("_d", decide(rules)).select("*", "_d.label", "_d.confidence", "_d.rule").drop("_d")
 
 
-def duck_case(what: int) -> str:
+def duck_case(what: int, rules: tuple[tuple[str, str, str, str], ...] = RULES) -> str:
     """The same chain for the oracle; what is 2 for the label, 3 for the confidence, 0 for the rule."""
     quoted = (lambda r: r[3]) if what == 3 else (lambda r: f"'{r[what]}'")
     rule, label, confidence = DEFAULT
     last = {0: f"'{rule}'", 2: f"'{label}'", 3: confidence}[what]
-    return "CASE " + " ".join(f"WHEN {r[1]} THEN {quoted(r)}" for r in RULES) + f" ELSE {last} END"
+    return "CASE " + " ".join(f"WHEN {r[1]} THEN {quoted(r)}" for r in rules) + f" ELSE {last} END"
+
+
+def demote_retracted(verdicts: DataFrame) -> DataFrame:
+    """A retracted paper is no verified or open one: its label becomes metadata_error; other labels stay."""
+    hit = F.coalesce("retracted", F.lit(False)) & F.col("label").isin("verified", "unresolved")
+    return verdicts.withColumn("label", F.when(hit, "metadata_error").otherwise(F.col("label")))

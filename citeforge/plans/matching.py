@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import title_ratios
 from ..operators import baselines, candidates, linking
 from ..operators import evaluation as ev
+from ..operators.rules import EVIDENCE_RULES, classify, demote_retracted, duck_case
 from ..sources.tables import ESSAYS, PAPERS, PREDICTIONS, essays, papers, predictions, table
 from .analysis import _LINKS, _cascade, _occurrences, _references
 
@@ -25,6 +26,16 @@ _CANDIDATES = [
 ]
 
 
+_EVIDENCE = [
+    "id", "id % 8 <> 0 AS has_candidate", "id % 3 <> 0 AS has_doi", "id % 6 = 1 AS doi_exact_match", "(id * 37 % 101) / 1e2 AS title_sim", "(id * 29 % 11) / 1e1 AS author_sim",
+    "CASE WHEN id % 17 = 0 THEN 999 ELSE id * 31 % 4 END AS year_distance", "id * 7 % 3 AS consensus", "id % 97 = 0 AS fake_url", "id % 89 = 1 AS fabricated_doi", "id % 41 = 2 AS fake_author",
+    "id % 37 = 3 AS future_year", "id % 10 = 4 AS known_author", "CASE id * 11 % 7 WHEN 0 THEN 'dead_link' WHEN 1 THEN 'archived_alive' WHEN 2 THEN 'alive' END AS url_status",
+    "id * 13 % 5 AS clean_sources", "id % 16 <> 8 AS substantive", "CASE id * 3 % 5 WHEN 0 THEN 'web_resource' WHEN 1 THEN 'book' END AS kind",
+    "CASE id * 19 % 9 WHEN 0 THEN 'tech_standard' WHEN 1 THEN 'wikidata_opencitations' WHEN 2 THEN 'huggingface' END AS best_source", "id % 4 = 1 AS linked", "id % 11 = 5 AS ambiguous", "id % 5 = 2 AS book",
+    "(id % 3) * 75 / 1e3 AS style_penalty", "(id % 2) * 5 / 1e2 AS provenance_penalty", "id % 23 = 0 AS retracted",
+]
+
+
 def _candidates(spark, d):
     three = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("seq")
     return papers(spark, d).select("*", three).selectExpr(*_CANDIDATES)
@@ -34,6 +45,11 @@ def baseline_labels(spark, d):
     return baselines.label(papers(spark, d).select("id").selectExpr(*_FEATURES)).select("id", *[n.lower() for n in baselines.BASELINES])
 
 
+def evidence_labels(spark, d):
+    got = classify(papers(spark, d).select("id").selectExpr(*_EVIDENCE), EVIDENCE_RULES)
+    return demote_retracted(got).select("id", "label", "confidence", "rule")
+
+
 def best_candidates(spark, d):
     return candidates.best_candidate(_candidates(spark, d))
 
@@ -80,12 +96,15 @@ def fuzzy_title_ratios(spark, d):
     return p.join(p.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id").select("id", title_ratios(F.col("title"), F.col("other")).alias("r")).select("id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (baseline_labels, best_candidates, fused_metadata, abstention_threshold, cited_counts, link_summary, title_links, exact_duplicate_references, class_essay_counts, fuzzy_title_ratios)}
+QUERIES = {f.__name__: f for f in (baseline_labels, evidence_labels, best_candidates, fused_metadata, abstention_threshold, cited_counts, link_summary, title_links, exact_duplicate_references, class_essay_counts, fuzzy_title_ratios)}
 
 _CAND = f"{PAPERS}, cand AS (SELECT {', '.join(_CANDIDATES)} FROM papers, range(0, 3) t(seq)), got AS (SELECT * FROM cand WHERE found)"
 
 ORACLE_SQL = {
     "baseline_labels": f"WITH f AS (SELECT {', '.join(_FEATURES)} FROM (SELECT doc_id AS id FROM documents)) SELECT id, {', '.join(f'{baselines.case(n)} AS {n.lower()}' for n in baselines.BASELINES)} FROM f",
+    "evidence_labels": f"""WITH f AS (SELECT {', '.join(_EVIDENCE)} FROM (SELECT doc_id AS id FROM documents)),
+        v AS (SELECT *, {duck_case(2, EVIDENCE_RULES)} AS label, CAST({duck_case(3, EVIDENCE_RULES)} AS DOUBLE) AS confidence, {duck_case(0, EVIDENCE_RULES)} AS rule FROM f)
+        SELECT id, CASE WHEN retracted AND label IN ('verified', 'unresolved') THEN 'metadata_error' ELSE label END AS label, confidence, rule FROM v""",
     "best_candidates": f"""WITH {_CAND}, s AS (SELECT *, 2 * doi_match::DOUBLE + title_sim::DOUBLE + 0.5::DOUBLE * author_sim + 0.2::DOUBLE * year_match::DOUBLE + 0.05::DOUBLE * confidence AS score FROM got)
         SELECT citation_id, seq, source_name, score FROM s QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY score DESC, seq) = 1""",
     "fused_metadata": f"WITH {_CAND} SELECT citation_id, arg_min(doi, seq) FILTER (doi IS NOT NULL) AS doi, arg_min(title, seq) FILTER (title IS NOT NULL) AS title, arg_min(year, seq) FILTER (year IS NOT NULL) AS year, count(*) AS n FROM got GROUP BY 1",
