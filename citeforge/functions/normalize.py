@@ -112,3 +112,12 @@ def blend(base: Column, model: Column) -> Column:
 def sentences(x: Column, least: int = 25) -> Column:
     """Sentences and lines of ``least`` characters or more; null has none."""
     return F.filter(F.split(F.coalesce(x, F.lit("")), r"[.!?]+([ \t\n\r]+|$)|\n+"), lambda s: F.length(F.trim(s)) >= least)
+
+
+def author_years(x: Column) -> Column:
+    """array of struct(author, year, suffix), one for each ``;``-part of "(Smith et al., 2020a; Lê, n.d.)".
+
+    Authors are lower case without "et al." and co-authors; a part without a year is left out."""
+    pattern = r"^[\s(]*(\p{L}[^,;()&]*?)(?:\s+et al\.?|\s+(?:&|and)\s[^,;()]*)?,?\s*\(?((?:19|20)\d{2}|n\.d\.)([a-z]?)"
+    part = lambda p: F.struct(F.lower(F.regexp_extract(p, pattern, 1)).alias("author"), F.regexp_extract(p, pattern, 2).alias("year"), F.regexp_extract(p, pattern, 3).alias("suffix"))
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), part), lambda s: s["year"] != F.lit(""))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import numeric_indices
+from ..functions.normalize import author_years, numeric_indices
 
 
 def by_number(occurrences: DataFrame, references: DataFrame) -> DataFrame:
@@ -76,3 +76,17 @@ def exact_duplicates(references: DataFrame) -> DataFrame:
     kind = F.when(F.col("doi_group").isNotNull(), "doi").when(F.col("arxiv_left").isNotNull(), "arxiv")
     keyed = rest.select("doc_id", kind.alias("kind"), F.coalesce("doi_group", "arxiv_left").alias("key"), "reference_id", "order_index").where("kind is not null")
     return keyed.groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"), F.min_by("reference_id", "order_index").alias("representative")).where("n > 1")
+
+
+def by_author_year(occurrences: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, pos, part, reference_id, status): each part of an occurrence by author and year, first with its suffix.
+
+    ``authors`` of references are lower-case last names; of equal references the first wins. A part that has
+    none is missing_reference if another part of its occurrence matched; else the occurrence gives no row."""
+    keyed = references.select("doc_id", "reference_id", "order_index", F.explode("authors").alias("author"), F.col("year").cast("string").alias("year"), F.coalesce("suffix", F.lit("")).alias("suffix"))
+    first = lambda *keys: keyed.groupBy("doc_id", *keys).agg(F.min_by("reference_id", "order_index").alias("_".join(keys)))
+    parts = occurrences.select("doc_id", "pos", F.posexplode(author_years(F.col("raw"))).alias("part", "key")).select("doc_id", "pos", "part", "key.*")
+    found = parts.join(first("author", "year", "suffix"), ["doc_id", "author", "year", "suffix"], "left").join(first("author", "year"), ["doc_id", "author", "year"], "left")
+    linked = found.withColumn("reference_id", F.coalesce(F.when(F.col("suffix") != "", F.col("author_year_suffix")), F.col("author_year")))
+    any_ = F.count("reference_id").over(Window.partitionBy("doc_id", "pos"))
+    return linked.withColumn("any", any_).where("any > 0").select("doc_id", "pos", "part", "reference_id", F.when(F.col("reference_id").isNull(), "missing_reference").otherwise("matched").alias("status"))

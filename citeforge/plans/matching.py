@@ -76,6 +76,18 @@ def title_links(spark, d):
     return linking.by_title(occurrences, _references(spark, d).withColumn("words", ten(F.col("order_index"))))
 
 
+def author_year_links(spark, d):
+    """Occurrences of two parts, such as "(Tran et al., 2001a; Lee, 2002)", against eight references."""
+    names = ["Smith", "Tran", "García", "Okafor", "Lee", "Nobody", "Unknown"]
+    name = lambda i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    n, pos = F.col("n_chars"), F.col("pos")
+    raw = F.concat(F.lit("("), name((n + pos) % 5), F.lit(" et al., "), (2000 + n % 3).cast("string"), F.element_at(F.array(F.lit(""), F.lit("a"), F.lit("b")), (pos % 3 + 1).cast("int")), F.lit("; "), name((n + 2 * pos + 1) % 7), F.lit(", "), (2000 + (n + 1) % 3).cast("string"), F.lit(")"))
+    occurrences = table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select("doc_id", "pos", raw.alias("raw"))
+    o = F.col("order_index")
+    references = _references(spark, d).select("doc_id", "reference_id", "order_index", F.array(F.lower(name(o % 5))).alias("authors"), (2000 + o % 3).alias("year"), F.when(o % 2 == 0, "a").otherwise("b").alias("suffix"))
+    return linking.by_author_year(occurrences, references)
+
+
 def exact_duplicate_references(spark, d):
     arxiv = (F.col("order_index") * (F.col("doc_id") % 5 + 1)) % 3
     return linking.exact_duplicates(_references(spark, d).withColumn("arxiv_id", arxiv))
@@ -96,7 +108,7 @@ def fuzzy_title_ratios(spark, d):
     return p.join(p.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id").select("id", title_ratios(F.col("title"), F.col("other")).alias("r")).select("id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (baseline_labels, evidence_labels, best_candidates, fused_metadata, abstention_threshold, cited_counts, link_summary, title_links, exact_duplicate_references, class_essay_counts, fuzzy_title_ratios)}
+QUERIES = {f.__name__: f for f in (baseline_labels, evidence_labels, best_candidates, fused_metadata, abstention_threshold, cited_counts, link_summary, title_links, author_year_links, exact_duplicate_references, class_essay_counts, fuzzy_title_ratios)}
 
 _CAND = f"{PAPERS}, cand AS (SELECT {', '.join(_CANDIDATES)} FROM papers, range(0, 3) t(seq)), got AS (SELECT * FROM cand WHERE found)"
 
@@ -117,6 +129,11 @@ ORACLE_SQL = {
         SELECT m.method, count(o.method) AS n FROM (VALUES ('doi'), ('numeric'), ('title'), ('missing')) m(method) LEFT JOIN o ON o.method = m.method GROUP BY 1""",
     "title_links": """WITH s AS (SELECT doc_id, pos, o AS reference_id, 10 - abs(n_chars % 9 + pos - o) AS b FROM documents, range(0, 4) t(pos), range(0, 8) u(o))
         SELECT doc_id, pos, reference_id, b / (20 - b) AS score FROM s WHERE b > 0 AND b / (20 - b) >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY b DESC, reference_id) = 1""",
+    "author_year_links": """WITH p AS (SELECT doc_id, pos, 0 AS part, (n_chars + pos) % 5 AS a, n_chars % 3 AS y, pos % 3 AS s FROM documents, range(0, 4) t(pos)
+            UNION ALL SELECT doc_id, pos, 1, (n_chars + 2 * pos + 1) % 7, (n_chars + 1) % 3, 0 FROM documents, range(0, 4) t(pos)),
+        r AS (SELECT o, o % 5 AS a, o % 3 AS y, o % 2 + 1 AS s FROM range(0, 8) t(o)), x AS (SELECT a, y, s, min(o) AS o FROM r GROUP BY ALL), l AS (SELECT a, y, min(o) AS o FROM r GROUP BY ALL),
+        m AS (SELECT doc_id, pos, part, coalesce(x.o, l.o) AS reference_id FROM p LEFT JOIN x ON x.a = p.a AND x.y = p.y AND x.s = p.s LEFT JOIN l ON l.a = p.a AND l.y = p.y)
+        SELECT *, CASE WHEN reference_id IS NULL THEN 'missing_reference' ELSE 'matched' END AS status FROM m QUALIFY count(reference_id) OVER (PARTITION BY doc_id, pos) > 0""",
     "exact_duplicate_references": """WITH r AS (SELECT doc_id, o, CASE WHEN o % 2 = 0 THEN o % 4 END AS doi, o * (doc_id % 5 + 1) % 3 AS arxiv FROM documents, range(0, 8) t(o)),
         g AS (SELECT doc_id, 'doi' AS kind, doi AS key, count(*) AS n, min(o) AS representative FROM r WHERE doi IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
         x AS (SELECT r.* FROM r WHERE NOT EXISTS (FROM g WHERE g.doc_id = r.doc_id AND g.key = r.doi))

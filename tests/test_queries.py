@@ -68,3 +68,12 @@ def test_abstention_with_ties_and_without_rows(spark):
     df = spark.createDataFrame([(0.9,), (0.9,), (0.5,), (0.5,), (None,), (1.0,)], "p double")
     assert [tuple(r) for r in abstention_threshold(df, 0.5).collect()] == [(0.9, 0.6)]
     assert [tuple(r) for r in abstention_threshold(df.limit(0)).collect()] == [(None, None)]
+
+
+def test_author_years_of_parts(spark):
+    from citeforge.functions.normalize import author_years
+    from pyspark.sql import functions as F
+
+    rows = [("(Smith et al., 2020a; Lê & Tran, 1999)",), ("Okafor (2001)",), ("(WHO, n.d.)",), ("no year",), ("",), (None,)]
+    got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame(rows, "raw string").select(author_years(F.col("raw"))).collect()]
+    assert got == [[("smith", "2020", "a"), ("lê", "1999", "")], [("okafor", "2001", "")], [("who", "n.d.", "")], [], [], []]
