@@ -2,7 +2,7 @@
 
 Each rule votes good, votes bad or abstains. The votes of all documents are counted by pattern, at
 most 3 ** len(RULES) of them, and expectation-maximisation over these counts estimates the share of
-good documents, and how often each rule is right about good ones and about each kind of bad ones. A
+good documents, how often each rule fires by mistake, and how often on each kind of bad ones. A
 document is kept if its posterior probability of being good is at least one half and it passes the
 base rules. So one vote against is no veto: it counts by how reliable its rule turned out.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,12 @@ from .shared import written
 WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # a power of two
-ITERATIONS = 100
+ITERATIONS = 3000
 PRIOR = 20
+#: Imagined documents of a kind on which another kind's rule has no cause to fire: votes that mistakes explain are left to them.
+SPARSE = 200
+#: Part of each rule's votes against that EM takes for mistakes at first.
+START = 0.1
 
 # (name, bad if, good if); neither: the rule abstains. Shares are of words unless named otherwise.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -105,45 +110,39 @@ def fit(voted: DataFrame) -> tuple[list[float], list[list[float]]]:
 
     Class 0 is good, and each rule has a class of bad documents of its kind, since kinds of bad text
     exclude each other and one class for all would have to explain why most rules don't fire on it.
+    A rule fires by mistake equally often in every class, good ones among them, and for cause only in
+    classes of bad documents. So a rule that fires alone and is as frequent among documents that other
+    rules find bad is noise; one that is rarer among them than alone marks a kind of its own.
     What is iterated over is the table of patterns, whose size does not depend on the documents'.
     """
     names = [r[0] for r in RULES]
-    kinds, rules = len(names) + 1, range(len(names))
     table = [(tuple(r[v] for v in names), r.n) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     table.sort()  # sums in one order, so that reruns agree
-    total = sum(n for _, n in table)
-    weight = []
-    for votes_, _ in table:
-        fired = votes_.count(-1)
-        w = [0.05 if fired else 0.98, *[0.95 / fired if v == -1 else 0.0 if fired else 0.02 / len(names) for v in votes_]]
-        weight.append([x / sum(w) for x in w])
-    # Imagined votes keep estimates inside (0, 1) and say which class is which. Good documents get as
-    # many good votes as there are documents: a rule that fires alone can't be told from the votes to
-    # be right or wrong, and stays trusted unless other rules contradict it. A class of bad ones gets
-    # PRIOR votes against by its own rule, and one each way by the others.
-    against = [[PRIOR if k == j + 1 else 1 for j in rules] for k in range(kinds)]
-    for_it = [[PRIOR + total if k == 0 else 1 for _ in rules] for k in range(kinds)]
-    share, chance = [1.0 / kinds] * kinds, [[0.5] * len(names) for _ in range(kinds)]
+    votes_ = np.array([v for v, _ in table], float).reshape(-1, len(names))
+    n = np.array([x for _, x in table], float)
+    against, cleared = (votes_ == -1).astype(float), (votes_ == 1).astype(float)
+    rate = (n @ against + 1) / (n @ (against + cleared) + 2)
+    mistake = START * rate
+    own = np.r_[np.zeros((1, len(names))), np.eye(len(names))] == 1
+    cause = np.where(own, 0.9, 0.05)
+    cause[0] = 0
+    share = np.minimum(np.r_[0, (1 - START) * rate], 0.5 / len(names))
+    share[0] = 1 - share.sum()
+    # Imagined votes, as many whatever the number of documents, keep estimates inside (0, 1) and say which class is which.
+    fires, silent = np.where(own, PRIOR, 1), np.where(own, 1, SPARSE)
     for _ in range(ITERATIONS):
-        mass = [1.0] * kinds
-        bad, good = [list(map(float, x)) for x in against], [list(map(float, x)) for x in for_it]
-        for (votes_, n), w in zip(table, weight):
-            for k in range(kinds):
-                mass[k] += n * w[k]
-                for j in rules:
-                    if votes_[j] == -1:
-                        bad[k][j] += n * w[k]
-                    elif votes_[j] == 1:
-                        good[k][j] += n * w[k]
-        new = [m / sum(mass) for m in mass]
-        chance = [[bad[k][j] / (bad[k][j] + good[k][j]) for j in rules] for k in range(kinds)]
-        moved, share = max(abs(x - y) for x, y in zip(new, share)), new
-        for i, (votes_, _) in enumerate(table):
-            w = [share[k] * math.prod(chance[k][j] if votes_[j] == -1 else 1 - chance[k][j] if votes_[j] == 1 else 1.0 for j in rules) for k in range(kinds)]
-            weight[i] = [x / sum(w) for x in w]
-        if moved < 1e-9:
+        chance = 1 - (1 - mistake) * (1 - cause)
+        logs = np.log(share) + against @ np.log(chance).T + cleared @ np.log(1 - chance).T
+        weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+        mass = weight / weight.sum(axis=1, keepdims=True) * n[:, None]
+        bad, every = mass.T @ against, mass.T @ (against + cleared)
+        old = np.r_[share, mistake]
+        cause, mistake = (bad * cause / chance + fires) / (every + fires + silent), ((bad * mistake / chance).sum(axis=0) + 1) / (every.sum(axis=0) + 1 + PRIOR)
+        cause[0] = 0
+        share = (mass.sum(axis=0) + 1) / (n.sum() + len(share))
+        if np.abs(np.r_[share, mistake] - old).max() < 1e-9:
             break
-    return share, chance
+    return share.tolist(), (1 - (1 - mistake) * (1 - cause)).tolist()
 
 
 def judge(docs: DataFrame) -> DataFrame:

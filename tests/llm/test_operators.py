@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,6 +169,22 @@ def test_quality(docs):
         assert r.base_failed == (len(w) < 20 or 100 * sum(cover) > 30 * len(w))
 
 
+def test_quality_outvotes_a_noisy_rule(spark):
+    from citeforge.llm.quality import RULES, _posteriors, fit
+
+    rng = np.random.default_rng(1)
+    bad = rng.random(20_000) < 0.1
+    fired = [rng.random(len(bad)) < 0.05] + [rng.random(len(bad)) < np.where(bad, 0.5, 0.005) for _ in RULES[1:]]
+    rows = Counter(map(tuple, np.where(np.stack(fired, 1), -1, 1).tolist()))
+    names = [r[0] for r in RULES]
+    voted = spark.createDataFrame([(*v, n) for v, n in rows.items()], ", ".join(f"{x} int" for x in [*names, "n"])).selectExpr(*names, "explode(sequence(1, n)) as i")
+    p = _posteriors(*fit(voted))
+    p = p.getItem(0) / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    one, several = [(-1,) + (1,) * 8], [(1,) * 5 + (-1,) * 4, (-1,) * 3 + (1,) * 6]
+    got = {tuple(r[x] for x in names): r.q for r in spark.createDataFrame(one + several, names).select(*names, p.alias("q")).collect()}
+    assert got[one[0]] >= 0.5 and all(got[v] < 0.5 for v in several)
+
+
 def test_language_and_toxicity(spark):
     from citeforge.llm.queries import QUERIES
 
