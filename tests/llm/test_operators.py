@@ -78,6 +78,20 @@ def test_jaccard(docs):
     assert kept == Counter(i for i in sets if group[i] == i)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    from citeforge.llm.jaccard import keep_one
+
+    rng = random.Random(7)
+    text = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    # Null ids: alone, copies of each other, a near copy of 1, empty; 2 repeats with other texts, one of them copied by 3.
+    rows = [(None, a), (None, b), (None, c), (None, c + " more"), (1, d), (None, d + " more"), (None, ""), (None, None), (2, e), (2, f), (2, f), (3, f), (4, text())]
+    got = Counter(map(tuple, keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    null_c = [r for r in got if r[0] is None and r[1] and r[1].startswith(c)]
+    assert len(null_c) == 1
+    assert got == Counter([(None, a), (None, b), null_c[0], (1, d), (None, ""), (None, None), (2, e), (2, f), rows[-1]])
+
+
 def test_bpe_and_token_file(spark, docs):
     from tokenizers import Tokenizer
 
