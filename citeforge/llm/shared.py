@@ -15,11 +15,13 @@ LAST_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named, as in tests."""
+    """The folder that all executors share; one of our own only where none is named and all run on this machine, as in tests."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         got = spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="citeforge-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -34,6 +36,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,10 +55,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small; a long text is a row like any other."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Whole texts pass in batches of at most so many rows and bytes, but for a text that is longer by itself.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 2_000_000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes to BATCHES where they are larger; they stay so, since plans that read them run later."""
+    for key, most in BATCHES.items():
+        got = spark.conf.get(key, None)
+        if got is None or int(got.rstrip("bB")) > most:
+            spark.conf.set(key, str(most))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -23,7 +23,7 @@ from .textbytes import mix, tidy
 
 MAX_BITS, MIN_BITS, BLOCKS = 28, 16, 256
 #: Hashes that a task holds before it emits a partial sketch.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def bits_for(input_bytes: int) -> int:

@@ -5,8 +5,8 @@ Method: count-min prefilter. Any window of ``window`` words contains ``ANCHOR``
 alone. So a window that occurs twice has an anchor that occurs at two places, and the merged
 partition sketches of anchors (:mod:`.sketch`) overestimate the count of every window. A sketch of
 the windows whose anchor is estimated repeated does so more closely. The last pass takes only
-windows estimated repeated by both, groups them exactly by 128 bits of hash, and marks all but the
-first. No repeated window is lost.
+windows that this second sketch estimates repeated, groups them exactly by 128 bits of hash, and
+marks all but the first. No repeated window is lost.
 
 A task first settles the windows it holds itself: of equal ones only the earliest goes on, the
 others are marked at once. So a window that occurs in a third of all rows is shuffled once a task.
@@ -33,26 +33,26 @@ TAG = 2**24 - 1
 #: Hash functions of the sketches.
 DEPTH = 2
 #: Windows that a task holds before it settles them and passes on.
-HELD = 500_000
+HELD = 250_000
 #: Marks are broadcast to the texts if they take no more bytes than this, else both are shuffled.
 BROADCAST_BYTES = 32_000_000
 
 
 def _windows(texts, window: int):
-    """Per slice: first row, words, start word, document and anchor hash of each window."""
-    gram = max(1, window - ANCHOR)
+    """Per slice: first row, words, and the start word of each window."""
     for a, _, data, base in slices(texts):
         w = split_words(data, base)
         n = len(w.doc) - window + 1
-        if n <= 0:
-            continue
-        at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
-        if not len(at):
-            continue
-        g = ngrams(w.hashes(), gram)
-        key = (g >> np.uint64(32) << np.uint64(32)) | np.arange(len(g), dtype=np.uint64)
-        best = (sliding_min(key, window - gram + 1)[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        yield a, w, at, best, g
+        if n > 0 and len(at := np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])):
+            yield a, w, at
+
+
+def _anchors(w, at: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams, and which of them is the anchor of each window; h: hashes of the words."""
+    gram = max(1, window - ANCHOR)
+    g = ngrams(h, gram)
+    key = (g >> np.uint64(32) << np.uint64(32)) | np.arange(len(g), dtype=np.uint64)
+    return g, (sliding_min(key, window - gram + 1)[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _runs(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -83,19 +83,23 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     bits = sketch.bits_for(input_bytes(docs))
 
     def anchors(batch):
-        for _, _, _, best, g in _windows(batch.column(0), window):
+        for _, w, at in _windows(batch.column(0), window):
+            g, best = _anchors(w, at, w.hashes(), window)
             yield g[np.unique(best)]
 
     bitmap = sketch.repeated_cells(docs.select("text"), anchors, bits, DEPTH)
 
-    def likely(texts):
-        """The windows whose anchor is estimated repeated, with their hashes."""
-        for a, w, at, best, g in _windows(texts, window):
-            at = at[sketch.is_repeated(bitmap.value, g[best], bits, DEPTH)]
+    def likely(batch):
+        """Hashes of the windows whose anchor is estimated repeated."""
+        for _, w, at in _windows(batch.column(0), window):
+            h = w.hashes()
+            g, best = _anchors(w, at, h, window)
+            at = at[sketch.is_repeated(bitmap.value, g, bits, DEPTH)[best]]
             if len(at):
-                yield a, w, at, ngrams(w.hashes(0), window)[at]
+                yield ngrams(h, window)[at]
 
-    second = sketch.repeated_cells(docs.select("text"), lambda batch: (h for *_, h in likely(batch.column(0))), bits, DEPTH)
+    second = sketch.repeated_cells(docs.select("text"), likely, bits, DEPTH)
+    bitmap.unpersist()
 
     def settle(parts: list[list[np.ndarray]]):
         h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
@@ -118,7 +122,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         seen = second.value
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, w, at, h in likely(batch.column(2)):
+            for a, w, at in _windows(batch.column(2), window):
+                h = ngrams(w.hashes(), window)[at]
                 hit = sketch.is_repeated(seen, h, bits, DEPTH)
                 at, h = at[hit], h[hit]
                 if not len(at):
@@ -173,7 +178,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     marks, size = measured(found.mapInArrow(tidy(merge), "doc long, tag long, runs binary"), "substring-marks", "runs")
 
-    bitmap.unpersist()
     second.unpersist()
 
     def cut(batches):
