@@ -54,9 +54,10 @@ def _micro_sum(x: Column) -> Column:
 
 
 def _with(base: DataFrame, rows: list[tuple], names: str) -> DataFrame:
-    """base with columns of its source's row; rows are as many as sources, so their size is checked."""
+    """base with columns of its source's row, which are broadcast unless the sources' names are too long in all."""
     side = base.sparkSession.createDataFrame(rows, "of_source string, " + names)
-    return base.join(F.broadcast(side), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    small = sum(100 + 4 * len(r[0] or "") for r in rows) <= BROADCAST_BYTES
+    return base.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
 def _newton(base: DataFrame, size: dict, target: dict) -> dict[str | None, float]:
@@ -135,9 +136,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it has copies."""
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("th").alias("mix_th")).agg(F.max("copies").alias("mix_copies"))
-    plan, size = measured(plan.where("mix_copies > 0"), "mix-copies", "mix_source")
-    side = F.broadcast(plan) if size <= BROADCAST_BYTES else plan
-    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.xxhash64("text") == F.col("mix_th")))
-    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row of docs as often as it has copies, with all its columns, whatever their names."""
+    plan = mix(docs, **options).groupBy("doc_id", "source", "th").agg(F.max("copies").alias("copies"))
+    plan, size = measured(plan.where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in plan.columns]), "mix-copies", "mix_source")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), F.xxhash64("text").alias("th"))
+    same = F.col("id").eqNullSafe(F.col("mix_doc_id")) & F.col("of").eqNullSafe(F.col("mix_source")) & (F.col("th") == F.col("mix_th"))
+    joined = rows.join(F.broadcast(plan) if size <= BROADCAST_BYTES else plan, same)
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("row.*")
