@@ -33,7 +33,7 @@ from .shared import input_bytes, small_batches, written
 from .textbytes import mix, slices, tidy
 
 #: A cut falls after about every 2**CHUNK_BITS bytes, at LEAST bytes or more from the last, and not inside a character.
-CHUNK_BITS, LEAST, SEPARATOR = 10, 256, "<|endoftext|>"
+CHUNK_BITS, LEAST = 10, 256
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -87,7 +87,7 @@ def _chunks(texts):
 
 @lru_cache(2)
 def encoder(path: str) -> tuple[PieceEncoder, list[bytes]]:
-    e = PieceEncoder(path, SEPARATOR, True, "<u4")
+    e = PieceEncoder(path, True, "<u4")
     return e, byte_level_vocabulary(e.tokenizer)
 
 

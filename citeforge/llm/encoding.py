@@ -2,111 +2,109 @@
 
 A text is cut before each space that a non-white character follows. The byte-level pattern starts a
 match at every such place, whatever stands before it, and the word pattern drops spaces; so the ids
-of the pieces, one after the other, are the ids of the text. Pieces are encoded by the library once
-per worker and generation of a bounded memory.
+of the pieces, one after the other, are the ids of the text. Pieces, and the matches that pieces
+consist of, are encoded by the library once per worker as long as they stay in a bounded memory.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Entries of a worker's memory before its older half is forgotten.
+REMEMBERED = 400_000
 _ODD = re.compile(r" (?=\s|\Z)")
+#: Characters below U+0130 but for controls and blanks: there normalisation only lower-cases, and
+#: Python's classes are those of the vocabularies' patterns.
+_RANGE = [chr(c) for c in range(0x21, 0x130) if not 0x7F <= c <= 0xA0]
+
+
+def _class(kind: str) -> str:
+    return re.escape("".join(c for c in _RANGE if unicodedata.category(c)[0] == kind))
+
+
+_LATIN = re.compile(f"[\n{re.escape(''.join(_RANGE))}]*")
+# The two vocabularies' patterns, over the characters of _RANGE, spaces and line feeds.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD_PATTERN = re.compile(f"{_CONTRACTIONS}|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+_BYTE_PATTERN = re.compile(f"{_CONTRACTIONS}| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^\\s{_class('L')}{_class('N')}]+|\\s+(?!\\S)|\\s+")
+
+
+class _Memory(dict):
+    """Makes what it is asked for, once as long as it is asked for again among the next ``limit`` entries."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def age(self) -> None:
+        if len(self) > self.limit // 2:
+            self.older = self.copy()
+            self.clear()
 
 
 class PieceEncoder:
     """Encodes batches of texts to little-endian ids of ``dtype``.
 
-    keep_space: the space before a piece belongs to it (byte-level); else spaces are dropped.
-    separator: a special token, put between pieces that are handed to the library together."""
+    keep_space: the space before a piece belongs to it (byte-level); else spaces are dropped."""
 
-    def __init__(self, path: str, separator: str, keep_space: bool, dtype: str):
+    def __init__(self, path: str, keep_space: bool, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-        self.keep_space, self.dtype = keep_space, np.dtype(dtype)
-        # A word of letters below U+0130 is one match of either pattern, with its space or without, and a
-        # full stop or comma behind it another; normalisation only lower-cases it. So the library's BPE
-        # model can have it at once, in the characters that stand for its bytes.
+        self.keep_space, self.code = keep_space, "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.shown = byte_characters()
-        self.lower = self.tokenizer.normalizer is not None
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = self.first if not keep_space else {}
+        self.matches = (_BYTE_PATTERN if keep_space else _WORD_PATTERN).findall
+        self.words = _Memory(self._word, REMEMBERED // 2)
+        self.first = _Memory(self._piece, REMEMBERED // 8 if keep_space else REMEMBERED)
+        self.rest = _Memory(lambda p: self._piece(" " + p), REMEMBERED) if keep_space else self.first
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _raw(self, text: str) -> bytes:
+        return array(self.code, self.ids(text)).tobytes()
+
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            parts = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
-            got = self.words[word] = np.array([t.id for t in parts], self.dtype).tobytes()
-        return got
+        """One match of the pattern: the library's BPE model has it at once, in the characters that stand for its bytes."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = []
-        for p in pieces.difference(known):
-            # A line feed between two other characters is a match of its own.
-            lines = p.split("\n")
-            value = b""
-            for i, line in enumerate(lines):
-                body, tail = (line[:-1], line[-1]) if line[-1:] in (".", ",") else (line, "")
-                if not body.isalpha() or max(body) >= "\u0130":
-                    new.append(p)
-                    break
-                if i:
-                    value += self._word("\n")
-                value += self._word(("" if i else before) + (body.lower() if self.lower else body))
-                if tail:
-                    value += self._word(tail)
-            else:
-                known[p] = value
-        plain = [p for p in new if "<|" not in p]
-        for p in new:
-            if "<|" in p:
-                known[p] = np.array(self.ids(before + p), self.dtype).tobytes()
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
-            got = np.array(self.ids(self.separator.join([before + p for p in some])), np.uint32)
-            at = np.flatnonzero(got == self.separator_id)
-            parts = got.astype(self.dtype)
-            edges = np.r_[-1, at, len(got)]
-            for p, i, j in zip(some, edges[:-1].tolist(), edges[1:].tolist()):
-                known[p] = parts[i + 1 : j].tobytes()
+    def _piece(self, piece: str) -> bytes:
+        body = piece[1:] if self.keep_space and piece[:1] == " " else piece
+        if not _LATIN.fullmatch(body) or "<|" in body:
+            return self._raw(piece)
+        if not self.keep_space:
+            piece = body.lower()
+        return self.words[piece] if body.isalpha() else b"".join(map(self.words.__getitem__, self.matches(piece)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if max(len(self.first), len(self.rest)) > REMEMBERED:
-            self.first.clear()
-            self.rest.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        whole = [t if self.keep_space and _ODD.search(t) else None for t in texts]
-        cut = [(t if self.keep_space else t.replace("\n", " ")).split(" ") if w is None else () for t, w in zip(texts, whole)]
-        if self.keep_space:
-            heads, tails = set(), set()
-            for c in cut:
-                if c:
-                    heads.add(c[0])
-                    tails.update(c[1:])
-            self._learn(self.first, heads, "")
-            self._learn(self.rest, tails, " ")
-            rest = self.rest.__getitem__
-            return [np.array(self.ids(w), self.dtype).tobytes() if w is not None else self.first[c[0]] + b"".join(map(rest, c[1:])) for w, c in zip(whole, cut)]
-        every: set[str] = set()
-        for c in cut:
-            every.update(c)
-        self._learn(self.rest, every, "")
-        rest = self.rest.__getitem__
-        return [b"".join(map(rest, c)) for c in cut]
+        for memory in (self.words, self.first, self.rest):
+            memory.age()
+        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
+        for text in texts:
+            if not self.keep_space:
+                out.append(b"".join(map(rest, text.replace("\n", " ").split(" "))))
+            elif _ODD.search(text):
+                out.append(self._raw(text))
+            else:
+                head, *tail = text.split(" ")
+                out.append(first(head) + b"".join(map(rest, tail)))
+        return out
 
 
 def byte_characters() -> dict[int, str]:

@@ -1,47 +1,58 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word bigram models, of toxic and of ordinary labelled documents, with interpolated Kneser-Ney
-smoothing: a bigram's discounted count, backed off to the class's continuation counts, backed off to
-continuation counts that both classes share and that come from all documents. A document's score
-follows from the difference of its log-likelihoods per word. Where neither class knows a word, both
-use the shared counts and the word says next to nothing, however rare it is. The same holds for
-expressions whose numbers of documents differ between the classes no more than by chance.
+smoothing. In class c, with n its counts of bigrams and D the discount,
 
-The class models are fitted on at most SAMPLE labelled rows of each class, those of smallest hash;
-three quarters of them teach counts and the rest, which the counts have not seen, fit the line that
-turns the difference into a probability. The shared counts cover all documents.
+    P(w | h) = max(n(h, w) - D, 0) / n(h) + L(h) * P(w)         L(h) = D * |{w: n(h, w) > 0}| / n(h)
+    P(w)     = max(k(w) - D, 0) / K       + D * V / K * S(w)    k(w) = |{h: n(h, w) > 0}|, K = sum of k
 
-A continuation count is the number of different words before a word, taken in each document and summed
-over documents, so that partial counts can be added up.
+where L is 1 for a context that the class lacks, V is the number of its words, and S is the shared
+distribution that both classes back off to: (occurrences of w in all documents + 1) / (all
+occurrences + words + 1), with 1 / (...) left for a word that no document has. So every bigram and
+word of either class counts, and rare ones are smoothed; where neither class has the bigram, its
+difference is that of L(h) and P(w).
+
+A text is told by the difference of the two log-likelihoods, normalised by length: over the whole
+text, and over its most toxic passage of PASSAGE words, since one insult in a long text is one. A
+line over these two and the logarithm of the length, fitted on labelled rows that the counts have
+not seen, gives the probability.
+
+Bounds: the class models are fitted on labelled rows of smallest hash, at most SAMPLE of each class
+and SAMPLE_BYTES of their texts, no text longer than LONGEST among them; three quarters teach counts
+and the rest the line, whose rows weigh as the class does among all labelled rows. So a model has at
+most SAMPLE_BYTES / 2 bigrams of each class. The shared counts are a written table of every word of
+all documents. Every text is scored whole.
 
 Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased. Defined results: null
-and empty texts get the score of a document without evidence; a null doc_id is never labelled; a
-doc_id that repeats counts as often as it occurs; labels that contradict each other count both ways;
-without labels of both classes every score is 0.
+and empty texts get the score of a text without evidence and length; a null doc_id or label is never
+learned from; a doc_id that repeats counts as often as it occurs; labels that contradict each other
+count both ways; without labels of both classes every score is 0; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 from .textbytes import LOWER, mix, slices, split_words, tidy
 
-SAMPLE = 20_000
-DISCOUNT = 0.75
-#: A word or bigram of fewer labelled documents than this is left to the shared counts.
-LEAST_DOCS = 5
+SAMPLE, SAMPLE_BYTES, LONGEST = 20_000, 8_000_000, 400_000
+DISCOUNT, PASSAGE = 4.0, 4
+#: Words that a task counts before it passes the counts on.
+HELD = 2_000_000
+#: Bits of the filter that keeps most bigrams that no class has from being looked up.
+FILTER_BITS = 24
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _words(texts):
-    """Per slice: first row, the words, their hashes, and the hash of each word with the one before (0: none)."""
+    """Per slice: first row, the words, their hashes, the hash of the word before each (0: none), and that of both."""
     for a, _, data, base in slices(texts):
         w = split_words(LOWER[data], base, _SEP)
         h = w.hashes()
@@ -51,19 +62,36 @@ def _words(texts):
         yield a, w, h, before, mix(h * np.uint64(3) + mix(before))
 
 
-def sample(labels: DataFrame, remainder: int, of: int) -> DataFrame:
-    """(doc_id, toxic, fold) of at most SAMPLE learning rows of each class; fold 0 is for calibration."""
-    use = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % of != remainder).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit("toxicity"), "doc_id").alias("h")).distinct()
-    # As many of either class: then both back off alike, and a word that neither knows says nothing.
-    size = {r.toxic: r.n for r in use.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    most = min(SAMPLE, size.get(1, 0), size.get(0, 0))
-    parts = [use.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(most) for c in (1, 0)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "toxic", F.when(F.pmod("h", F.lit(4)) == 0, 0).otherwise(1).alias("fold"))
+def sample(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic, fold) of the learning rows, written, and the number of labelled rows of each class; fold 0 is for the line."""
+    use = (
+        labels.where("doc_id is not null and toxic in (0, 1)")
+        .where(F.crc32(F.col("doc_id").cast("string")) % of != remainder)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit("toxicity"), "doc_id").alias("h"))
+        .distinct()
+    )
+    size = {r.toxic: r.n for r in use.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = [use.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(SAMPLE) for c in (1, 0)]
+    chosen = parts[0].unionByName(parts[1])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"octet_length(text) <= {LONGEST}")
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("toxic", F.sha2("text", 256)).agg(F.first("text").alias("text"), F.min("h").alias("h")).select("text", "toxic", "h"), "toxicity-sample")
+    # Sizes by hash, at most SAMPLE of a class; the last hash within the bound.
+    per = rows.groupBy("toxic", "h").agg(F.sum(F.octet_length("text")).alias("bytes")).toArrow()
+    toxic, h, size_ = (per.column(c).to_numpy() for c in ("toxic", "h", "bytes"))
+    last = []
+    for c in (1, 0):
+        mine = np.flatnonzero(toxic == c)
+        mine = mine[np.argsort(h[mine])]
+        fits = np.flatnonzero(np.cumsum(size_[mine]) <= SAMPLE_BYTES)
+        if len(fits):
+            last.append((c, int(h[mine[fits[-1]]])))
+    last = docs.sparkSession.createDataFrame(last, "of_class int, last long")
+    within = rows.join(F.broadcast(last), (F.col("toxic") == F.col("of_class")) & (F.col("h") <= F.col("last")))
+    return within.select("text", "toxic", F.when(F.pmod("h", F.lit(4)) == 0, 0).otherwise(1).alias("fold")), size
 
 
-def _class_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(kind, key, before, word, docs1, n1, docs0, n0): unigrams (kind 1: continuation counts) and bigrams (kind 2)."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.where("fold = 1")), "doc_id").select("text", "toxic")
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """(key, before, word, n1, n0) of every bigram of rows (text, toxic): how many of each class have it."""
 
     def count(batches):
         for batch in batches:
@@ -72,173 +100,190 @@ def _class_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 if not len(h):
                     continue
                 y = toxic[a + w.doc]
-                # Different pairs within each document.
+                # Each bigram once for each document.
                 order = np.lexsort((pair, w.doc))
-                d, p = w.doc[order], pair[order]
-                new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]
-                at = np.flatnonzero(new)
-                times = np.diff(np.r_[at, len(p)])
-                i = order[at]
-                key, bef, word, cls = pair[i], before[i], h[i], y[i]
-                yield _rows(2, key, bef, word, cls, np.ones(len(i), np.int64), times)
-                order = np.lexsort((word, w.doc[i]))
-                d, v = w.doc[i][order], word[order]
-                at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
-                times = np.diff(np.r_[at, len(v)])
-                j = order[at]
-                yield _rows(1, word[j], np.zeros(len(j), np.uint64), word[j], cls[j], np.ones(len(j), np.int64), times)
-
-    return picked.mapInArrow(tidy(count), "kind int, key long, before long, word long, toxic int, docs long, n long").groupBy("kind", "key", "before", "word").agg(
-        *[F.sum(F.when(F.col("toxic") == c, F.col(x)).otherwise(0)).alias(f"{x}{c}") for c in (1, 0) for x in ("docs", "n")]
-    )
-
-
-def _rows(kind, key, before, word, cls, docs, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, before, word)), pa.array(cls.astype(np.int32)), pa.array(docs), pa.array(n)], names=["kind", "key", "before", "word", "toxic", "docs", "n"])
+                d, x = w.doc[order], pair[order]
+                once = order[np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])])]
+                for c in (0, 1):
+                    i = once[y[once] == c]
+                    key, at, n = np.unique(pair[i], return_index=True, return_counts=True)
+                    at = i[at]
+                    one, none = n.astype(np.int64), np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, before[at], h[at])), *(pa.array(x) for x in ((one, none) if c else (none, one)))], names=["key", "before", "word", "n1", "n0"])
 
+    return rows.mapInArrow(tidy(count), "key long, before long, word long, n1 long, n0 long").groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
-def _telling(counts: DataFrame) -> DataFrame:
-    """Expressions whose documents differ between the classes by more than chance; others are left to the shared counts."""
-    tested = counts.count()
-    z = max(2.5, math.sqrt(2 * math.log(max(tested, 2))) - 1)
-    return counts.where(F.abs(F.col("docs1") - F.col("docs0")) > z * F.sqrt(F.col("docs1") + F.col("docs0")))
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often every word occurs in all documents."""
 
-def _shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
-    """Continuation counts over all documents of the words of a sorted vocabulary, and of all words together."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    def settled(held):
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(word), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], names=["word", "n"])
 
     def count(batches):
-        words = known.value
-        total, every = np.zeros(len(words), np.int64), 0
+        held, n = [], 0
         for batch in batches:
-            for _, w, h, _, pair in _words(batch.column(0)):
-                order = np.lexsort((pair, w.doc))
-                d, p = w.doc[order], pair[order]
-                if not len(p):
-                    continue
-                i = order[np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])])]
-                every += len(i)
-                v = h[i]
-                at = np.minimum(np.searchsorted(words, v), max(len(words) - 1, 0))
-                if len(words):
-                    total += np.bincount(at[words[at] == v], minlength=len(words))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[words[at].view(np.int64), np.int64(0)]), pa.array(np.r_[total[at], every])], names=["word", "n"])
-
-    got = docs.select("text").mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size
-    out = {r.word: r.n for r in got}
-    return out, out.pop(0, 0)
-
-
-def train(docs: DataFrame, labels: DataFrame, remainder: int, of: int):
-    """The model: sorted bigram keys and word keys with their log-likelihood differences, and the line's parameters."""
-    small_batches(docs.sparkSession)
-    chosen = sample(labels, remainder, of).persist()
-    counts = _class_counts(docs, chosen)
-    totals = {(r.kind): r for r in counts.groupBy("kind").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (1, 0)], *[F.count_if(F.col(f"n{c}") > 0).alias(f"types{c}") for c in (1, 0)]).collect()}
-    if 1 not in totals or not totals[1].n1 or not totals[1].n0:
+            for _, _, h, _, _ in _words(batch.column(0)):
+                held.append(h)
+                n += len(h)
+                if n >= HELD:
+                    yield from settled(held)
+                    held, n = [], 0
+        if n:
+            yield from settled(held)
+
+    return docs.select("text").mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def probabilities(counts: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, float]] | None:
+    """From bigram counts and shared word counts: (key, q1, q0) of bigrams, (word, p1, p0) of words,
+    (before, l1, l0) of contexts, and D * V / K times the shared probability of an unseen word in each class."""
+    total = counts.agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (1, 0)]).first()
+    if not total.k1 or not total.k0:
         return None
-    contexts = counts.where("kind = 2").groupBy("before").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (1, 0)], *[F.count_if(F.col(f"n{c}") > 0).alias(f"t{c}") for c in (1, 0)])
-    kept = _telling(counts.where(F.col("docs1") + F.col("docs0") >= LEAST_DOCS))
-    # Sizes are bounded by the sample of SAMPLE rows a class, not by the corpus.
-    uni = kept.where("kind = 1").select("word", "n1", "n0").toPandas().sort_values("word", key=lambda s: s.to_numpy().view(np.uint64))
-    words = uni["word"].to_numpy(np.int64).view(np.uint64)
-    common, every = _shared_counts(docs, words)
-    shared = np.array([common.get(int(x), 0) for x in words.view(np.int64)], float) + 1.0
-    p_shared = shared / (every + len(shared) + 1)
-    p, back = {}, {}
-    for c in (1, 0):
-        n, types = getattr(totals[1], f"n{c}"), getattr(totals[1], f"types{c}")
-        back[c] = DISCOUNT * types / n
-        p[c] = np.maximum(uni[f"n{c}"].to_numpy(float) - DISCOUNT, 0) / n + back[c] * p_shared
-    word_llr = np.log(p[1]) - np.log(p[0])
-    # A bigram's own difference over what its word says; contexts that one class lacks back off whole.
-    bi = kept.where("kind = 2").select("key", "before", "word", "n1", "n0").join(contexts.select("before", F.col("n1").alias("c1"), F.col("n0").alias("c0"), "t1", "t0"), "before").toPandas()
-    bi = bi.sort_values("key", key=lambda s: s.to_numpy().view(np.uint64))
-    at = np.searchsorted(words, bi["word"].to_numpy(np.int64).view(np.uint64))
-    at = np.minimum(at, max(len(words) - 1, 0))
-    q = {}
-    for c in (1, 0):
-        total = np.maximum(bi[f"c{c}"].to_numpy(float), 1e-9)
-        lam = np.where(bi[f"c{c}"] > 0, DISCOUNT * bi[f"t{c}"].to_numpy(float) / total, 1.0)
-        q[c] = np.where(bi[f"c{c}"] > 0, np.maximum(bi[f"n{c}"].to_numpy(float) - DISCOUNT, 0) / total, 0.0) + lam * p[c][at]
-    ok = words[at] == bi["word"].to_numpy(np.int64).view(np.uint64) if len(words) else np.zeros(len(bi), bool)
-    pair_keys = bi["key"].to_numpy(np.int64).view(np.uint64)[ok]
-    pair_llr = (np.log(q[1]) - np.log(q[0]))[ok]
-    # A word in neither model differs only by the two classes' weights of backing off.
-    unknown = math.log(back[1]) - math.log(back[0])
-    model = (pair_keys, pair_llr.astype(np.float32), words, word_llr.astype(np.float32), float(unknown))
-    seen = _differences(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.where("fold = 0")), "doc_id").select("text", F.col("toxic").cast("long").alias("tag")), model).toPandas()
-    chosen.unpersist()
-    return (*model, *_line(seen["x"].to_numpy(), seen["tag"].to_numpy()))
-
-
-def _line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Logistic regression of y on x, both classes weighing the same."""
+    cut = lambda x: F.sum(F.least(F.col(x), F.lit(DISCOUNT)))
+    words = counts.groupBy("word").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (1, 0)])
+    given = words.agg(*[cut(f"k{c}").alias(f"d{c}") for c in (1, 0)]).first()
+    all_ = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    unseen = 1.0 / (all_.n + all_.v + 1)
+    back = {c: given[f"d{c}"] / total[f"k{c}"] for c in (1, 0)}
+    shared = (F.coalesce("n", F.lit(0)) + 1) * F.lit(unseen)
+    p = lambda c: F.greatest(F.col(f"k{c}") - DISCOUNT, F.lit(0.0)) / total[f"k{c}"] + back[c] * shared
+    word = words.join(every, "word", "left").select("word", p(1).alias("p1"), p(0).alias("p0"))
+    context = counts.groupBy("before").agg(*[F.sum(f"n{c}").alias(f"c{c}") for c in (1, 0)], *[cut(f"n{c}").alias(f"d{c}") for c in (1, 0)])
+    weigh = lambda c: F.when(F.col(f"c{c}") > 0, F.col(f"d{c}") / F.col(f"c{c}")).otherwise(1.0)
+    context = context.select("before", "c1", "c0", weigh(1).alias("l1"), weigh(0).alias("l0"))
+    q = lambda c: F.when(F.col(f"c{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col(f"p{c}")
+    pair = counts.join(context, "before").join(word, "word").select("key", q(1).alias("q1"), q(0).alias("q0"))
+    return pair, word, context.select("before", "l1", "l0"), {c: back[c] * unseen for c in (1, 0)}
+
+
+@dataclass
+class Model:
+    """Differences of log-probabilities, toxic minus ordinary, by sorted hash."""
+
+    pairs: np.ndarray
+    pair_diff: np.ndarray
+    likely: np.ndarray  # a filter over pairs, in packed bits
+    words: np.ndarray
+    word_diff: np.ndarray
+    contexts: np.ndarray
+    context_diff: np.ndarray
+    unseen: float
+    line: tuple[float, ...] = ()
+
+    @staticmethod
+    def _find(keys: np.ndarray, values: np.ndarray, x: np.ndarray, default: float) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(x), default)
+        i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return np.where(keys[i] == x, values[i], default)
+
+    def differences(self, h: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log P1(w | h) - log P0(w | h) for each word."""
+        cell = pair >> np.uint64(64 - FILTER_BITS)
+        maybe = np.flatnonzero((self.likely[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
+        i = np.minimum(np.searchsorted(self.pairs, pair[maybe]), max(len(self.pairs) - 1, 0))
+        hit = self.pairs[i] == pair[maybe] if len(self.pairs) else np.zeros(len(maybe), bool)
+        known = np.zeros(len(h), bool)
+        known[maybe[hit]] = True
+        out = np.zeros(len(h))
+        out[maybe[hit]] = self.pair_diff[i[hit]]
+        rest = np.flatnonzero(~known)
+        out[rest] = self._find(self.contexts, self.context_diff, before[rest], 0.0) + self._find(self.words, self.word_diff, h[rest], self.unseen)
+        # A bigram that repeats at once, as in "a a a a", is one piece of evidence, as it is one count in training.
+        out[1:][pair[1:] == pair[:-1]] = 0.0
+        return out
+
+    def features(self, texts, n: int) -> np.ndarray:
+        """Per text: difference per word over the whole text, over its most toxic passage, and log(1 + words)."""
+        out = np.zeros((n, 3))
+        for a, w, h, before, pair in _words(texts):
+            if not len(h):
+                continue
+            up = np.r_[0.0, np.cumsum(self.differences(h, before, pair))]
+            size = np.diff(w.first)
+            full = np.flatnonzero(size)
+            lo, hi = w.first[:-1][full], w.first[1:][full]
+            end = np.minimum(np.arange(len(h)) + PASSAGE, np.repeat(hi, size[full]))
+            best = np.maximum.reduceat(up[end] - up[: len(h)], lo) / PASSAGE
+            out[a + full] = np.c_[(up[hi] - up[lo]) / size[full], best, np.log1p(size[full])]
+        return out
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        z = self.line[0] + x @ np.array(self.line[1:])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sorted(df: DataFrame, key: str, a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and log a - log b; as many rows as the sample has bigrams at most."""
+    got = df.select(key, (F.ln(a) - F.ln(b)).cast("float").alias("d")).toArrow()
+    keys = got.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column(1).to_numpy()[order]
+
+
+def train(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> Model | None:
+    """The model learned from labelled rows whose crc32(doc_id) mod ``of`` is not ``remainder``; None without both classes."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows, size = sample(docs, labels, remainder, of)
+    counts = written(bigram_counts(rows.where("fold = 1")), "toxicity-bigrams")
+    got = probabilities(counts, written(word_counts(docs), "toxicity-words"))
+    if got is None:
+        return None
+    pair, word, context, unseen = got
+    pairs, pair_diff = _sorted(pair, "key", "q1", "q0")
+    likely = np.zeros(1 << FILTER_BITS, bool)
+    likely[pairs >> np.uint64(64 - FILTER_BITS)] = True
+    model = Model(pairs, pair_diff, np.packbits(likely, bitorder="little"), *_sorted(word, "word", "p1", "p0"), *_sorted(context, "before", "l1", "l0"), float(np.log(unseen[1] / unseen[0])))
+    seen = _apply(rows.where("fold = 0").select("text", F.col("toxic").alias("own")), model, "own int, x array<double>", lambda m, x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
+    y = seen["own"].to_numpy(np.int64)
+    x = np.array(seen["x"].tolist(), float).reshape(-1, 3)
+    model.line = _line(x, y, np.array([size.get(0, 0) / max(1, (y == 0).sum()), size.get(1, 0) / max(1, (y == 1).sum())]))
+    return model
+
+
+def _line(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Logistic regression of y on x by Newton's method; weights: of a row of each class."""
     if len(x) == 0 or y.min() == y.max():
-        return 10.0, 0.0
-    scale = float(np.std(x)) or 1.0
-    z = np.c_[np.ones(len(x)), x / scale]
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    beta = np.zeros(2)
-    for _ in range(50):
+        return (0.0, 0.0, 4.0, 0.0)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+    weight = weights[y] / weights[y].sum()
+    free = np.r_[1e-9, np.ones(x.shape[1])] * ridge
+    beta = np.zeros(z.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + ridge * beta * np.array([0, 1])
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.diag([1e-9, 1.0])
-        step = np.linalg.solve(hess + 1e-12 * np.eye(2), grad)
-        beta -= np.clip(step, -5, 5)
+        grad = z.T @ (weight * (p - y)) + free * beta
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(free + 1e-12), grad)
+        beta -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[1] / scale), float(beta[0])
-
-
-def _mean_difference(texts, n: int, model) -> np.ndarray:
-    pairs, pair_llr, words, word_llr, unknown = model
-    out = np.zeros(n)
-    for a, w, h, _, pair in _words(texts):
-        if not len(h):
-            continue
-        d = np.full(len(h), unknown, np.float64)
-        if len(words):
-            i = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            d = np.where(words[i] == h, word_llr[i], d)
-        if len(pairs):
-            i = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-            d = np.where(pairs[i] == pair, pair_llr[i], d)
-        docs = len(w.base) - 1
-        out[a : a + docs] = np.bincount(w.doc, d, docs) / np.maximum(np.bincount(w.doc, minlength=docs), 1)
-    return out
-
-
-def _differences(rows: DataFrame, model) -> DataFrame:
-    """(tag, x): the mean log-likelihood difference per word of rows (text, tag)."""
+    slope = beta[1:] / scale
+    return (float(beta[0] - slope @ mean), *map(float, slope))
+
+
+def _apply(rows: DataFrame, model: Model | None, kind: str, finish) -> DataFrame:
+    """rows (text, own) as (own, finish of the model and the text's features)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [x.strip().split(" ")[0] for x in (kind.split(",")[0], kind.rsplit(",", 1)[1])]
 
-    def score(batches):
+    def run(batches):
+        got = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_mean_difference(batch.column(0), batch.num_rows, shared.value))], names=["tag", "x"])
+            x = np.zeros((batch.num_rows, 3)) if got is None else got.features(batch.column(0), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(1), finish(got, x)], names=names)
 
-    return rows.mapInArrow(tidy(score), "tag long, x double")
+    return rows.mapInArrow(tidy(run), kind)
 
 
-def score(docs: DataFrame, model) -> DataFrame:
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with ``score`` and ``predicted`` added (replacing columns of these names)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     packed = docs.select("text", F.struct(*keep).alias("own"))
-
-    def run(batches):
-        got = shared.value
-        for batch in batches:
-            if got is None:
-                p = np.zeros(batch.num_rows)
-            else:
-                x = _mean_difference(batch.column(0), batch.num_rows, got[:5])
-                p = 1 / (1 + np.exp(-np.clip(got[5] * x + got[6], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(p)], names=["own", "score"])
-
-    out = packed.mapInArrow(tidy(run), f"own {packed.schema['own'].dataType.simpleString()}, score double")
+    out = _apply(packed, model, f"own {packed.schema['own'].dataType.simpleString()}, score double", lambda m, x: pa.array(np.zeros(len(x)) if m is None else m.probability(x)))
     return out.select(*[F.col("own").getField(c).alias(c) for c in keep], "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
