@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .characters import compatible, hyphens
+
 MISSING_YEAR = 999
 
 
@@ -14,19 +16,21 @@ def present(x: Column) -> Column:
 
 def normalize_doi(x: Column) -> Column:
     """Lower case, without a resolver or ``doi:`` prefix and trailing punctuation; null if nothing is left."""
-    bare = F.regexp_replace(F.lower(F.trim(x)), r"^(https?://)?(dx\.)?(doi\.org/)?(doi:)?\s*", "")
-    return present(F.regexp_replace(bare, r"[.,;:)\]]+$", ""))
+    bare = F.regexp_replace(F.lower(F.trim(compatible(x))), r"^(https?://)?(dx\.)?(doi\.org/)?(doi:)?\s*", "")
+    return present(F.regexp_replace(bare, r"[\s.,;:)\]}>]+$", ""))
 
 
 def normalize_arxiv(x: Column) -> Column:
-    """Lower case, without prefix, query part and version."""
-    bare = F.regexp_replace(F.lower(F.trim(x)), r"^(https?://)?(www\.)?(arxiv\.org/(abs|pdf)/)?(arxiv:)?\s*", "")
-    return present(F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"(v[0-9]+)?(\.pdf)?$", ""))
+    """Lower case, without prefix, query part, trailing punctuation and, last, version."""
+    bare = F.regexp_replace(F.lower(F.trim(compatible(x))), r"^(https?://)?(www\.)?(arxiv\.org/(abs|pdf)/)?(arxiv:)?\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"[\s.,;:)\]}>]+$", "")
+    return present(F.regexp_replace(bare, r"v[0-9]+$", ""))
 
 
 def normalize_text(x: Column) -> Column:
     """Letters, digits and single spaces, lower case, without "et al"."""
-    low = F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), r"\bet al\b\.?", " ")
+    low = F.replace(F.lower(hyphens(compatible(x))), F.lit("ß"), F.lit("ss"))
+    low = F.regexp_replace(low, r"\bet\s+al\b\.?", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
@@ -66,8 +70,12 @@ def fingerprint(doi: Column, title: Column) -> Column:
 
 
 def numeric_indices(x: Column, widest: int = 50) -> Column:
-    """Indices in ``[1, 3-5]``; a range wider than ``widest`` gives its ends only."""
-    parts = F.filter(F.split(F.regexp_replace(x, r"[^0-9,;\-]", ""), "[,;]"), lambda p: p != F.lit(""))
+    """Indices of the first ``[1, 3-5]`` of the text, or else of its first ``^2-4``; none without either.
+
+    A range wider than ``widest``, or one that runs backwards, gives its ends only."""
+    group = r"(\d+(?:\s*[-–,]\s*\d+)*)"
+    inner = F.coalesce(F.nullif(F.regexp_extract(x, r"\[\s*" + group + r"\s*\]", 1), F.lit("")), F.regexp_extract(x, r"\^" + group, 1), F.lit(""))
+    parts = F.filter(F.split(F.regexp_replace(F.translate(inner, "–", "-"), r"\s", ""), ","), lambda p: p != F.lit(""))
 
     def span(p):
         a, b = F.split(p, "-")[0].try_cast("int"), F.try_element_at(F.split(p, "-"), F.lit(2)).try_cast("int")

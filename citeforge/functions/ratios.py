@@ -57,3 +57,8 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def title_ratios(a: Column, b: Column) -> Column:
     """struct(ratio, token_set) of normalised titles in [0, 1]; a null or empty title gives 0."""
     return _ratios(normalize_title(a), normalize_title(b))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """The indel ratio of two texts as they are, in [0, 1]; a null or empty one gives 0."""
+    return _ratios(a, b)["ratio"]

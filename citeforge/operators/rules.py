@@ -10,12 +10,12 @@ RULES: tuple[tuple[str, str, str, str], ...] = (
     ("R-NO-CANDIDATE", "not has_candidate", "unresolved", "0.5"),
     ("R-DOI-TITLE-AUTHOR", "doi_exact_match and title_sim >= 0.9 and author_sim >= 0.5 and (year_distance <= 1 or year_distance >= 900)", "verified", "least(0.95, 0.7 + 0.2 * title_sim + 0.1 * author_sim)"),
     ("R-DOI-TITLE-MISMATCH", "doi_exact_match and title_sim >= 0.6 and title_sim < 0.9", "metadata_error", "0.7"),
-    ("R-CONSENSUS-FULL", "consensus >= 2 and title_sim >= 0.9 and author_sim >= 0.5", "verified", "0.8"),
+    ("R-CONSENSUS-FULL", "consensus >= 2 and title_sim >= 0.9 and author_sim >= 0.5 and year_distance <= 1", "verified", "0.8"),
     ("R-CONSENSUS-PARTIAL", "consensus >= 2 and title_sim >= 0.9", "metadata_error", "0.65"),
     ("R-SINGLE-SOURCE-VERIFIED", "title_sim >= 0.9 and author_sim >= 0.8 and year_distance <= 1", "verified", "0.78"),
     ("R-SINGLE-SOURCE-PARTIAL", "title_sim >= 0.9 and year_distance > 1", "metadata_error", "0.68"),
     ("R-NONEXISTENT-DOI", "has_doi and not doi_exact_match and title_sim < 0.6 and consensus = 0", "suspected_hallucination", "0.85"),
-    ("R-ABSTENTION-BORDER", "title_sim between 0.4 and 0.6", "unresolved", "0.5"),
+    ("R-ABSTENTION-BORDER", "title_sim between 0.4 and 0.6", "unresolved", "title_sim"),
     ("R-DOMAIN-EXCEPTION", "doi_exact_match and title_sim < 0.6 and consensus >= 2", "metadata_error", "0.5"),
     ("R-HALLUCINATED-SOURCE", "title_sim < 0.4 and author_sim < 0.3", "suspected_hallucination", "least(0.95, greatest(0.05, 0.85 - 0.5 * title_sim))"),
 )
@@ -24,6 +24,8 @@ DEFAULT = ("R-WEAK-EVIDENCE", "unresolved", "0.4")
 
 _SURE_YEAR = "(year_distance <= 1 or year_distance >= 900)"
 _NOT_FOUND = "not has_candidate and substantive and clean_sources >= 2 and not known_author"
+# Four registries or more were asked and nothing but a similar meaning was found.
+_NOISE = "(title_sim < 0.65 and author_sim = 0 and not doi_exact_match and consensus <= 1 and sources_queried >= 4)"
 _STYLE, _BOTH = "- style_penalty", "- style_penalty - provenance_penalty"
 
 
@@ -32,7 +34,7 @@ def _own(rule: str) -> tuple[str, str, str, str]:
 
 
 # The chain with guards, resource and specialist rules. Besides the columns above it reads fake_url,
-# fabricated_doi, fake_author, future_year, known_author, url_status, clean_sources (registries that answered "none"),
+# fabricated_doi, fake_author, future_year, known_author, url_status, clean_sources (registries that answered "none"), sources_queried,
 # substantive, kind (of a source that no registry indexes), best_source, linked, ambiguous, book, style_penalty and
 # provenance_penalty. Conditions that may be null stand for false.
 EVIDENCE_RULES: tuple[tuple[str, str, str, str], ...] = (
@@ -58,8 +60,8 @@ EVIDENCE_RULES: tuple[tuple[str, str, str, str], ...] = (
     ("R-WELL-LINKED", "linked and title_sim >= 0.7 and author_sim >= 0.3 and year_distance <= 1", "verified", f"greatest(0, 0.85 {_BOTH})"),
     ("R-WELL-LINKED-MODERATE", "linked and title_sim >= 0.5 and title_sim < 0.7 and author_sim >= 0.3 and year_distance <= 1 and (doi_exact_match or consensus >= 2)", "verified", f"greatest(0, 0.75 {_BOTH})"),
     ("R-DOI-TITLE-MISMATCH", "not linked and " + _own("R-DOI-TITLE-MISMATCH")[1], "metadata_error", "0.7"),
-    _own("R-CONSENSUS-FULL"),
-    _own("R-CONSENSUS-PARTIAL"),
+    ("R-CONSENSUS-FULL", _own("R-CONSENSUS-FULL")[1], "verified", f"greatest(0, 0.8 {_BOTH})"),
+    ("R-CONSENSUS-PARTIAL", _own("R-CONSENSUS-PARTIAL")[1], "metadata_error", f"greatest(0, 0.65 {_STYLE})"),
     _own("R-SINGLE-SOURCE-VERIFIED"),
     ("R-BOOK-EDITION-VERIFIED", "book and title_sim >= 0.95 and author_sim >= 0.9 and year_distance > 1 and year_distance <= 15", "verified", "0.78"),
     _own("R-SINGLE-SOURCE-PARTIAL"),
@@ -68,8 +70,8 @@ EVIDENCE_RULES: tuple[tuple[str, str, str, str], ...] = (
     ("R-DEAD-URL", "url_status = 'dead_link' and title_sim < 0.6", "suspected_hallucination", "0.85"),
     ("R-WAYBACK-ARCHIVED", "url_status = 'archived_alive' and not has_doi and title_sim < 0.6", "resource", "0.9"),
     ("R-URL-RESOURCE", "url_status in ('alive', 'restricted_alive') and not has_doi and title_sim < 0.6", "resource", "0.95"),
-    _own("R-ABSTENTION-BORDER"),
-    _own("R-DOMAIN-EXCEPTION"),
+    ("R-ABSTENTION-BORDER", f"title_sim between 0.4 and 0.6 and not {_NOISE}", "unresolved", f"greatest(0, title_sim {_STYLE})"),
+    ("R-DOMAIN-EXCEPTION", _own("R-DOMAIN-EXCEPTION")[1], "metadata_error", f"greatest(0, 0.5 {_STYLE})"),
     ("R-KNOWN-AUTHOR-WEAK-EVIDENCE", "known_author", "metadata_error", "0.55"),
     _own("R-HALLUCINATED-SOURCE"),
 )
@@ -88,14 +90,6 @@ def classify(features: DataFrame, rules: tuple[tuple[str, str, str, str], ...] =
     return features.withColumn("_d", decide(rules)).select("*", "_d.label", "_d.confidence", "_d.rule").drop("_d")
 
 
-def duck_case(what: int, rules: tuple[tuple[str, str, str, str], ...] = RULES) -> str:
-    """The same chain for the oracle; what is 2 for the label, 3 for the confidence, 0 for the rule."""
-    quoted = (lambda r: r[3]) if what == 3 else (lambda r: f"'{r[what]}'")
-    rule, label, confidence = DEFAULT
-    last = {0: f"'{rule}'", 2: f"'{label}'", 3: confidence}[what]
-    return "CASE " + " ".join(f"WHEN {r[1]} THEN {quoted(r)}" for r in rules) + f" ELSE {last} END"
-
-
 def demote_retracted(verdicts: DataFrame) -> DataFrame:
     """A retracted paper is no verified or open one: its label becomes metadata_error; other labels stay."""
     hit = F.coalesce("retracted", F.lit(False)) & F.col("label").isin("verified", "unresolved")

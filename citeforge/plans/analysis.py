@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import cosine, jaccard, levenshtein_similarity, numeric_indices, platt, year_distance
 from ..operators import evaluation as ev
 from ..operators import linking
-from ..operators.rules import classify, duck_case
+from ..operators.rules import classify
 from ..sources.tables import ESSAYS, PAPERS, PREDICTIONS, VERDICTS, essays, papers, predictions, table, verdicts
 
 _PLATT = (2.162054, 0.629903)
@@ -99,7 +99,7 @@ def numeric_ranges(spark, d):
 def _features(spark, d):
     """Each paper against the next one of its source: what a matcher sees."""
     # ASCII only: the oracle's edit distance counts bytes.
-    p = papers(spark, d).withColumn("title", F.regexp_replace("title", "[^a-z0-9]", ""))
+    p = papers(spark, d).withColumn("title", F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""))
     b = p.select((F.col("id") - 1).alias("id"), F.col("title").alias("t2"), F.col("doi").alias("d2"), F.col("authors").alias("a2"), F.col("year").alias("y2"))
     return p.join(b, "id", "left").select(
         "id", F.col("t2").isNotNull().alias("has_candidate"), F.col("doi").isNotNull().alias("has_doi"), F.coalesce(F.col("doi") == F.col("d2"), F.lit(False)).alias("doi_exact_match"),
@@ -126,6 +126,12 @@ def embedding_alignment(spark, d):
 
 QUERIES = {f.__name__: f for f in (score_components, class_labels, pending_reviews, brier_score, calibration_error, coverage_curve, class_metrics, platt_calibration, link_cascade, uncited_references, ibid_links, numeric_ranges, rule_labels, candidate_consensus, embedding_alignment)}
 
+
+
+def _is(label: str, confidence, rule: str) -> str:
+    return f"{{'l': '{label}', 'c': ({confidence})::DOUBLE, 'r': '{rule}'}}"
+
+
 ORACLE_SQL = {
     "score_components": f"""WITH {ESSAYS}, {VERDICTS}, v AS (SELECT essay_id, count(*) AS n, count_if(label = 'verified' OR is_overridden) AS ok, count_if(label = 'metadata_error') AS errors FROM verdicts GROUP BY 1)
         SELECT essay_id, coalesce(n, 0) AS n, coalesce(ok / n, 0.0) AS verified_ratio, coalesce(1 - errors / n, 1.0) AS metadata_accuracy FROM essays LEFT JOIN v USING (essay_id)""",
@@ -146,11 +152,21 @@ ORACLE_SQL = {
     "ibid_links": f"""WITH {_LINKS}, f AS (SELECT doc_id, pos, min(reference_id) AS link FROM links GROUP BY ALL), o AS (SELECT occ.doc_id, occ.pos, ibid, link FROM occ LEFT JOIN f ON f.doc_id = occ.doc_id AND f.pos = occ.pos)
         SELECT doc_id, pos, CASE WHEN ibid THEN last_value(link IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE link END AS link FROM o""",
     "numeric_ranges": "SELECT doc_id, pos, 4 AS n, n_chars % 9 + pos + 3 AS last FROM documents, range(0, 4) t(pos)",
-    "rule_labels": f"""WITH {PAPERS}, q AS (SELECT * REPLACE (regexp_replace(title, '[^a-z0-9]', '', 'g') AS title) FROM papers), f AS (SELECT p.id, b.title IS NOT NULL AS has_candidate, p.doi IS NOT NULL AS has_doi, coalesce(p.doi = b.doi, false) AS doi_exact_match,
+    "rule_labels": f"""WITH {PAPERS}, q AS (SELECT * REPLACE (regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title) FROM papers), f AS (SELECT p.id, b.title IS NOT NULL AS has_candidate, p.doi IS NOT NULL AS has_doi, coalesce(p.doi = b.doi, false) AS doi_exact_match,
             coalesce(CASE WHEN greatest(length(p.title), length(b.title)) > 0 THEN 1 - levenshtein(p.title, b.title) / greatest(length(p.title), length(b.title)) ELSE 0.0 END, 0.0) AS title_sim,
             coalesce(len(list_intersect(p.authors, b.authors)) / len(list_distinct(list_concat(p.authors, b.authors))), 0.0) AS author_sim,
-            coalesce(abs(p.year - b.year), 999) AS year_distance, p.id % 4 AS consensus FROM q p LEFT JOIN q b ON b.id = p.id + 1)
-        SELECT id, title_sim, {duck_case(2)} AS label, CAST({duck_case(3)} AS DOUBLE) AS confidence, {duck_case(0)} AS rule FROM f""",
+            coalesce(abs(p.year - b.year), 999) AS year_distance, p.id % 4 AS consensus FROM q p LEFT JOIN q b ON b.id = p.id + 1),
+        d AS (SELECT id, title_sim, CASE WHEN NOT has_candidate THEN {_is('unresolved', 0.5, 'R-NO-CANDIDATE')}
+            WHEN doi_exact_match AND title_sim >= 0.9 AND author_sim >= 0.5 AND (year_distance <= 1 OR year_distance >= 900) THEN {_is('verified', 'least(0.95, 0.7 + 0.2 * title_sim + 0.1 * author_sim)', 'R-DOI-TITLE-AUTHOR')}
+            WHEN doi_exact_match AND title_sim BETWEEN 0.6 AND 0.8999999999999999 THEN {_is('metadata_error', 0.7, 'R-DOI-TITLE-MISMATCH')}
+            WHEN consensus > 1 AND title_sim >= 0.9 THEN CASE WHEN author_sim < 0.5 OR year_distance > 1 THEN {_is('metadata_error', 0.65, 'R-CONSENSUS-PARTIAL')} ELSE {_is('verified', 0.8, 'R-CONSENSUS-FULL')} END
+            WHEN title_sim >= 0.9 AND year_distance > 1 THEN {_is('metadata_error', 0.68, 'R-SINGLE-SOURCE-PARTIAL')} WHEN title_sim >= 0.9 AND author_sim >= 0.8 THEN {_is('verified', 0.78, 'R-SINGLE-SOURCE-VERIFIED')}
+            WHEN has_doi AND NOT doi_exact_match AND consensus = 0 AND title_sim < 0.6 THEN {_is('suspected_hallucination', 0.85, 'R-NONEXISTENT-DOI')}
+            WHEN title_sim >= 0.4 AND title_sim <= 0.6 THEN {_is('unresolved', 'title_sim', 'R-ABSTENTION-BORDER')}
+            WHEN doi_exact_match AND consensus > 1 AND title_sim < 0.6 THEN {_is('metadata_error', 0.5, 'R-DOMAIN-EXCEPTION')}
+            WHEN title_sim < 0.4 AND author_sim < 0.3 THEN {_is('suspected_hallucination', 'least(0.95, greatest(0.05, 0.85 - 0.5 * title_sim))', 'R-HALLUCINATED-SOURCE')}
+            ELSE {_is('unresolved', 0.4, 'R-WEAK-EVIDENCE')} END AS s FROM f)
+        SELECT id, title_sim, s.l AS label, s.c AS confidence, s.r AS rule FROM d""",
     "candidate_consensus": f"""WITH {PAPERS}, s AS (SELECT year AS citation_id, title AS fingerprint, count(DISTINCT source) AS n FROM papers GROUP BY ALL)
         SELECT citation_id, n AS consensus, fingerprint FROM s QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY n DESC, fingerprint) = 1""",
     "embedding_alignment": """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label)

@@ -111,13 +111,13 @@ def source_status(spark, d):
     return per.select("part", "source", F.when(F.col("hits") == F.col("n"), "ok").when(F.col("hits") == 0, F.concat(F.lit("failed:"), missed)).otherwise(F.concat(F.lit("partial:"), missed)).alias("status"))
 
 
-def cited_counts(spark, d):
+def cited_positions(spark, d):
     """How often and where the text of a document cites each reference."""
     got = analysis._cascade(spark, d).groupBy("doc_id", "reference_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("at"))
     return got.select("doc_id", "reference_id", "n", F.array_join(F.col("at").cast("array<string>"), ",").alias("positions"))
 
 
-QUERIES = {f.__name__: f for f in (class_scores, top_rules, shared_flagged, students_per_class, revision_diff, class_essays, stratified_split, threshold_tuner, blended_confidence, reference_order, paper_page, paper_sample, author_match, document_sentences, bibliography, log_windows, source_status, cited_counts)}
+QUERIES = {f.__name__: f for f in (class_scores, top_rules, shared_flagged, students_per_class, revision_diff, class_essays, stratified_split, threshold_tuner, blended_confidence, reference_order, paper_page, paper_sample, author_match, document_sentences, bibliography, log_windows, source_status, cited_positions)}
 
 _A, _B = ("list_filter({}.authors, lambda x: x IS NOT NULL)".format(t) for t in "pb")
 
@@ -156,5 +156,5 @@ ORACLE_SQL = {
     "log_windows": f"WITH {LOG} SELECT source, strftime(date_trunc('hour', queried_at), '%Y-%m-%d %H') AS hour, count(*) AS n, CAST(sum(found) AS BIGINT) AS hits FROM log GROUP BY ALL",
     "source_status": f"""WITH {LOG}, s AS (SELECT paper_id % 10 AS part, source, count(*) AS n, CAST(sum(found) AS BIGINT) AS hits FROM log GROUP BY ALL)
         SELECT part, source, CASE WHEN hits = n THEN 'ok' WHEN hits = 0 THEN 'failed:' || (n - hits) ELSE 'partial:' || (n - hits) END AS status FROM s""",
-    "cited_counts": f"WITH {analysis._LINKS}, u AS (SELECT DISTINCT doc_id, pos, reference_id FROM links) SELECT doc_id, reference_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM u GROUP BY doc_id, reference_id",
+    "cited_positions": f"WITH {analysis._LINKS}, u AS (SELECT DISTINCT doc_id, pos, reference_id FROM links) SELECT doc_id, reference_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM u GROUP BY doc_id, reference_id",
 }

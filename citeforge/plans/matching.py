@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.ratios import title_ratios
 from ..operators import baselines, candidates, linking
 from ..operators import evaluation as ev
-from ..operators.rules import EVIDENCE_RULES, classify, demote_retracted, duck_case
+from ..operators.rules import EVIDENCE_RULES, classify, demote_retracted
 from ..sources.tables import ESSAYS, PAPERS, PREDICTIONS, essays, papers, predictions, table
-from .analysis import _LINKS, _cascade, _occurrences, _references
+from . import citations
+from .analysis import _LINKS, _cascade, _is, _occurrences, _references
 
 # The features, in words that Spark and DuckDB share; all from whole numbers.
 _FEATURES = [
@@ -28,9 +29,9 @@ _CANDIDATES = [
 
 _EVIDENCE = [
     "id", "id % 8 <> 0 AS has_candidate", "id % 3 <> 0 AS has_doi", "id % 6 = 1 AS doi_exact_match", "(id * 37 % 101) / 1e2 AS title_sim", "(id * 29 % 11) / 1e1 AS author_sim",
-    "CASE WHEN id % 17 = 0 THEN 999 ELSE id * 31 % 4 END AS year_distance", "id * 7 % 3 AS consensus", "id % 97 = 0 AS fake_url", "id % 89 = 1 AS fabricated_doi", "id % 41 = 2 AS fake_author",
-    "id % 37 = 3 AS future_year", "id % 10 = 4 AS known_author", "CASE id * 11 % 7 WHEN 0 THEN 'dead_link' WHEN 1 THEN 'archived_alive' WHEN 2 THEN 'alive' END AS url_status",
-    "id * 13 % 5 AS clean_sources", "id % 16 <> 8 AS substantive", "CASE id * 3 % 5 WHEN 0 THEN 'web_resource' WHEN 1 THEN 'book' END AS kind",
+    "CASE WHEN id % 17 = 0 THEN 999 ELSE id * 31 % 4 END AS year_distance", "id * 7 % 3 AS consensus", 
+    "id % 37 = 3 AS future_year", "CASE id * 11 % 7 WHEN 0 THEN 'dead_link' WHEN 1 THEN 'archived_alive' WHEN 2 THEN 'alive' END AS url_status",
+    "id * 13 % 5 AS clean_sources", "id * 5 % 7 AS sources_queried", 
     "CASE id * 19 % 9 WHEN 0 THEN 'tech_standard' WHEN 1 THEN 'wikidata_opencitations' WHEN 2 THEN 'huggingface' END AS best_source", "id % 4 = 1 AS linked", "id % 11 = 5 AS ambiguous", "id % 5 = 2 AS book",
     "(id % 3) * 75 / 1e3 AS style_penalty", "(id % 2) * 5 / 1e2 AS provenance_penalty", "id % 23 = 0 AS retracted",
 ]
@@ -46,7 +47,10 @@ def baseline_labels(spark, d):
 
 
 def evidence_labels(spark, d):
-    got = classify(papers(spark, d).select("id").selectExpr(*_EVIDENCE), EVIDENCE_RULES)
+    """Labels of the whole chain: guards come from the citations' texts, similarities from their ids."""
+    guards = citations.citation_guards(spark, d).select(F.col("doc_id").alias("id"), *[F.col(c) & (F.col("doc_id") % 3 == 0) if c.startswith("fa") else F.col(c) for c in ("fake_url", "fabricated_doi", "fake_author", "kind", "known_author", "substantive")])
+    guards = guards.toDF("id", "fake_url", "fabricated_doi", "fake_author", "kind", "known_author", "substantive")
+    got = classify(papers(spark, d).select("id").selectExpr(*_EVIDENCE).join(guards, "id"), EVIDENCE_RULES)
     return demote_retracted(got).select("id", "label", "confidence", "rule")
 
 
@@ -114,9 +118,49 @@ _CAND = f"{PAPERS}, cand AS (SELECT {', '.join(_CANDIDATES)} FROM papers, range(
 
 ORACLE_SQL = {
     "baseline_labels": f"WITH f AS (SELECT {', '.join(_FEATURES)} FROM (SELECT doc_id AS id FROM documents)) SELECT id, {', '.join(f'{baselines.case(n)} AS {n.lower()}' for n in baselines.BASELINES)} FROM f",
-    "evidence_labels": f"""WITH f AS (SELECT {', '.join(_EVIDENCE)} FROM (SELECT doc_id AS id FROM documents)),
-        v AS (SELECT *, {duck_case(2, EVIDENCE_RULES)} AS label, CAST({duck_case(3, EVIDENCE_RULES)} AS DOUBLE) AS confidence, {duck_case(0, EVIDENCE_RULES)} AS rule FROM f)
-        SELECT id, CASE WHEN retracted AND label IN ('verified', 'unresolved') THEN 'metadata_error' ELSE label END AS label, confidence, rule FROM v""",
+    "evidence_labels": f"""WITH g AS ({citations.ORACLE_SQL['citation_guards']}),
+        f AS (SELECT e.*, fake_url AND id % 3 = 0 AS fake_url, fabricated_doi AND id % 3 = 0 AS fabricated_doi, fake_author AND id % 3 = 0 AS fake_author, kind, known_author, style_penalty AS sp, provenance_penalty AS pp,
+            NOT has_candidate AND clean_sources >= 2 AND NOT known_author AS gone, year_distance <= 1 OR year_distance >= 900 AS near
+            FROM (SELECT {', '.join(_EVIDENCE)} FROM (SELECT doc_id AS id FROM documents)) e JOIN g ON doc_id = id),
+        v AS (SELECT id, retracted, CASE
+            WHEN fake_url THEN {_is('suspected_hallucination', '0.95', 'R-FAKE-URL')}
+            WHEN fabricated_doi THEN {_is('suspected_hallucination', '0.9', 'R-FABRICATED-DOI')}
+            WHEN fake_author AND (NOT doi_exact_match OR title_sim < 0.85) THEN {_is('suspected_hallucination', '0.95', 'R-FAKE-AUTHOR')}
+            WHEN future_year AND (known_author OR has_candidate AND (doi_exact_match OR title_sim >= 0.85)) THEN {_is('metadata_error', '0.65', 'R-FUTURE-YEAR-KNOWN-AUTHOR')}
+            WHEN future_year THEN {_is('suspected_hallucination', '0.95', 'R-FUTURE-YEAR')}
+            WHEN NOT has_candidate AND url_status = 'dead_link' AND NOT known_author THEN {_is('suspected_hallucination', 'greatest(0, 0.85 - sp)', 'R-DEAD-URL')}
+            WHEN NOT has_candidate AND NOT has_doi AND url_status = 'archived_alive' THEN {_is('resource', '0.9', 'R-WAYBACK-ARCHIVED')}
+            WHEN NOT has_candidate AND NOT has_doi AND url_status = 'alive' THEN {_is('resource', '0.95', 'R-URL-RESOURCE')}
+            WHEN gone AND has_doi THEN {_is('suspected_hallucination', 'greatest(0, 0.85 - sp)', 'R-NONEXISTENT-DOI')}
+            WHEN gone AND kind IN ('web_resource', 'legal_or_standard') THEN {_is('resource', '0.85', 'R-NON-SCHOLARLY-RESOURCE')}
+            WHEN gone AND kind IS NOT NULL THEN {_is('unresolved', 'greatest(0, 0.55 - sp)', 'R-UNINDEXED-BOOK-OR-SOURCE')}
+            WHEN gone THEN {_is('suspected_hallucination', 'greatest(0, 0.8 - sp)', 'R-NO-SCHOLARLY-RECORD')}
+            WHEN NOT has_candidate THEN {_is('unresolved', '0.5', 'R-NO-CANDIDATE')}
+            WHEN doi_exact_match AND title_sim >= 0.9 AND author_sim >= 0.5 AND near THEN {_is('verified', 'greatest(0, least(0.95, 0.7 + 0.2 * title_sim + 0.1 * author_sim) - sp - pp)', 'R-DOI-TITLE-AUTHOR')}
+            WHEN best_source = 'tech_standard' AND title_sim >= 0.8 AND near THEN {_is('verified', 'greatest(0, 0.92 - sp - pp)', 'R-RFC-VERIFIED')}
+            WHEN best_source = 'tech_standard' AND title_sim >= 0.8 THEN {_is('metadata_error', 'greatest(0, 0.75 - sp)', 'R-RFC-VERIFIED')}
+            WHEN best_source = 'wikidata_opencitations' AND title_sim >= 0.8 AND near THEN {_is('verified', 'greatest(0, 0.9 - sp - pp)', 'R-WIKIDATA-VERIFIED')}
+            WHEN best_source = 'wikidata_opencitations' AND title_sim >= 0.8 THEN {_is('metadata_error', 'greatest(0, 0.75 - sp)', 'R-WIKIDATA-VERIFIED')}
+            WHEN best_source = 'huggingface' AND title_sim >= 0.85 AND near THEN {_is('verified', 'greatest(0, 0.9 - sp - pp)', 'R-HF-VERIFIED')}
+            WHEN linked AND title_sim >= 0.7 AND author_sim >= 0.3 AND year_distance <= 1 THEN {_is('verified', 'greatest(0, 0.85 - sp - pp)', 'R-WELL-LINKED')}
+            WHEN linked AND title_sim >= 0.5 AND title_sim < 0.7 AND author_sim >= 0.3 AND year_distance <= 1 AND (doi_exact_match OR consensus > 1) THEN {_is('verified', 'greatest(0, 0.75 - sp - pp)', 'R-WELL-LINKED-MODERATE')}
+            WHEN NOT linked AND doi_exact_match AND title_sim >= 0.6 AND title_sim < 0.9 THEN {_is('metadata_error', '0.7', 'R-DOI-TITLE-MISMATCH')}
+            WHEN consensus > 1 AND title_sim >= 0.9 AND author_sim >= 0.5 AND year_distance <= 1 THEN {_is('verified', 'greatest(0, 0.8 - sp - pp)', 'R-CONSENSUS-FULL')}
+            WHEN consensus > 1 AND title_sim >= 0.9 THEN {_is('metadata_error', 'greatest(0, 0.65 - sp)', 'R-CONSENSUS-PARTIAL')}
+            WHEN title_sim >= 0.9 AND author_sim >= 0.8 AND year_distance <= 1 THEN {_is('verified', '0.78', 'R-SINGLE-SOURCE-VERIFIED')}
+            WHEN book AND title_sim >= 0.95 AND author_sim >= 0.9 AND year_distance BETWEEN 2 AND 15 THEN {_is('verified', '0.78', 'R-BOOK-EDITION-VERIFIED')}
+            WHEN title_sim >= 0.9 AND year_distance > 1 THEN {_is('metadata_error', '0.68', 'R-SINGLE-SOURCE-PARTIAL')}
+            WHEN ambiguous THEN {_is('unresolved', 'least(0.5, title_sim)', 'R-AMBIGUOUS-MAPPING')}
+            WHEN has_doi AND NOT doi_exact_match AND title_sim < 0.6 AND consensus = 0 THEN {_is('suspected_hallucination', '0.85', 'R-NONEXISTENT-DOI')}
+            WHEN url_status = 'dead_link' AND title_sim < 0.6 THEN {_is('suspected_hallucination', '0.85', 'R-DEAD-URL')}
+            WHEN url_status = 'archived_alive' AND NOT has_doi AND title_sim < 0.6 THEN {_is('resource', '0.9', 'R-WAYBACK-ARCHIVED')}
+            WHEN url_status = 'alive' AND NOT has_doi AND title_sim < 0.6 THEN {_is('resource', '0.95', 'R-URL-RESOURCE')}
+            WHEN title_sim >= 0.4 AND title_sim <= 0.6 AND NOT (author_sim = 0 AND NOT doi_exact_match AND consensus < 2 AND sources_queried > 3) THEN {_is('unresolved', 'greatest(0, title_sim - sp)', 'R-ABSTENTION-BORDER')}
+            WHEN doi_exact_match AND title_sim < 0.6 AND consensus > 1 THEN {_is('metadata_error', 'greatest(0, 0.5 - sp)', 'R-DOMAIN-EXCEPTION')}
+            WHEN known_author THEN {_is('metadata_error', '0.55', 'R-KNOWN-AUTHOR-WEAK-EVIDENCE')}
+            WHEN title_sim < 0.4 AND author_sim < 0.3 THEN {_is('suspected_hallucination', 'least(0.95, greatest(0.05, 0.85 - 0.5 * title_sim))', 'R-HALLUCINATED-SOURCE')}
+            ELSE {_is('unresolved', 0.4, 'R-WEAK-EVIDENCE')} END AS s FROM f)
+        SELECT id, CASE WHEN retracted AND s.l IN ('verified', 'unresolved') THEN 'metadata_error' ELSE s.l END AS label, s.c AS confidence, s.r AS rule FROM v""",
     "best_candidates": f"""WITH {_CAND}, s AS (SELECT *, 2 * doi_match::DOUBLE + title_sim::DOUBLE + 0.5::DOUBLE * author_sim + 0.2::DOUBLE * year_match::DOUBLE + 0.05::DOUBLE * confidence AS score FROM got)
         SELECT citation_id, seq, source_name, score FROM s QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY score DESC, seq) = 1""",
     "fused_metadata": f"WITH {_CAND} SELECT citation_id, arg_min(doi, seq) FILTER (doi IS NOT NULL) AS doi, arg_min(title, seq) FILTER (title IS NOT NULL) AS title, arg_min(year, seq) FILTER (year IS NOT NULL) AS year, count(*) AS n FROM got GROUP BY 1",

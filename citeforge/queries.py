@@ -1,6 +1,19 @@
 """Registered queries over the reference's domain."""
 
-from .plans import analysis, catalog, cohort, matching
+from .plans import analysis, catalog, citations, classes, cohort, evidence, matching, names
 
-QUERIES = catalog.QUERIES | analysis.QUERIES | cohort.QUERIES | matching.QUERIES
-ORACLE_SQL = catalog.ORACLE_SQL | analysis.ORACLE_SQL | cohort.ORACLE_SQL | matching.ORACLE_SQL
+_MODULES = (catalog, analysis, cohort, matching, citations, evidence, classes, names)
+
+
+def _merged(name: str) -> dict:
+    out: dict = {}
+    for module in _MODULES:
+        twice = out.keys() & getattr(module, name)
+        if twice:
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= getattr(module, name)
+    return out
+
+
+QUERIES = _merged("QUERIES")
+ORACLE_SQL = _merged("ORACLE_SQL")

@@ -11,13 +11,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, doi, title, authors, year, source); keys depend on the content, so copies collide."""
+    """(id, doi, title, authors, year, source); the title is the whole first sentence, and keys depend on the content, so copies collide."""
     d = table(spark, folder, "documents")
     digest = F.md5("text")
     return d.select(
         F.col("doc_id").alias("id"),
         F.when(F.substring(digest, 1, 1).isin(*"012345"), F.concat(F.lit("10.5555/"), digest)).alias("doi"),
-        F.substring(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", ""), 1, 60).alias("title"),
+        F.trim(F.regexp_extract("text", "^[^.!?\n]*", 0)).alias("title"),
         F.array("lang", "source").alias("authors"),
         (2000 + F.col("n_chars") % 24).cast("int").alias("year"),
         "source",
@@ -26,7 +26,7 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
 
 PAPERS = r"""papers AS (SELECT doc_id AS id,
     CASE WHEN substr(md5(text), 1, 1) IN ('0','1','2','3','4','5') THEN '10.5555/' || md5(text) END AS doi,
-    substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 60) AS title,
+    trim(regexp_extract(text, '^[^.!?\n]*')) AS title,
     [lang, source] AS authors, CAST(2000 + n_chars % 24 AS INTEGER) AS year, source FROM documents)"""
 
 
