@@ -34,9 +34,10 @@ START = 0.1
 # (name, bad if, good if); neither: the rule abstains. Shares are of words unless named otherwise.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("length", "n_words < 20", "n_words >= 50"),
-    ("word_length", "word_chars > 15 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
+    ("word_length", "word_chars > 7 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 6 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words", "50 * n_symbols < n_words"),
-    ("lines", "100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0"),
+    ("lines", "n_dup_lines > 0", "n_dup_lines = 0"),
+    ("one_line", "n_lines = 1 and n_words >= 100", "n_lines > 1"),
     ("repeats", "100 * n_repeat_words > 27 * n_words", "n_repeat_words = 0"),
     ("capitals", "2 * n_upper > word_chars", "5 * n_upper < word_chars"),
     ("exclaims", "2 * n_exclaim > n_words", "10 * n_exclaim < n_words"),
@@ -118,15 +119,19 @@ def fit(voted: DataFrame) -> tuple[list[float], list[list[float]]]:
     names = [r[0] for r in RULES]
     table = [(tuple(r[v] for v in names), r.n) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     table.sort()  # sums in one order, so that reruns agree
-    votes_ = np.array([v for v, _ in table], float).reshape(-1, len(names))
-    n = np.array([x for _, x in table], float)
+    return expectation_maximisation(np.array([v for v, _ in table], float).reshape(-1, len(names)), np.array([x for _, x in table], float))
+
+
+def expectation_maximisation(votes_: np.ndarray, n: np.ndarray) -> tuple[list[float], list[list[float]]]:
+    """(share of each class, chance of a vote against by class and rule) from patterns of votes and how often each occurs."""
+    k = votes_.shape[1]
     against, cleared = (votes_ == -1).astype(float), (votes_ == 1).astype(float)
     rate = (n @ against + 1) / (n @ (against + cleared) + 2)
     mistake = START * rate
-    own = np.r_[np.zeros((1, len(names))), np.eye(len(names))] == 1
+    own = np.r_[np.zeros((1, k)), np.eye(k)] == 1
     cause = np.where(own, 0.9, 0.05)
     cause[0] = 0
-    share = np.minimum(np.r_[0, (1 - START) * rate], 0.5 / len(names))
+    share = np.minimum(np.r_[0, (1 - START) * rate], 0.5 / k)
     share[0] = 1 - share.sum()
     # Imagined votes, as many whatever the number of documents, keep estimates inside (0, 1) and say which class is which.
     fires, silent = np.where(own, PRIOR, 1), np.where(own, 1, SPARSE)
