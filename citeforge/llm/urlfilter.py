@@ -8,6 +8,10 @@ holds as well, and so on until nothing is mistaken. A key of the universe belong
 first level that lacks it has an even number. Level 1 has a false positive rate of about the share
 of listed keys, so every level is of the order of the list, whatever the size of the universe.
 
+The universe is written once and both cascades read it. Only suffixes of as many labels as some rule's
+host has are keys, so a host of thousands of labels has no more keys than another. The rules are
+given on the driver, and a level has at most MAX_LEVEL_BITS bits; more rules are refused.
+
 Defined results: a null URL or one without ``://`` has an empty host and path and no key, so no rule;
 URLs without a rule are allowed, which is what the cascades say of keys that they lack.
 """
@@ -23,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 HASHES = 6
 #: Bits of one level at most; a list that needs more is refused rather than broadcast.
-MAX_LEVEL_BITS = 2**31
+MAX_LEVEL_BITS = 2**28
 MAX_LEVELS = 40
 
 
@@ -53,13 +59,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _keys(lengths: list[int]) -> Column:
-    """The keys of host and path, longest first."""
-    labels = "split(host, '[.]')"
-    suffixes = f"transform(sequence(1, size({labels})), i -> array_join(slice({labels}, i, size({labels})), '.'))"
-    wanted = f"filter(array({', '.join(map(str, sorted(set(lengths))))}), n -> n <= length(path))"
-    each = f"flatten(transform({suffixes}, s -> transform({wanted}, n -> named_struct('n', -(length(s) + n), 'key', concat(s, substr(path, 1, n))))))"
-    return F.expr(f"case when host = '' and path = '' then array() else transform(array_sort({each}), x -> x.key) end")
+def _keys(rules: tuple[Rule, ...]) -> Column:
+    """The keys of host and path, longest first: for each shape of a rule (labels of its host, length of its path) one at most."""
+    parts = []
+    for labels, n in sorted({(r.host.count(".") + 1, len(r.path)) for r in rules}):
+        suffix = f"substring_index(host, '.', -{labels})"
+        fits = f"length(host) - length(replace(host, '.', '')) >= {labels - 1} and length(path) >= {n} and (host <> '' or path <> '')"
+        parts.append(f"if({fits}, named_struct('n', -length({suffix}) - {n}, 'key', concat({suffix}, substr(path, 1, {n}))), null)")
+    return F.expr(f"transform(array_sort(array_distinct(array_compact(array({', '.join(parts)})))), x -> x.key)")
 
 
 def _places(h: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -105,19 +112,23 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> tuple[int, np.n
             byte, bit = (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(bit.astype(np.int32))], names=["byte", "bit"])
 
+    def pack(batches):
+        for batch in batches:
+            at, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([bit.astype(np.uint8).tobytes()], pa.binary())], names=["at", "bit"])
+
     out = np.zeros(-(-bits // 8), np.uint8)
-    for r in keys.mapInArrow(cells, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).collect():
-        out[r.byte] = r.bit
+    merged = keys.mapInArrow(cells, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
+    for r in merged.mapInArrow(pack, "at binary, bit binary").collect():  # 9 bytes for each byte of the level at most
+        out[np.frombuffer(r.at, np.int64)] = np.frombuffer(r.bit, np.uint8)
     return bits, out
 
 
 def build(universe: DataFrame, listed: list[str], n_universe: int) -> Cascade:
-    """Cascade for the listed keys over universe, a column ``key`` of distinct keys."""
+    """Cascade for the listed keys over universe, distinct hashes ``h`` of keys."""
     spark = universe.sparkSession
-    hashed = F.xxhash64("key").alias("h")
-    own = spark.createDataFrame([(k,) for k in listed], "key string").select(hashed).distinct()
-    others = universe.where(~F.col("key").isin(listed)) if len(listed) <= 1000 else universe.join(spark.createDataFrame([(k,) for k in listed], "key string"), "key", "left_anti")
-    sides = [own, others.select(hashed)]
+    own = spark.createDataFrame([(k,) for k in listed], "key string").select(F.xxhash64("key").alias("h")).distinct()
+    sides = [own, universe.join(F.broadcast(own) if len(listed) <= 1_000_000 else own, "h", "left_anti")]
     cascade, rate = Cascade(), min(0.5, max(len(listed) / max(1, n_universe), 1e-9) / math.sqrt(2))
     n = len(listed)
     while n:
@@ -141,12 +152,12 @@ def build(universe: DataFrame, listed: list[str], n_universe: int) -> Cascade:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
     """pages with ``host``, ``path``, ``rule`` and ``verdict`` added (replacing columns of these names)."""
     spark = pages.sparkSession
-    lengths = [len(r.path) for r in rules]
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    keyed = split.withColumn("rule", _keys(lengths))
     if not rules:
         return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    universe = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).select(F.explode(_keys(lengths)).alias("key")).distinct()
+    keyed = split.withColumn("rule", _keys(rules))
+    hashes = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).select(F.explode(_keys(rules)).alias("key")).select(F.xxhash64("key").alias("h"))
+    universe = written(hashes.distinct(), "url-universe")
     n = universe.count()
     verdicts = {v: build(universe, sorted({r.key for r in rules if r.verdict == v}), n) for v in ("block", "allow")}
     cascades = spark.sparkContext.broadcast(verdicts)
