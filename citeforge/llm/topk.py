@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .textbytes import tidy
 
-SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 1024
+SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 4096
 
 
-def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), np.int64)
+def _matrix(vectors: list[list[int]], dims: int, kind) -> np.ndarray:
+    out = np.zeros((len(vectors), dims), kind)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -73,29 +73,38 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     x = F.col("embedding")
     whole = vectors.select(F.col("vec_id").cast("long").alias("id"), x.cast("array<double>").alias("x")).where("id is not null and x is not null and not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
     ints = whole.select("id", F.expr("transform(x, v -> cast(floor(256 * v) as bigint))").alias("v"))
-    total = ints.agg(F.count("*").alias("n")).first().n
-    segments = max(1, -(-total // SEGMENT))
-    # Range partitions give segments of about equal size without any hot key; equal ids stay together.
-    dealt = ints.repartitionByRange(segments, "id").select(F.spark_partition_id().alias("segment"), "id", "v")
+    size = ints.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0L, (a, y) -> greatest(a, abs(y)))")).alias("most")).first()
+    total, segments = size.n, max(1, -(-size.n // SEGMENT))
+    # Vectors travel in the smallest integers that hold them.
+    sql, kind = next((x, y) for x, y, most in (("smallint", np.int16, 2**15 - 1), ("int", np.int32, 2**31 - 1), ("bigint", np.int64, 2**63)) if (size.most or 0) <= most)
+    ints = ints.select("id", F.col("v").cast(f"array<{sql}>").alias("v"))
+    # Range partitions give segments of about equal size; rows that repeat an id may be dealt to several.
+    order = ["id", F.xxhash64("v")]
+    dealt = ints.repartitionByRange(segments, *order)
 
     def pack(batches):
-        """One row a segment: its ids and vectors."""
-        held: dict[int, list] = {}
+        """Rows of at most SEGMENT ids and vectors each."""
+        held: list[tuple[int, list[int]]] = []
+
+        def row():
+            dims = max(len(v) for _, v in held)
+            m = _matrix([v for _, v in held], dims, kind)
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array([i for i, _ in held], np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["dims", "ids", "m"])
+
         for batch in batches:
-            for s, i, v in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                held.setdefault(s, []).append((i, v))
-        for s, rows in held.items():
-            for lo in range(0, len(rows), SEGMENT):
-                part = rows[lo : lo + SEGMENT]
-                dims = max(len(v) for _, v in part)
-                m = _matrix([np.array(v, np.int64) for _, v in part], dims)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([dims], pa.int32()), pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["segment", "dims", "ids", "m"])
-
-    made = "segment int, dims int, ids binary, m binary"
-    candidates = dealt.mapInArrow(tidy(pack), made).select(F.xxhash64("ids").alias("part"), "dims", "ids", "m")
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(pair)
+                if len(held) == SEGMENT:
+                    yield row()
+                    held.clear()
+        if held:
+            yield row()
+
+    made = "dims int, ids binary, m binary"
+    candidates = dealt.mapInArrow(tidy(pack), made).select(F.xxhash64("ids", "m").alias("part"), "dims", "ids", "m")
     queries = ints.where(F.col("id") % every == 0)
     blocks = max(1, -(-total // (every * QUERY_BLOCK)))
-    asked = queries.repartitionByRange(blocks, "id").select(F.spark_partition_id().alias("segment"), "id", "v").mapInArrow(tidy(pack), made).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.monotonically_increasing_id().alias("q"))
+    asked = queries.repartitionByRange(blocks, *order).mapInArrow(tidy(pack), made).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     # Each block of queries meets each segment: rows of a block and a segment, one pair a row.
     spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
     placed = candidates.withColumn("slot", F.expr(f"pmod(part, {segments})").cast("int"))
@@ -106,10 +115,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             for r in batch.to_pylist():
                 dims = max(r["dims"], r["q_dims"])
                 qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = (np.pad(np.frombuffer(m, np.int64).reshape(len(i), d), ((0, 0), (0, dims - d))) for m, i, d in ((r["q_m"], qid, r["q_dims"]), (r["m"], cid, r["dims"])))
+                q, c = (np.pad(np.frombuffer(m, kind).reshape(len(i), d).astype(np.int64), ((0, 0), (0, dims - d))) for m, i, d in ((r["q_m"], qid, r["q_dims"]), (r["m"], cid, r["dims"])))
                 a, b, s = search_segment(qid, q, cid, c, k)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": a, "vec_id": b, "score": s}), preserve_index=False)
 
-    found = pairs.select("q_ids", "q_dims", "q_m", "ids", "dims", "m").repartition(max(1, segments * blocks), F.xxhash64("q_ids", "ids")).mapInArrow(tidy(score), "query_id long, vec_id long, score long")
+    found = pairs.select("q_ids", "q_dims", "q_m", "ids", "dims", "m").repartition(max(1, segments * blocks), F.xxhash64("q_ids", "ids", "m")).mapInArrow(tidy(score), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
