@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sketch
 from .shared import input_bytes, measured, order_id, small_batches
@@ -200,9 +201,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[2:], "text", "n_words", "n_removed", "kept_text"])
 
     # Own columns go in a struct, so that no name of the table can clash with ours.
-    packed = docs.select(order_id().alias("doc"), _tag().alias("tag"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"))
+    packed = docs.select(order_id().alias("doc"), _tag().alias("tag"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"))
     joined = packed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["doc", "tag"], "left").select("text", "runs", "own")
-    own = joined.schema["own"].dataType.simpleString()
-    out = joined.mapInArrow(tidy(cut), f"own {own}, text string, n_words long, n_removed long, kept_text string")
+    made = [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    out = joined.mapInArrow(tidy(cut), T.StructType([joined.schema["own"], *made]))
     back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     return out.select(*back, "n_words", "n_removed", "kept_text")

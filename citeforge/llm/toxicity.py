@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches, written
 from .textbytes import LOWER, mix, slices, split_words, tidy
@@ -239,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> Model
     likely = np.zeros(1 << FILTER_BITS, bool)
     likely[pairs >> np.uint64(64 - FILTER_BITS)] = True
     model = Model(pairs, pair_diff, np.packbits(likely, bitorder="little"), *_sorted(word, "word", "p1", "p0"), *_sorted(context, "before", "l1", "l0"), float(np.log(unseen[1] / unseen[0])))
-    seen = _apply(rows.where("fold = 0").select("text", F.col("toxic").alias("own")), model, "own int, x array<double>", lambda m, x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
+    seen = _apply(rows.where("fold = 0").select("text", F.col("toxic").alias("own")), model, "x", T.ArrayType(T.DoubleType()), lambda m, x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
     y = seen["own"].to_numpy(np.int64)
     x = np.array(seen["x"].tolist(), float).reshape(-1, 3)
     model.line = _line(x, y, np.array([size.get(0, 0) / max(1, (y == 0).sum()), size.get(1, 0) / max(1, (y == 1).sum())]))
@@ -266,24 +267,23 @@ def _line(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3
     return (float(beta[0] - slope @ mean), *map(float, slope))
 
 
-def _apply(rows: DataFrame, model: Model | None, kind: str, finish) -> DataFrame:
-    """rows (text, own) as (own, finish of the model and the text's features)."""
+def _apply(rows: DataFrame, model: Model | None, name: str, kind: T.DataType, finish) -> DataFrame:
+    """rows (text, own) as own and a column: finish of the model and the text's features."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = [x.strip().split(" ")[0] for x in (kind.split(",")[0], kind.rsplit(",", 1)[1])]
 
     def run(batches):
         got = shared.value
         for batch in batches:
             x = np.zeros((batch.num_rows, 3)) if got is None else got.features(batch.column(0), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(1), finish(got, x)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), finish(got, x)], names=["own", name])
 
-    return rows.mapInArrow(tidy(run), kind)
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["own"], T.StructField(name, kind)]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with ``score`` and ``predicted`` added (replacing columns of these names)."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    packed = docs.select("text", F.struct(*keep).alias("own"))
-    out = _apply(packed, model, f"own {packed.schema['own'].dataType.simpleString()}, score double", lambda m, x: pa.array(np.zeros(len(x)) if m is None else m.probability(x)))
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"))
+    out = _apply(packed, model, "score", T.DoubleType(), lambda m, x: pa.array(np.zeros(len(x)) if m is None else m.probability(x)))
     return out.select(*[F.col("own").getField(c).alias(c) for c in keep], "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
