@@ -115,17 +115,32 @@ def test_bpe_and_token_file(spark, docs):
 
 
 def test_shard_reads_one_document():
-    from citeforge.llm.tokenfile import MAGIC, ShardReader, ShardWriter
-
-    w = ShardWriter()
-    for i in range(5):
-        w.add(10 + i, np.arange(i, dtype="<u2").tobytes())
-    shard = w.close() + MAGIC
-    r = ShardReader(shard)
-    assert r.docs.tolist() == [10, 11, 12, 13, 14] and r.tokens(3).tolist() == [0, 1, 2] and r.starts.tolist() == [0, 0, 1, 3, 6, 10]
-    r.sums = r.sums + 1
+    from citeforge.llm.tokenfile import MAGIC, ShardReader, ShardWriter, bytes_reader
+
+    def shard(first, n):
+        w = ShardWriter()
+        for i in range(n):
+            w.add(first + i, np.arange(i * 500, dtype="<u2").tobytes())
+        return w.close() + MAGIC
+
+    file, asked = shard(10, 5) + shard(20, 40), []
+
+    def read(at, size):
+        asked.append(size)
+        return file[at : at + size]
+
+    one, two = ShardReader.all_of(read, len(file))
+    assert one.docs.tolist() == [10, 11, 12, 13, 14] and one.tokens(3).tolist() == list(range(1500)) and one.starts.tolist() == [0, 0, 500, 1500, 3000, 5000]
+    assert two.begin == len(file) - len(shard(20, 40)) and two.document(19) is None
+    asked.clear()
+    assert two.document(22).tolist() == list(range(1000))
+    # Nothing but the frame of that document is read and decompressed.
+    assert len(asked) == 1 and asked[0] == two.at[3] - two.at[2] < len(file) / 10
     with pytest.raises(ValueError):
-        r.tokens(2)
+        ShardReader(bytes_reader(file[:-1]), len(file) - 1)
+    two.sums = two.sums + 1
+    with pytest.raises(ValueError):
+        two.tokens(2)
 
 
 def test_mix(docs):
@@ -194,7 +209,8 @@ def test_quality_outvotes_a_noisy_rule(spark):
     voted = spark.createDataFrame([(*v, n) for v, n in rows.items()], ", ".join(f"{x} int" for x in [*names, "n"])).selectExpr(*names, "explode(sequence(1, n)) as i")
     p = _posteriors(*fit(voted))
     p = p.getItem(0) / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    one, several = [(-1,) + (1,) * 8], [(1,) * 5 + (-1,) * 4, (-1,) * 3 + (1,) * 6]
+    k = len(RULES)
+    one, several = [(-1,) + (1,) * (k - 1)], [(1,) * (k - 4) + (-1,) * 4, (-1,) * 3 + (1,) * (k - 3)]
     got = {tuple(r[x] for x in names): r.q for r in spark.createDataFrame(one + several, names).select(*names, p.alias("q")).collect()}
     assert got[one[0]] >= 0.5 and all(got[v] < 0.5 for v in several)
 
