@@ -1,8 +1,8 @@
 """Registered queries over the reference's domain."""
 
-from .plans import analysis, catalog, citations, classes, cohort, details, evidence, matching, names
+from .plans import analysis, catalog, citations, classes, cohort, details, evidence, matching, merges, names
 
-_MODULES = (catalog, analysis, cohort, matching, citations, evidence, classes, names, details)
+_MODULES = (catalog, analysis, cohort, matching, citations, evidence, classes, names, details, merges)
 
 
 def _merged(name: str) -> dict:
