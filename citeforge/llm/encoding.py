@@ -58,9 +58,10 @@ class _Memory(dict):
 class PieceEncoder:
     """Encodes batches of texts to little-endian ids of ``dtype``.
 
-    keep_space: the space before a piece belongs to it (byte-level); else spaces are dropped."""
+    keep_space: the space before a piece belongs to it (byte-level); else spaces are dropped.
+    remembered: entries of its memory, some 200 bytes each."""
 
-    def __init__(self, path: str, keep_space: bool, dtype: str):
+    def __init__(self, path: str, keep_space: bool, dtype: str, remembered: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,9 +71,10 @@ class PieceEncoder:
         self.keep_space, self.code = keep_space, "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.shown = byte_characters()
         self.matches = (_BYTE_PATTERN if keep_space else _WORD_PATTERN).findall
-        self.words = _Memory(self._word, REMEMBERED // 2)
-        self.first = _Memory(self._piece, REMEMBERED // 8 if keep_space else REMEMBERED)
-        self.rest = _Memory(lambda p: self._piece(" " + p), REMEMBERED) if keep_space else self.first
+        n = remembered or REMEMBERED
+        self.words = _Memory(self._word, n // 2)
+        self.first = _Memory(self._piece, n // 8 if keep_space else n)
+        self.rest = _Memory(lambda p: self._piece(" " + p), n) if keep_space else self.first
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

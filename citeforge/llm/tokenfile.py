@@ -39,13 +39,15 @@ from .textbytes import tidy
 SEEK_FRAME, INDEX_FRAME, MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, b"\xb1\xea\x92\x8f", 0x80
 #: A shard is made of about so many bytes of Spark's estimate of its input.
 SHARD_BYTES = 12_000_000
+#: Pieces that a worker remembers, some 300 MB with the words that they consist of.
+REMEMBERED = 1_000_000
 #: A shard ends at so many bytes of frames.
 FILE_BYTES = 64_000_000
 
 
 @lru_cache(2)
 def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, False, "<u2")
+    return PieceEncoder(path, False, "<u2", REMEMBERED)
 
 
 class ShardWriter:
