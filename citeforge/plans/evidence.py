@@ -196,7 +196,7 @@ ORACLE_SQL = {
         s AS (SELECT cid, id, dy, round(CASE WHEN whole AND m / n >= 0.6 THEN 0.95 ELSE j END + 0.08::DOUBLE - 0.02::DOUBLE * abs(dy) + 0.08::DOUBLE, 6) AS score, CASE WHEN whole AND m / n >= 0.6 THEN 0.95 ELSE j END AS base FROM h WHERE CASE WHEN anyone THEN whole ELSE tail END),
         z AS (SELECT cid, id, 'fuzzy', 2 FROM (FROM s WHERE base >= 0.85 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY score DESC, id) = 1) WHERE abs(dy) <= 1)
         SELECT cid AS citation_id, id, method FROM (FROM d UNION ALL FROM a UNION ALL FROM z) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY prio, id) = 1""",
-    "retrieval_plan": f"""WITH {CITATIONS}, c AS (SELECT *, concat_ws(' ', title, venue, raw, url) AS t, coalesce(lower(doi), '') AS k FROM citations),
+    "retrieval_plan": f"""WITH {CITATIONS}, c AS (SELECT *, regexp_replace(concat_ws(' ', title, venue, raw, url), '[^\\x00-\\x7F]', 'z', 'g') AS t, coalesce(lower(doi), '') AS k FROM citations),
         s AS (SELECT doc_id, doi IS NOT NULL AS has, k LIKE '10.48550/arxiv%' AS ad, k LIKE '10.48550/arxiv%' OR regexp_matches(t, '(?i)\\barxiv\\b|\\bcorr\\b') AS arx, regexp_matches(t, '(?i)\\brfc\\s*\\d{{1,5}}\\b') AS rfc, {_S['thesis']} AS thesis, {_S['book']} AS bk, {_S['regional']} AS reg, {_S['biomed']} AS bio, {_S['cs']} AS cs, {_S['periodical']} AS per FROM c),
         f AS (SELECT *, bk AND NOT arx AND NOT thesis AS book FROM s), q AS (SELECT *, per AND NOT book AS peri FROM f)
         SELECT doc_id,
