@@ -1,7 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word bigram models, of toxic and of ordinary labelled documents, with interpolated Kneser-Ney
-smoothing. In class c, with n its counts of bigrams and D the discount,
+smoothing. Counts are of different contexts, as in its lower orders, so that a passage that many
+documents share counts once: n(h, w) is the number of different words before h w in the class. With D
+the discount,
 
     P(w | h) = max(n(h, w) - D, 0) / n(h) + L(h) * P(w)         L(h) = D * |{w: n(h, w) > 0}| / n(h)
     P(w)     = max(k(w) - D, 0) / K       + D * V / K * S(w)    k(w) = |{h: n(h, w) > 0}|, K = sum of k
@@ -13,9 +15,9 @@ word of either class counts, and rare ones are smoothed; where neither class has
 difference is that of L(h) and P(w).
 
 A text is told by the difference of the two log-likelihoods, normalised by length: over the whole
-text, and over its most toxic passage of PASSAGE words, since one insult in a long text is one. A
-line over these two and the logarithm of the length, fitted on labelled rows that the counts have
-not seen, gives the probability.
+text, over its most toxic passage of PASSAGE words, since one insult in a long text is one, and by
+what its telling words add up to beside the logarithm of its length. No word says more than MOST. A
+line over these, fitted on labelled rows that the counts have not seen, gives the probability.
 
 Bounds: the class models are fitted on labelled rows of smallest hash, at most SAMPLE of each class
 and SAMPLE_BYTES of their texts, no text longer than LONGEST among them; three quarters teach counts
@@ -44,6 +46,8 @@ from .textbytes import LOWER, mix, slices, split_words, tidy
 
 SAMPLE, SAMPLE_BYTES, LONGEST = 20_000, 8_000_000, 400_000
 DISCOUNT, PASSAGE = 4.0, 4
+#: One word says no more than this, for or against: a rare pair of words in a shared passage is no proof.
+MOST, TELLING, FEATURES = 3.0, 2.0, 4
 #: Words that a task counts before it passes the counts on.
 HELD = 2_000_000
 #: Bits of the filter that keeps most bigrams that no class has from being looked up.
@@ -92,7 +96,7 @@ def sample(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> tuple
 
 
 def bigram_counts(rows: DataFrame) -> DataFrame:
-    """(key, before, word, n1, n0) of every bigram of rows (text, toxic): how many of each class have it."""
+    """(key, before, word, n1, n0) of every bigram of rows (text, toxic): in how many different contexts, words before it, each class has it."""
 
     def count(batches):
         for batch in batches:
@@ -100,19 +104,15 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
             for a, w, h, before, pair in _words(batch.column(0)):
                 if not len(h):
                     continue
-                y = toxic[a + w.doc]
-                # Each bigram once for each document.
-                order = np.lexsort((pair, w.doc))
-                d, x = w.doc[order], pair[order]
-                once = order[np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])])]
-                for c in (0, 1):
-                    i = once[y[once] == c]
-                    key, at, n = np.unique(pair[i], return_index=True, return_counts=True)
-                    at = i[at]
-                    one, none = n.astype(np.int64), np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, before[at], h[at])), *(pa.array(x) for x in ((one, none) if c else (none, one)))], names=["key", "before", "word", "n1", "n0"])
+                y = toxic[a + w.doc].astype(np.int32)
+                two = np.zeros(len(h), np.uint64)
+                two[1:] = np.where(w.doc[1:] == w.doc[:-1], before[:-1], np.uint64(0))
+                context = mix(pair + np.uint64(0x9E3779B97F4A7C15) * mix(two + y.astype(np.uint64)))
+                _, at = np.unique(context, return_index=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (context, pair, before, h)), pa.array(y[at])], names=["context", "key", "before", "word", "toxic"])
 
-    return rows.mapInArrow(tidy(count), "key long, before long, word long, n1 long, n0 long").groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    seen = rows.mapInArrow(tidy(count), "context long, key long, before long, word long, toxic int").dropDuplicates(["context"])
+    return seen.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -199,18 +199,19 @@ class Model:
         return out
 
     def features(self, texts, n: int) -> np.ndarray:
-        """Per text: difference per word over the whole text, over its most toxic passage, and log(1 + words)."""
-        out = np.zeros((n, 3))
+        """Per text: difference per word over the whole text, over its most toxic passage, log(1 + what single words exceed TELLING by), and log(1 + words)."""
+        out = np.zeros((n, FEATURES))
         for a, w, h, before, pair in _words(texts):
             if not len(h):
                 continue
-            up = np.r_[0.0, np.cumsum(self.differences(h, before, pair))]
+            d = np.clip(self.differences(h, before, pair), -MOST, MOST)
+            up, strong = np.r_[0.0, np.cumsum(d)], np.r_[0.0, np.cumsum(np.maximum(d - TELLING, 0.0))]
             size = np.diff(w.first)
             full = np.flatnonzero(size)
             lo, hi = w.first[:-1][full], w.first[1:][full]
             end = np.minimum(np.arange(len(h)) + PASSAGE, np.repeat(hi, size[full]))
             best = np.maximum.reduceat(up[end] - up[: len(h)], lo) / PASSAGE
-            out[a + full] = np.c_[(up[hi] - up[lo]) / size[full], best, np.log1p(size[full])]
+            out[a + full] = np.c_[(up[hi] - up[lo]) / size[full], best, np.log1p(strong[hi] - strong[lo]), np.log1p(size[full])]
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -242,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> Model
     model = Model(pairs, pair_diff, np.packbits(likely, bitorder="little"), *_sorted(word, "word", "p1", "p0"), *_sorted(context, "before", "l1", "l0"), float(np.log(unseen[1] / unseen[0])))
     seen = _apply(rows.where("fold = 0").select("text", F.col("toxic").alias("own")), model, "x", T.ArrayType(T.DoubleType()), lambda m, x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
     y = seen["own"].to_numpy(np.int64)
-    x = np.array(seen["x"].tolist(), float).reshape(-1, 3)
+    x = np.array(seen["x"].tolist(), float).reshape(-1, FEATURES)
     model.line = _line(x, y, np.array([size.get(0, 0) / max(1, (y == 0).sum()), size.get(1, 0) / max(1, (y == 1).sum())]))
     return model
 
@@ -250,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, remainder: int, of: int) -> Model
 def _line(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Logistic regression of y on x by Newton's method; weights: of a row of each class."""
     if len(x) == 0 or y.min() == y.max():
-        return (0.0, 0.0, 4.0, 0.0)
+        return (-3.0, 0.0, 4.0, 0.0, 0.0)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     weight = weights[y] / weights[y].sum()
@@ -274,7 +275,7 @@ def _apply(rows: DataFrame, model: Model | None, name: str, kind: T.DataType, fi
     def run(batches):
         got = shared.value
         for batch in batches:
-            x = np.zeros((batch.num_rows, 3)) if got is None else got.features(batch.column(0), batch.num_rows)
+            x = np.zeros((batch.num_rows, FEATURES)) if got is None else got.features(batch.column(0), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(1), finish(got, x)], names=["own", name])
 
     return rows.mapInArrow(tidy(run), T.StructType([rows.schema["own"], T.StructField(name, kind)]))

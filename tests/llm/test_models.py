@@ -26,10 +26,11 @@ def test_kneser_ney_probabilities(spark, monkeypatch):
             return h.view(np.int64).tolist(), before.view(np.int64).tolist(), key.view(np.int64).tolist()
 
     # The plain version.
-    n, shared = [Counter(), Counter()], Counter()
+    seen, shared = [set(), set()], Counter()
     for text, c in rows:
         w = (text or "").split()
-        n[c].update({(a, b) for a, b in zip(["", *w], w)})
+        seen[c] |= set(zip(["", "", *w], ["", *w], w))
+    n = [Counter((a, b) for _, a, b in x) for x in seen]
     for text in every:
         shared.update((text or "").split())
     total = sum(shared.values()) + len(shared) + 1
@@ -65,9 +66,10 @@ def test_kneser_ney_probabilities(spark, monkeypatch):
     h, before, key = (np.array(x, np.int64).view(np.uint64) for x in hashed(text))
     d = model.differences(h, before, key)
     assert all(w is None or abs(x - w) < 1e-5 for x, w in zip(d, want)) and sum(w is not None for w in want) >= 4
-    model.line = (0.0, 1.0, 1.0, 0.0)
     x = model.features(pa.array([text, "", None, "stupid"]), 4)
-    assert x[0, 0] == pytest.approx(d.mean()) and x[0, 2] == pytest.approx(math.log(7)) and not x[1:3].any()
+    d = np.clip(d, -t.MOST, t.MOST)
+    assert x[0, 0] == pytest.approx(d.mean()) and x[0, 3] == pytest.approx(math.log(7)) and not x[1:3].any()
+    assert x[0, 2] == pytest.approx(math.log1p(np.maximum(d - t.TELLING, 0).sum()))
     assert x[0, 1] == pytest.approx(max(d[i : i + t.PASSAGE].sum() for i in range(len(d))) / t.PASSAGE)
 
 
