@@ -8,33 +8,31 @@ the windows whose anchor is estimated repeated does so more closely. The last pa
 windows that this second sketch estimates repeated, groups them exactly by 128 bits of hash, and
 marks all but the first. No repeated window is lost.
 
-A task first settles the windows it holds itself: of equal ones only the earliest goes on, the
-others are marked at once. So a window that occurs in a third of all rows is shuffled once a task.
+A task first settles the windows it holds itself (:mod:`.runs`), so a window that occurs in a third of
+all rows is shuffled once a task.
 
 Defined results: null and empty texts have no words and keep none; a null doc_id counts as the
 largest; rows that repeat doc_id and text get the same marks, neither being earlier than the
-other; other columns are passed through; an empty table gives an empty table.
+other; rows that share a doc_id (or have none) with different texts stand in the order of a hash of
+their texts and are told apart by 95 bits of it; other columns are passed through; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import sketch
-from .shared import input_bytes, measured, order_id, small_batches
+from . import runs, sketch
+from .shared import input_bytes, measured, small_batches
 from .textbytes import ngrams, slices, sliding_min, split_words, tidy
 
 ANCHOR = 9
-TAG = 2**24 - 1
 #: Hash functions of the sketches.
 DEPTH = 2
-#: Windows that a task holds before it settles them and passes on.
-HELD = 250_000
 #: Marks are broadcast to the texts if they take no more bytes than this, else both are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -56,27 +54,6 @@ def _anchors(w, at: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray,
     return g, (sliding_min(key, window - gram + 1)[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Marked windows as one row for each document: runs of consecutive starts, as int32 pairs (start, length)."""
-    order = np.lexsort((pos, pos & TAG, doc))
-    d, t, s = doc[order], (pos & TAG)[order], (pos >> 24)[order]
-    other = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
-    head = np.flatnonzero(other | np.r_[True, s[1:] > s[:-1] + 1])
-    length = s[np.r_[head[1:], len(s)] - 1] - s[head] + 1
-    pairs = np.stack([s[head], length], 1).astype("<i4")
-    cut = np.flatnonzero(other[head])
-    blobs = [pairs[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(head)])]
-    return pa.RecordBatch.from_arrays([pa.array(d[head][cut], pa.int64()), pa.array(t[head][cut], pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "tag", "runs"])
-
-
-def _tag():
-    """24 bits of the text's hash, which tell rows apart that repeat a doc_id."""
-    return F.xxhash64("text").bitwiseAND(F.lit(TAG))
-
-
-_OCC = ["h1", "h2", "doc", "pos"]
-
-
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) added."""
     spark = docs.sparkSession
@@ -102,107 +79,37 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     second = sketch.repeated_cells(docs.select("text"), likely, bits, DEPTH)
     bitmap.unpersist()
 
-    def settle(parts: list[list[np.ndarray]]):
-        h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, doc, h2, h1))
-        h1, h2, doc, pos = (x[order] for x in (h1, h2, doc, pos))
-        same = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        late = (doc != doc[head]) | (pos >> 24 != pos[head] >> 24)
-        go = np.flatnonzero(~late & ~(same & np.r_[False, pos[1:] == pos[:-1]]))
-        for lo in range(0, len(go), 50_000):
-            g = go[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[g].view(np.int64)) for x in (h1, h2, doc, pos)), pa.nulls(len(g), pa.binary())], names=[*_OCC, "runs"])
-        if late.any():
-            r = _runs(doc[late], pos[late])
-            none = pa.nulls(r.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *r.columns], names=[*_OCC, "runs"])
-
-    def occurrences(batches):
-        held, n = [], 0
+    def occurrences(batch):
         seen = second.value
-        for batch in batches:
-            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, w, at in _windows(batch.column(2), window):
-                h = ngrams(w.hashes(), window)[at]
-                hit = sketch.is_repeated(seen, h, bits, DEPTH)
-                at, h = at[hit], h[hit]
-                if not len(at):
-                    continue
+        ids, keys, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for a, w, at in _windows(batch.column(3), window):
+            h = ngrams(w.hashes(), window)[at]
+            hit = sketch.is_repeated(seen, h, bits, DEPTH)
+            at, h = at[hit], h[hit]
+            if len(at):
                 row = w.doc[at] + a
-                held.append([h, ngrams(w.hashes(1), window, 1)[at], ids[row], (at - w.first[w.doc[at]]) << 24 | tags[row]])
-                n += len(at)
-                if n >= HELD:
-                    yield from settle(held)
-                    held, n = [], 0
-        if held:
-            yield from settle(held)
-
-    def later(batches):
-        """Rows sorted by hash, document and start: all but the first of a hash are marked."""
-        last = None
-        for batch in batches:
-            ready = batch.column(4).is_valid()
-            done = batch.filter(ready)
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays(done.columns[2:], names=["doc", "tag", "runs"])
-            h1, h2, doc, pos = (c.to_numpy() for c in batch.filter(pc.invert(ready)).columns[:4])
-            if not len(h1):
-                continue
-            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            if last is not None and (h1[0], h2[0]) == last[:2]:
-                new[0] = False
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            head_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-            head_start = np.where(head >= 0, pos[head] >> 24, last[3] if last else 0)
-            late = (doc != head_doc) | (pos >> 24 != head_start)
-            last = (h1[-1], h2[-1], head_doc[-1], head_start[-1])
-            if late.any():
-                yield _runs(doc[late], pos[late])
-
-    keyed = docs.select(order_id().alias("doc"), _tag().alias("tag"), "text")
-    occ = keyed.mapInArrow(tidy(occurrences), "h1 long, h2 long, doc long, pos long, runs binary")
-    # Single windows are dealt by their hash, what is settled already by its document.
-    dealt = occ.repartition(F.when(F.col("runs").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "pos"))).sortWithinPartitions(*_OCC)
-    found = dealt.mapInArrow(tidy(later), "doc long, tag long, runs binary").groupBy("doc", "tag").agg(F.collect_list("runs").alias("runs"))
-    def merge(batches):
-        """The runs of a document, which were found in tasks of many hashes, as few runs."""
-        for batch in batches:
-            out = []
-            for parts in batch.column(2).to_pylist():
-                pair = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
-                pair = pair[np.argsort(pair[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(pair.sum(1))
-                head = np.flatnonzero(np.r_[True, pair[1:, 0] > reach[:-1]])
-                out.append(np.stack([pair[head, 0], reach[np.r_[head[1:], len(pair)] - 1] - pair[head, 0]], 1).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc", "tag", "runs"])
+                yield [h, ngrams(w.hashes(1), window, 1)[at], ids[row], keys[row], tags[row] << 32 | (at - w.first[w.doc[at]])]
 
-    marks, size = measured(found.mapInArrow(tidy(merge), "doc long, tag long, runs binary"), "substring-marks", "runs")
+    marks, size = measured(runs.merged(runs.first_ones(docs.select(*runs.row_key(), "text"), occurrences)), "substring-marks", "runs")
 
     second.unpersist()
 
     def cut(batches):
         for batch in batches:
-            texts, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             kept, n, gone = [], [], []
-            for text, marked in zip(texts, runs):
+            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").encode().split()
                 n.append(len(words))
                 if marked:
-                    pair = np.frombuffer(marked, "<i4").reshape(-1, 2)
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, pair[:, 0], 1)
-                    np.subtract.at(edge, pair[:, 0] + pair[:, 1] + (window - 1), 1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stay)]
+                    words = [words[i] for i in np.flatnonzero(~runs.covered(marked, len(words), window))]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             rest = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([*rest, batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[2:], "text", "n_words", "n_removed", "kept_text"])
 
     # Own columns go in a struct, so that no name of the table can clash with ours.
-    packed = docs.select(order_id().alias("doc"), _tag().alias("tag"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"))
-    joined = packed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["doc", "tag"], "left").select("text", "runs", "own")
+    packed = docs.select(*runs.row_key(), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own"))
+    joined = packed.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, runs.KEY, "left").select("text", "runs", "own")
     made = [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     out = joined.mapInArrow(tidy(cut), T.StructType([joined.schema["own"], *made]))
     back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]

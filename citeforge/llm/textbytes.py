@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 500_000
 
@@ -24,10 +25,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_RNG = np.random.default_rng(20240229)
-_TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Start values and odd multipliers of the two hash functions.
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words are hashed one by one, by the library.
+LONG_WORD = 64
 
 
 def tidy(run):
@@ -53,19 +55,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
-    got = _POWERS.get(which)
-    if got is None or len(got[0]) < n:
-        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            both.append(np.cumprod(a))
-        got = _POWERS[which] = (both[0], both[1])
-    return got
+def join_hash(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    """Hash of a followed by b. Not linear in a: sums of powers would take some sequences for equal whatever the base."""
+    a = a * np.uint64(_BASES[which])
+    return (a ^ (a >> np.uint64(29))) + b
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, as a view; beyond the end they are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def spans_hash(view: np.ndarray, start: np.ndarray, length: np.ndarray, which: int) -> np.ndarray:
+    """Hash of the bytes from each start on, length of them; view is eights of the data."""
+    out = mix(length.astype(np.uint64) + np.uint64(_SEEDS[which]))
+    live, at = np.flatnonzero(length > 0), 0
+    while len(live):
+        left = length[live] - at
+        part = view[start[live] + at]
+        short = left < 8
+        if short.any():
+            part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[live] = mix((out[live] ^ part) * np.uint64(_BASES[which]))
+        at += 8
+        live = live[left > 8]
+    return out
 
 
 @dataclass
@@ -80,13 +96,13 @@ class Words:
     base: np.ndarray  # per document, where its bytes start; one entry more at the end
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(which, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][self.data] * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        """64 bits of each word's bytes; the two functions together tell words apart by 128."""
+        length = self.end - self.start
+        long = np.flatnonzero(length > LONG_WORD)
+        out = spans_hash(eights(self.data), self.start, np.where(length > LONG_WORD, 0, length), which)
+        for i in long:
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), _SEEDS[which])
+        return out
 
 
 def split_words(data: np.ndarray, base: np.ndarray, sep: np.ndarray = SPACE) -> Words:
@@ -135,15 +151,15 @@ def ngrams(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base, done, out, power, span = _BASES[which], 0, None, h, 1
+    done, out, power, span = 0, None, h, 1
     while True:
         if k & span:
             part = power[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(pow(base, span, 2**64)) + part
+            out = part.copy() if out is None else join_hash(out, part, which)
             done += span
         if span * 2 > k:
             break
-        power = power[:-span] * np.uint64(pow(base, span, 2**64)) + power[span:]
+        power = join_hash(power[:-span], power[span:], which)
         span *= 2
     return mix(out)
 
