@@ -61,4 +61,4 @@ def segments(x: Column, size: int = 512, most: int = 5) -> Column:
 
 def split_merged(raw: Column) -> Column:
     """Entries that a parser has glued into one: cut before an author in inverted form that follows a full stop and precedes a year."""
-    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"(?<=[.)\d])\s+(?=\p{Lu}[\p{L}'’\-]+,\s+\p{Lu}\.[^()]{0,80}\((?:19|20)\d{2})"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"(?<=[.)\d])\s+(?=\p{Lu}[\p{L}'’\-]+,\s+\p{Lu}\.[^()]{0,80}\((?:19|20)\d{2})"), lambda p: F.trim(p)), lambda p: p != "")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import title_tokens
+from ..sources.store import written
+from .postings import B, K1, words_of
 
 
 def survivors(papers: DataFrame, refs: DataFrame, key) -> DataFrame:
@@ -16,17 +17,20 @@ def survivors(papers: DataFrame, refs: DataFrame, key) -> DataFrame:
     return counted.join(best, "key").select("id", "refs", "survivor_id", "copies")
 
 
-def bm25(papers: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, top: int = 10) -> DataFrame:
-    """(id, score) of the best papers for the query's words."""
-    n = papers.withColumn("words", F.split("text", r"[^\p{L}\p{N}]+"))
-    lengths = n.agg(F.avg(F.size("words")).alias("mean"), F.count("*").alias("total"))
+def bm25(papers: DataFrame, query: list[str], top: int = 10) -> DataFrame:
+    """(id, score) of the best papers for any of the query's words, in millionths; weights as in :mod:`.postings`.
+
+    For a single search without an index: texts are read once, and counts of the query's words written."""
     wanted = F.array(*[F.lit(q) for q in sorted(set(query))])
-    tf = n.select("id", F.size("words").alias("len"), F.explode(F.filter("words", lambda w: F.array_contains(wanted, w))).alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    part = tf.join(F.broadcast(df), "word").join(F.broadcast(lengths))
-    idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return part.groupBy("id").agg(F.sum(F.round(weight * 1e6).cast("long")).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+    n = papers.select("id", words_of(F.col("text")).alias("words"))
+    counts = written(n.select("id", F.size("words").alias("len"), F.transform(wanted, lambda q: F.size(F.filter("words", lambda w: w == q))).alias("tf")), "bm25-counts")
+    held = [F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)) for i in range(len(set(query)))]
+    size = counts.agg(F.count("*").alias("total"), F.sum("len").alias("words"), F.array(*held).alias("df")).where("total > 0")
+    one = counts.where("exists(tf, x -> x > 0)").join(F.broadcast(size))
+    idf = lambda df: F.greatest(F.ln((F.col("total") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    gain = lambda tf, df: F.round(idf(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") * F.col("total") / F.col("words"))) * 1e6).cast("long")
+    score = F.aggregate(F.zip_with("tf", "df", gain), F.lit(0).cast("long"), lambda a, x: a + x)
+    return one.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -36,14 +40,6 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(new, key, "full_outer").select(key, *[F.coalesce(f"new_{c}", c).alias(c) for c in columns])
 
 
-def token_blocked_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """(a, b, shared): pairs of (id, text) that share a word which at most ``most`` rows of right have."""
-    words = lambda x, name: x.select(F.col("id").alias(name), F.explode(title_tokens(F.col("text"))).alias("word"))
-    r = words(right, "b")
-    rare = r.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
-    return words(left, "a").join(r.join(rare, "word"), "word").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
 def keep_best(rows: DataFrame, key: list[str], quality: list) -> DataFrame:
     """The first row of each key in the order of quality."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*quality))).where("_n = 1").drop("_n")

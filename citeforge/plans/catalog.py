@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normalize import citation_key, csv_guard, fingerprint, normalize_doi, normalize_text
+from ..operators import postings
 from ..operators.catalog import bm25, keep_best, survivors, upsert
+from ..sources.store import new_path
 from ..sources.tables import ESSAYS, LOG, PAPERS, essays, papers, query_log, table
 
 
@@ -45,16 +47,48 @@ def paper_upsert(spark, d):
 
 
 def paper_search_bm25(spark, d):
-    return bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), ["thing", "that", "und", "trash"])
+    return bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["thing", "that", "und", "trash"])
+
+
+def _index(spark, d):
+    """An index over the texts, written in two segments as a catalogue that has grown."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = new_path(spark, "postings")
+    for part in (0, 1):
+        postings.add(docs.where(F.col("id") % 2 == part), path)
+    return postings.Index(spark, path)
+
+
+def paper_search_batch(spark, d):
+    """The five texts that best match the title of each hundredth paper, all its words held."""
+    asked = papers(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+    return _index(spark, d).search(asked, 5)
+
+
+def word_search_batch(spark, d):
+    """The ten texts that best match the longest word and the last word of each hundredth paper's title, together."""
+    word = F.array_max(F.transform(postings.words_of(F.col("title")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = papers(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", word, F.try_element_at(postings.words_of(F.col("title")), F.lit(-1))).alias("text"))
+    return _index(spark, d).search(asked, 10)
 
 
 def essay_keep_best(spark, d):
     return keep_best(essays(spark, d), ["user_id", "class_id"], [F.desc("uploaded_at"), "essay_id"]).select("essay_id", "user_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, essay_keep_best)}
+QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, paper_search_batch, word_search_batch, essay_keep_best)}
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_SEARCH = """WITH {papers}, n AS (SELECT doc_id AS id, {words} AS words FROM documents), t AS (SELECT sum(len(words)) / count(*) AS mean, count(*) AS total FROM n),
+        tf AS (SELECT id, len, word, count(*) AS tf FROM (SELECT id, len(words) AS len, unnest(words) AS word FROM n) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+        q AS (SELECT id AS query_id, list_distinct({asked}) AS words FROM (SELECT id, {title} AS w FROM papers WHERE id % 100 = 0)), u AS (SELECT query_id, len(words) AS many, unnest(words) AS word FROM q),
+        s AS (SELECT query_id, id, any_value(many) AS many, count(*) AS held, CAST(sum(CAST(floor(1e6 * greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) + 0.5) AS BIGINT)) AS BIGINT) AS score
+            FROM u JOIN tf USING (word) JOIN df USING (word), t GROUP BY query_id, id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s WHERE held = many QUALIFY rank <= {top}"""
 
 ORACLE_SQL = {
+    "paper_search_batch": _SEARCH.format(papers=PAPERS, words=_WORDS.format("text"), title=_WORDS.format("title"), asked="w", top=5),
+    "word_search_batch": _SEARCH.format(papers=PAPERS, words=_WORDS.format("text"), title=_WORDS.format("title"), asked="list_filter([list_max(list_transform(w, lambda x: {'n': length(x), 'w': x})).w, w[-1]], lambda x: x IS NOT NULL)", top=10),
     "catalog_doi_survivors": _SURVIVORS.format(papers=PAPERS, log=LOG, key="lower(doi)"),
     "catalog_title_year_survivors": _SURVIVORS.format(papers=PAPERS, log=LOG, key="lower(title) || '|' || CAST(coalesce(year, -1) AS VARCHAR)"),
     "query_log_stats": f"WITH {LOG} SELECT source, count(*) AS n, CAST(sum(found) AS BIGINT) AS hits, avg(found) * 100 AS hit_rate FROM log GROUP BY source",
@@ -65,12 +99,12 @@ ORACLE_SQL = {
     "paper_upsert": f"""WITH {PAPERS}, c AS (SELECT id + 5 * (id % 3) AS id, 'new ' || title AS title, year + 1 AS year FROM papers
             QUALIFY row_number() OVER (PARTITION BY id + 5 * (id % 3) ORDER BY year DESC, title) = 1)
         SELECT coalesce(c.id, p.id) AS id, p.doi, coalesce(c.title, p.title) AS title, coalesce(c.year, p.year) AS year FROM papers p FULL JOIN c ON c.id = p.id""",
-    "paper_search_bm25": r"""WITH n AS (SELECT doc_id AS id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS words FROM documents),
-        t AS (SELECT avg(len(words)) AS mean, count(*) AS total FROM n),
+    "paper_search_bm25": r"""WITH n AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents),
+        t AS (SELECT sum(len(words)) / count(*) AS mean, count(*) AS total FROM n),
         w AS (SELECT id, len(words) AS len, unnest(words) AS word FROM n),
         tf AS (SELECT id, len, word, count(*) AS tf FROM w WHERE word IN ('thing', 'that', 'und', 'trash') GROUP BY ALL),
         df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)
-        SELECT id, CAST(sum(CAST(floor(1e6 * ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) + 0.5) AS BIGINT)) AS BIGINT) AS score
+        SELECT id, CAST(sum(CAST(floor(1e6 * greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) + 0.5) AS BIGINT)) AS BIGINT) AS score
         FROM tf JOIN df USING (word), t GROUP BY id ORDER BY score DESC, id LIMIT 10""",
     "essay_keep_best": f"WITH {ESSAYS} SELECT essay_id, user_id, class_id FROM essays QUALIFY row_number() OVER (PARTITION BY user_id, class_id ORDER BY uploaded_at DESC, essay_id) = 1",
 }

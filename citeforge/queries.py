@@ -1,8 +1,8 @@
 """Registered queries over the reference's domain."""
 
-from .plans import analysis, catalog, citations, classes, cohort, details, evidence, matching, merges, names
+from .plans import analysis, catalog, citations, classes, cohort, details, evidence, matching, merges, names, passages
 
-_MODULES = (catalog, analysis, cohort, matching, citations, evidence, classes, names, details, merges)
+_MODULES = (catalog, analysis, cohort, matching, citations, evidence, classes, names, details, merges, passages)
 
 
 def _merged(name: str) -> dict:
