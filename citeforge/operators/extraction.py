@@ -6,69 +6,18 @@ spans; what follows is joins, windows and aggregates over its rows.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import extract_doi, extract_url, extract_year, occurrence_confidence
+from .spans import find_spans
 
-_YEAR = r"(?:18|19|20)\d{2}[a-z]?|n\.?\s*d\.?"
-_NAME = r"[A-ZÀ-Ý][\w'’\-]+"
-# Kinds of occurrences in order of priority; the first to claim a span owns it.
-PATTERNS = (
-    ("parenthetical", "in_text", rf"\([^()\[\]]+,\s*(?:{_YEAR})(?:,\s*(?:pp?\.?|tr\.?)\s*\d+(?:\s*[-–]\s*\d+)?)?\)"),
-    ("narrative", "in_text", rf"{_NAME}(?:\s+(?:and|&|và)\s+{_NAME}|\s+et\s+al\.?)?\s+\((?:{_YEAR})\)"),
-    ("numeric", "numeric", r"\[[1-9]\d{0,2}(?:[,\s\-–—]+[1-9]\d{0,2})*\]"),
-    ("superscript", "numeric", r"\^\d+(?:\s*[-–,]\s*\d+)*"),
-    ("doi", "doi", r"\b10\.\d{4,9}/[^\s\]\),;()]+"),
-    ("url", "url", r"https?://[^\s\]\),;]+"),
-)
-# Words with which brackets begin that give a date or a number, no author.
-NOT_AUTHORS = (
-    "january february march april may june july august september october november december spring summer autumn fall winter received revised accepted published submitted "
-    "year years age ages grade phase step stage round table tables figure figures fig section sections chapter chapters part equation scheme week month day author authors"
-).split()
-_BEGINS = re.compile(r"^[(\s]*(?:see also|see|cf\.?|e\.g\.,?|i\.e\.,?)?\s*([^\W\d_]+)", re.IGNORECASE)
-_PARTICLE = re.compile(r"^(?:da|de|del|della|der|di|do|dos|du|el|la|le|van|von|zu|zur)\s+[A-ZÀ-Ý]")
 _SPAN = "array<struct<start:int,end:int,raw:string,pattern:string,kind:string>>"
 
 
-def _spans(text: str | None) -> Iterator[tuple[int, int, str, str, str]]:
-    text, taken = text or "", []
-    for name, kind, pattern in _COMPILED:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < e and b > s for s, e in taken) or not _is_citation(text, a, b, kind):
-                continue
-            taken.append((a, b))
-            yield a, b, re.sub(r"\s+", " ", m.group(0)).strip().rstrip(".,;:" if kind in ("doi", "url") else ""), name, kind
-
-
-def _is_citation(text: str, a: int, b: int, kind: str) -> bool:
-    """False for markers that open a line of a reference list, dates and captions in brackets, and overlong spans."""
-    raw = text[a:b]
-    if len(raw) > 150:
-        return False
-    if kind == "numeric":
-        line = text[:a].rpartition("\n")[2]
-        return bool(line.strip()) or bool(re.match(r"\s*[,.;:)\]]|\s+[a-z]", text[b : b + 20]))
-    if kind == "in_text":
-        word = _BEGINS.match(raw)
-        if not word or word.group(1).lower() in NOT_AUTHORS:
-            return False
-        head = word.group(1)
-        return head[0].isupper() or bool(_PARTICLE.match(raw.lstrip("( ")))
-    return True
-
-
-_COMPILED = [(name, kind, re.compile(p)) for name, kind, p in PATTERNS]
-
-
 def _find(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("start", "end", "raw", "pattern", "kind"), x)) for x in sorted(_spans(t))])
+    return texts.map(lambda t: [dict(zip(("start", "end", "raw", "pattern", "kind"), x)) for x in sorted(find_spans(t))])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import identifiers as ids
 from ..functions.authors import author_key, author_match, first_surname, fold_author
 from ..operators import extraction
 from ..sources.citations import CITATIONS, TEXT, citations, texts
+from ..sources.cited import CITED, MANY, cited
 from ..sources.tables import table
 
 
@@ -51,8 +52,8 @@ def manuscript_families(spark, d):
 
 
 def text_occurrences(spark, d):
-    """Citations in running text of each kind, and where the first one starts."""
-    return extraction.occurrences(texts(spark, d)).where("pattern in ('parenthetical', 'narrative', 'numeric')").where("raw rlike 'Smith|Tran|^.[0-9]'").groupBy("doc_id", "pattern").agg(F.count("*").alias("n"), F.min_by("raw", "start").alias("first"), F.max_by("start", "start").alias("last_start"))
+    """Every citation in each text, where it starts and which pattern claims it."""
+    return extraction.occurrences(cited(spark, d)).select("doc_id", "pos", "start", "pattern", "raw")
 
 
 def text_sections(spark, d):
@@ -115,10 +116,13 @@ ORACLE_SQL = {
     "author_forms": f"""WITH {CITATIONS}, k AS (SELECT doc_id, surname, list_last(string_split({_PLAIN.format('surname')}, ' ')) AS key, {_PLAIN.format('surname')} AS folded FROM citations)
         SELECT a.doc_id, a.key, a.surname AS first, a.folded, CASE WHEN a.key = b.key THEN 1.0 ELSE 0.0 END AS match FROM k a JOIN k b ON b.doc_id = a.doc_id + 1""",
     "manuscript_families": "SELECT 'thesis_' || o_custkey AS stem, count(*) AS files FROM orders GROUP BY 1",
-    "text_occurrences": rf"""WITH t AS (SELECT doc_id, text AS body, {TEXT} AS text FROM documents), k AS (SELECT *, length(body) + 10 AS a, strpos(substr(text, length(body) + 1), ' [1, 3-5]') + length(body) AS b FROM t)
-        SELECT doc_id, 'parenthetical' AS pattern, 1 AS n, '(Smith et al., ' || (1990 + doc_id % 30) || ')' AS first, strpos(substr(text, length(body) + 1), '(Smith') + length(body) - 1 AS last_start FROM k UNION ALL
-        SELECT doc_id, 'narrative', 1, 'Tran (' || (2000 + doc_id % 20) || ')', strpos(substr(text, length(body) + 1), 'Tran (') + length(body) - 1 FROM k UNION ALL
-        SELECT doc_id, 'numeric', 2, '[1, 3-5]', b + 13 FROM k""",
+    # What the texts were made with, and numbers in brackets that the documents hold themselves.
+    "text_occurrences": rf"""WITH {CITED}, k AS (SELECT doc_id, {', '.join(f"length(body || {' || '.join([*(f'l{j} || r{j} || {chr(39)} here{chr(39)}' for j in range(i)), f'l{i}'])}) AS s{i}, r{i}, p{i}" for i in range(MANY))} FROM cited),
+        own AS (SELECT doc_id, body, regexp_extract_all(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS m, string_split_regex(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS s FROM cited),
+        own_at AS (SELECT doc_id, body, m[i] AS raw, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM own)),
+        every AS ({' UNION ALL '.join(f"SELECT doc_id, s{i} AS start, p{i} AS pattern, r{i} AS raw FROM k" for i in range(MANY))} UNION ALL
+            SELECT doc_id, start, 'numeric_parenthesized', regexp_replace(raw, '\s+', ' ', 'g') FROM own_at WHERE NOT regexp_matches(substr(body, 1, start), '(^|\n)\s*$') OR regexp_matches(substr(body, start + length(raw) + 1, 200), '^\s*[,.;:)\]]|^\s+[a-z]'))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS pos, CAST(start AS INTEGER) AS start, pattern, raw FROM every""",
     "text_sections": f"""WITH t AS (SELECT doc_id, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS breaks, {TEXT} AS text FROM documents), l AS (SELECT *, strpos(substr(text, n + 1), chr(10)) - 1 AS more FROM t)
         SELECT doc_id, 'body' AS section, breaks + 1 AS lines, n - breaks + more AS chars FROM l UNION ALL SELECT doc_id, 'bibliography', 4, 10 + 39 + 24 + 15 FROM l UNION ALL SELECT doc_id, 'appendix', 2, 10 + 5 FROM l""",
     "list_entries": """SELECT doc_id, e AS entry, e AS marker, CASE e WHEN 1 THEN 'Smith, J. (2001). One study. Press.' ELSE 'Tran, A. (2002). Two studies. Press.' END AS raw, 'apa' AS style, CASE e WHEN 1 THEN 'Smith, J.' ELSE 'Tran, A.' END AS authors,

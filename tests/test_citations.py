@@ -91,7 +91,7 @@ def test_occurrences(spark):
     text = "Some claim (Smith, 2020). Jones et al. (2019) and [1, 2] and [3-5], in (May 2012), see (42, 2024).\n[9] Fellegi, I. (1969). A theory.\n[14] show that. 10.1038/nature14539."
     df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "plain text [0] (x) only")], "doc_id int, text string")
     got = occurrences(df).orderBy("doc_id", "pos").collect()
-    assert [(r.raw, r.pattern) for r in got] == [("(Smith, 2020)", "parenthetical"), ("Jones et al. (2019)", "narrative"), ("[1, 2]", "numeric"), ("[3-5]", "numeric"), ("[14]", "numeric"), ("10.1038/nature14539", "doi")]
+    assert [(r.raw, r.pattern) for r in got] == [("(Smith, 2020)", "apa_intext_parenthetical"), ("Jones et al. (2019)", "apa_intext_narrative"), ("[1, 2]", "ieee_numeric"), ("[3-5]", "ieee_numeric"), ("(1969)", "numeric_parenthesized"), ("[14]", "ieee_numeric"), ("10.1038/nature14539", "doi")]
     assert all(text[r.start : r.end].startswith(r.raw) for r in got) and [r.year for r in got[:2]] == ["2020", "2019"] and got[-1].doi == "10.1038/nature14539" and got[0].confidence == 0.25
     spans = [(1, 0, 10, 1), (1, 5, 12, 0), (1, 11, 20, 2), (1, 30, 40, 1), (2, 0, 10, 1), (1, 300, 900, 3), (1, 700, 710, 4)]
     left = own_spans(spark.createDataFrame(spans, "doc_id int, start int, end int, priority int"))
