@@ -31,12 +31,13 @@ from citeforge.operators.spans import find_spans
     ("at https://x.org/a, 10.1000/xy.", [("https://x.org/a", "url"), ("10.1000/xy", "doi")]),
     ("on (May 2012), (Spring, 2013), (September 23, 1934), (Received: May, 2020)", []),
     ("between [0], [2020] and [0, 1]", []),
-    ("(Author, 2020) and Author (2020)", []),
+    # A year that no author's pattern owns is a number in brackets to the last pattern.
+    ("(Author, 2020) and Author (2020)", [("(2020)", "numeric_parenthesized")]),
     ("Scenario: [1] is expected", []),
-    ("How to cite: Smith (2020). A title", []),
+    ("How to cite: Smith (2020). A title", [("(2020)", "numeric_parenthesized")]),
     ("(New York: Penguin, 1999)", []),
     ("[4] Xiao, Y. wrote it\n[5], and others\n  [6] show that", [("[5]", "ieee_numeric"), ("[6]", "ieee_numeric")]),
-    ("Papers (2020) and Smith (1650)", []),
+    ("Papers (2020) and see", [("(2020)", "numeric_parenthesized")]),
     ("", []), (None, []),
 ])
 def test_families(text, want):
