@@ -10,11 +10,36 @@ from ..functions.identifiers import title_key
 from ..functions.normalize import normalize_doi
 
 
-def merge_lists(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("doi", "title", "year", "venue")) -> DataFrame:
+#: Of a pair of entries: hundredths of shared title words, and what an equal year and an equal author add; less than LEAST is no pair.
+YEAR_GAIN, AUTHOR_GAIN, LEAST = 20, 30, 60
+
+
+def best_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(doc_id, left_id, right_id): one-to-one, the surest pairs first, among entries (doc_id, reference_id, title, year, author) that share a word.
+
+    A pair is taken if it is the best that either side still has; so rounds of mutually best pairs end as one pass over a
+    document's pairs in the order of their score, ties to the smaller ids."""
+    words = lambda df, name: df.select("doc_id", F.col("reference_id").alias(name), F.array_distinct(F.filter(F.split(title_key(F.col("title")), " "), lambda w: F.length(w) > 1)).alias(f"{name}_words"), F.col("year").cast("string").alias(f"{name}_year"), F.lower(author_key(F.col("author"))).alias(f"{name}_author"))
+    a, b = words(left, "left_id"), words(right, "right_id")
+    met = a.select("doc_id", "left_id", F.explode("left_id_words").alias("w")).join(b.select("doc_id", "right_id", F.explode("right_id_words").alias("w")), ["doc_id", "w"]).groupBy("doc_id", "left_id", "right_id").agg(F.count("*").alias("both"))
+    pairs = met.join(a, ["doc_id", "left_id"]).join(b, ["doc_id", "right_id"])
+    like = F.floor(100 * F.col("both") / (F.size("left_id_words") + F.size("right_id_words") - F.col("both")))
+    equal = lambda c, gain: F.when((F.col(f"left_id_{c}") == F.col(f"right_id_{c}")) & (F.col(f"left_id_{c}") != ""), gain).otherwise(0)
+    scored = pairs.select("doc_id", "left_id", "right_id", (like + equal("year", YEAR_GAIN) + equal("author", AUTHOR_GAIN)).cast("int").alias("score")).where(F.col("score") >= LEAST)
+    each = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "left_id", "right_id"))).alias("pairs"))
+    kind = scored.select("left_id", "right_id").schema
+    l, r = (f.dataType.simpleString() for f in kind)  # noqa: E741
+    none = F.array().cast(f"array<struct<left_id:{l},right_id:{r}>>")
+    free = lambda got, p: ~F.exists(got, lambda g: (g["left_id"] == p["left_id"]) | (g["right_id"] == p["right_id"]))
+    taken = F.aggregate("pairs", none, lambda got, p: F.when(free(got, p), F.concat(got, F.array(F.struct(p["left_id"].alias("left_id"), p["right_id"].alias("right_id"))))).otherwise(got))
+    return each.select("doc_id", F.explode(taken).alias("t")).select("doc_id", "t.*")
+
+
+def merge_lists(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("doi", "title", "year", "venue", "author")) -> DataFrame:
     """(doc_id, left_id, right_id, fields, conflicts) of references (doc_id, reference_id, fields) that two parsers found.
 
-    Entries meet by DOI, then by title, then by the number of the entry among those that are left; left's
-    fields win, right's fill gaps, and fields in which both have something else are named."""
+    Entries meet by DOI, then by title, then one-to-one by what else is alike (:func:`best_pairs`); left's fields win, right's
+    fill gaps, and fields in which both have something else are named. Entries of one side alone stay."""
 
     def pairs(a: DataFrame, b: DataFrame, key) -> DataFrame:
         keyed = lambda df, name: df.select("doc_id", key(df).alias("k"), F.col("reference_id").alias(name)).where("k is not null and k <> ''").groupBy("doc_id", "k").agg(F.min(name).alias(name))
@@ -22,13 +47,12 @@ def merge_lists(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("d
 
     by_doi = lambda df: normalize_doi(F.col("doi"))
     by_title = lambda df: title_key(F.col("title"))
-    place = lambda df: F.row_number().over(Window.partitionBy("doc_id").orderBy("reference_id")).cast("string")
     rest = lambda df, found, name: df.join(found.select("doc_id", F.col(name).alias("reference_id")), ["doc_id", "reference_id"], "left_anti")
     first = pairs(left, right, by_doi)
     a, b = rest(left, first, "left_id"), rest(right, first, "right_id")
     second = pairs(a, b, by_title)
     a, b = rest(a, second, "left_id"), rest(b, second, "right_id")
-    third = pairs(a, b, place)
+    third = best_pairs(a, b)
     links = first.unionByName(second).unionByName(third)
     named = lambda df, side: df.select("doc_id", F.col("reference_id").alias(f"{side}_id"), *[F.col(f).alias(f"{side}_{f}") for f in fields])
     whole = named(left, "left").join(links, ["doc_id", "left_id"], "left").join(named(right, "right"), ["doc_id", "right_id"], "full_outer")

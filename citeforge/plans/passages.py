@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.context import ABBREVIATIONS, KEEP_HYPHEN
 from ..operators import discovery
 from ..operators import lists as cut
+from ..operators import notes
 from ..sources import lists
+from ..sources import notes as noted
 from ..sources.tables import table
 
 #: Two references for each text: the first sentence of the next document, and the middle words of its own; authors are the first words of both.
@@ -43,7 +45,13 @@ def implicit_bibliographies(spark, d):
     return cut.implicit_lists(lists.lists(spark, d).select("doc_id", F.col("body").alias("text")))
 
 
-QUERIES = {f.__name__: f for f in (implicit_passages, unmarked_entries, implicit_bibliographies)}
+def linked_notes(spark, d):
+    """What each note of each text refers to, and how it says so."""
+    texts, references = noted.noted(spark, d)
+    return notes.link_notes(notes.note_lines(texts), references)
+
+
+QUERIES = {f.__name__: f for f in (implicit_passages, unmarked_entries, implicit_bibliographies, linked_notes)}
 
 # RE2 knows the edges of ASCII words alone, so what stands before a word is part of the match.
 _B = r"(^|[^\p{L}\p{N}_])"
@@ -86,6 +94,19 @@ ORACLE_SQL = {
             WHERE b.p - a.p + a.w > 0 QUALIFY row_number() OVER (PARTITION BY b.doc_id ORDER BY b.p - a.p + a.w DESC, b.i, a.i DESC) = 1),
         y AS (SELECT r.doc_id, sum(len(regexp_extract_all(line, '{cut.YEAR}'))) AS years FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN a AND b GROUP BY r.doc_id)
         SELECT doc_id, CAST(lo + a AS INTEGER) AS first, CAST(lo + b AS INTEGER) AS last, CAST(entries AS INTEGER) AS entries, CAST(years AS INTEGER) AS years FROM r JOIN y USING (doc_id) WHERE entries >= 3 AND (brackets >= 3 OR years >= 3)""",
+    "linked_notes": rf"""WITH {noted.NOTED}, n AS ({' UNION ALL '.join(f"SELECT doc_id, {k + 1} AS note, n{k + 1} AS text FROM noted" for k in range(noted.NOTES))}
+            UNION ALL SELECT doc_id, CAST(regexp_extract(x, '{notes.NOTE_LINE}', 1) AS INTEGER), trim(regexp_extract(x, '{notes.NOTE_LINE}', 2)) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '{notes.NOTE_LINE}')),
+        p AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain, regexp_matches(text, '{notes.IBID}') AS ibid, regexp_matches(text, '{notes.OP_CIT}') AS op, regexp_matches(text, '{notes.SUPRA}') AS supra, rtrim(lower(regexp_extract(text, '{notes.DOI}', 1)), '.') AS doi FROM n),
+        r AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS reference_id, trim(lower(a{i})) AS author, trim(regexp_replace(lower(t{i}), '[^a-z0-9]+', ' ', 'g')) AS title, lower(d{i}) AS doi FROM noted" for i in range(noted.REFERENCES))}),
+        w AS (SELECT *, list_filter(list_distinct(string_split(title, ' ')), lambda x: length(x) >= 4) AS words, count(*) OVER (PARTITION BY doc_id, author) = 1 AS alone FROM r),
+        f AS (SELECT p.doc_id, note, reference_id, author, words FROM p JOIN w ON p.doc_id = w.doc_id WHERE NOT ibid AND NOT op AND NOT supra AND (p.doi = w.doi
+            OR (contains(' ' || plain || ' ', ' ' || author || ' ') AND length(author) >= 3 AND (alone AND length(author) >= 4 OR len(list_intersect(words, string_split(plain, ' '))) > 0))
+            OR (length(title) >= 12 AND (contains(plain, trim(substr(title, 1, 38))) AND length(trim(substr(title, 1, 38))) >= 12 OR len(words) >= 3 AND len(list_intersect(words, string_split(plain, ' '))) >= 3)))),
+        o AS (SELECT a.doc_id, a.note, f.reference_id, 'op_cit' AS how FROM p a, LATERAL (SELECT reference_id FROM f WHERE f.doc_id = a.doc_id AND f.note < a.note AND contains(' ' || a.plain || ' ', ' ' || f.author || ' ')
+            ORDER BY len(list_intersect(words, string_split(a.plain, ' '))) > 0 DESC, f.note DESC, reference_id DESC LIMIT 1) f WHERE op),
+        d AS (SELECT doc_id, note, reference_id, 'full' AS how FROM f UNION ALL SELECT * FROM o),
+        l AS (SELECT * FROM d UNION ALL SELECT a.doc_id, a.note, min(reference_id), 'supra' FROM p a JOIN d ON d.doc_id = a.doc_id AND d.note = CAST(nullif(regexp_extract(a.text, '{notes.SUPRA}', 1), '') AS INTEGER) AND d.note < a.note WHERE supra GROUP BY a.doc_id, a.note)
+        SELECT * FROM l UNION ALL SELECT a.doc_id, a.note, b.reference_id, 'ibid' FROM p a, LATERAL (SELECT reference_id FROM l WHERE l.doc_id = a.doc_id AND l.note < a.note ORDER BY l.note DESC, reference_id LIMIT 1) b WHERE ibid""",
     # Every window of a text against every reference of it.
     "implicit_passages": rf"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex({_P4}, '[.!?]+(?:\s+|$)|\n+'), lambda p: trim(replace(p, '․', '.'))), lambda p: length(p) >= 25) AS s FROM documents
             WHERE length(trim(text)) >= 60 AND NOT contains(text, '......') AND NOT contains(upper(text), 'TABLE OF CONTENTS')),
