@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 
 def common_length(a: str, b: str) -> int:
@@ -43,6 +45,55 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratios)
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """Best indel ratio of the shorter text with any stretch of the longer one that is as long, or shorter at an end.
+
+    A stretch is compared bit-parallel, and only if the characters it shares with the shorter text, counted as they come and go
+    at the stretch's ends, allow more than the best ratio so far."""
+    if not a or not b:
+        return 0.0
+    if len(a) == len(b):
+        return max(_partial(a, b), _partial(b, a))
+    return _partial(*sorted((a, b), key=len))
+
+
+def _partial(short: str, long: str) -> float:
+    m, n = len(short), len(long)
+    need = Counter(short)
+    held: Counter = Counter()
+    best, common, lo = 0.0, 0, 0
+    # The stretch ends before hi, and begins at 0 until it is as long as the shorter text; then it moves, and last it shrinks.
+    for hi in range(1, n + m):
+        if hi <= n:
+            c = long[hi - 1]
+            held[c] += 1
+            common += held[c] <= need[c]
+        if hi > m:
+            c = long[lo]
+            common -= held[c] <= need[c]
+            held[c] -= 1
+            lo += 1
+        size = min(hi, n) - lo
+        if 2 * common > best * (m + size):
+            best = max(best, indel_ratio(short, long[lo : min(hi, n)]))
+            if best == 1.0:
+                break
+    return best
+
+
+#: What a method has to reach to count.
+TOKEN_SET_LEAST, PARTIAL_LEAST, RATIO_LEAST = 0.85, 0.80, 0.85
+
+
+def best_ratio(ratio: float, token_set: float, partial: float) -> tuple[str, float]:
+    """The method of greatest score among those that reach their thresholds, the first of equal ones, and its score."""
+    method, score = "", 0.0
+    for name, x, least in (("token_set", token_set, TOKEN_SET_LEAST), ("partial", partial, PARTIAL_LEAST), ("levenshtein", ratio, RATIO_LEAST)):
+        if x >= least and x > score:
+            method, score = name, x
+    return method, score
+
+
 def normalize_title(x: Column) -> Column:
     """Lower case, punctuation to single spaces; null stays null."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
@@ -62,3 +113,17 @@ def title_ratios(a: Column, b: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """The indel ratio of two texts as they are, in [0, 1]; a null or empty one gives 0."""
     return _ratios(a, b)["ratio"]
+
+
+@F.pandas_udf(StructType().add("levenshtein", DoubleType()).add("token_set", DoubleType()).add("partial", DoubleType()).add("best_method", StringType()).add("best_score", DoubleType()))
+def _scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b):
+        three = (indel_ratio(x, y), token_set_ratio(x, y), partial_ratio(x, y)) if x and y else (0.0, 0.0, 0.0)
+        rows.append((*three, *best_ratio(*three)))
+    return pd.DataFrame(rows, columns=["levenshtein", "token_set", "partial", "best_method", "best_score"])
+
+
+def fuzzy_scores(a: Column, b: Column) -> Column:
+    """struct(levenshtein, token_set, partial, best_method, best_score) of normalised titles; a null or empty one gives zeros and no method."""
+    return _scores(normalize_title(a), normalize_title(b))
