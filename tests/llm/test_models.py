@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .test_operators import fixture, words
 
 
-def test_kneser_ney_probabilities(spark, monkeypatch):
+@pytest.mark.parametrize("discount", [0.75, 4.0])
+def test_kneser_ney_probabilities(spark, monkeypatch, discount):
     from citeforge.llm import toxicity as t
 
-    monkeypatch.setattr(t, "DISCOUNT", 0.75)
+    assert t.DISCOUNT == 4.0
+    monkeypatch.setattr(t, "DISCOUNT", discount)
     rows = [("you stupid fool", 1), ("stupid stupid fool you", 1), ("a stupid old fool", 1), ("you are kind", 0), ("a kind old man", 0), ("you and a man", 0), ("", 1), (None, 0)]
     every = [r[0] for r in rows] + ["never labelled words here", "you again"]
     counts = t.bigram_counts(spark.createDataFrame(rows, "text string, toxic int"))
@@ -38,16 +40,16 @@ def test_kneser_ney_probabilities(spark, monkeypatch):
     for c in (0, 1):
         k = Counter(b for _, b in n[c])
         big = sum(k.values())
-        back = sum(min(v, 0.75) for v in k.values()) / big
-        p = {w: max(k[w] - 0.75, 0) / big + back * (shared[w] + 1) / total for w in shared}
+        back = sum(min(v, discount) for v in k.values()) / big
+        p = {w: max(k[w] - discount, 0) / big + back * (shared[w] + 1) / total for w in shared}
         assert unseen[c] == pytest.approx(back / total)
         assert sum(p.values()) + unseen[c] == pytest.approx(1)
         for h in {a for x in n for a, _ in x}:
             mine = {b: v for (a, b), v in n[c].items() if a == h}
             size = sum(mine.values())
-            lam = sum(min(v, 0.75) for v in mine.values()) / size if size else 1.0
+            lam = sum(min(v, discount) for v in mine.values()) / size if size else 1.0
             for w in shared:
-                q[c, h, w] = (max(mine.get(w, 0) - 0.75, 0) / size if size else 0) + lam * p[w]
+                q[c, h, w] = (max(mine.get(w, 0) - discount, 0) / size if size else 0) + lam * p[w]
             assert sum(q[c, h, w] for w in shared) + lam * unseen[c] == pytest.approx(1)
     got = {r.key: (r.q1, r.q0) for r in pair.collect()}
     assert len(got) == len(n[0].keys() | n[1].keys())
