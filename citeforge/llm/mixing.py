@@ -1,15 +1,18 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-The rates of documents are those closest to one, in relative entropy over tokens, for which every
-source's expected tokens equal its target. Their form is exp(lambda of the source), and the lambdas
-minimise the convex dual, sum of size * exp(lambda) minus sum of lambda * target. Each Newton
+The rates of documents are those closest to one, in relative entropy over documents, for which every
+source's expected tokens equal its target, no rate above the cap. Their form is exponentially tilted by
+size, min(cap, exp(lambda * size / scale)) with a lambda for each source and its mean size as scale:
+longer documents come more often where a source has to grow, and give way first where it has to shrink.
+The lambdas minimise the convex dual; its gradient is expected tokens less target, and each Newton
 iteration is one aggregation over all documents, pre-summed in every task, so that a source with a
-third of the rows is no group of its own anywhere.
+third of the rows is no group of its own anywhere. A step that leaves what is known to hold the
+minimum is halved into it. A target of cap times the size takes all documents at the cap.
 
 Rates become whole copies by a hash of the document as threshold, shifted by one offset for each
 source; the offset is searched, in a few aggregations, for the least distance from the target.
 
-Sums are of whole numbers (millionths of a word), so reruns agree to the last bit.
+Sums are of whole numbers (billionths of a word), so reruns agree to the last bit.
 
 Defined results: a null or empty text has size 0 and 0 or more copies that take nothing; null is a
 source of its own, the last; rows that repeat doc_id and text get the same copies; an empty table
@@ -29,7 +32,7 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 STEPS = 16
 #: Copies are broadcast to the texts if they take no more bytes than this, else both are shuffled.
 BROADCAST_BYTES = 32_000_000
-_MICRO = 1_000_000
+_MICRO = 1_000_000_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -60,37 +63,55 @@ def _with(base: DataFrame, rows: list[tuple], names: str) -> DataFrame:
     return base.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
-def _newton(base: DataFrame, size: dict, target: dict) -> dict[str | None, float]:
-    """The dual's minimum, lambda of each source whose target is above 0."""
-    at = {s: 0.0 for s in size if target[s] > 0}
-    for _ in range(60):
+#: Stands for a lambda beyond which all documents are at the cap.
+_FULL = 1e9
+
+
+def _rate(cap: float) -> Column:
+    """A document's rate from lam and scale of its source; without lam it is 0."""
+    tilted = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0))), F.lit(cap))
+    return F.when(F.col("lam").isNull(), 0.0).when(F.col("lam") >= _FULL, cap).otherwise(tilted)
+
+
+def _newton(base: DataFrame, size: dict, count: dict, target: dict, cap: float) -> dict[str | None, tuple[float | None, float]]:
+    """(lambda, scale) of each source at the dual's minimum; lambda None where the target is 0."""
+    scale = {s: max(1.0, size[s] / max(1, count[s])) for s in size}
+    out: dict = {s: (None, scale[s]) for s in size} | {s: (_FULL, scale[s]) for s in size if target[s] > 0 and target[s] >= cap * size[s] * (1 - 1e-12)}
+    at = {s: 0.0 for s in size if target[s] > 0 and out[s][0] is None}
+    bracket = {s: [-1e6, 1e6] for s in at}
+    for _ in range(80):
         if not at:
             break
-        got = _with(base, [(s, v) for s, v in at.items()], "lam double").groupBy("source").agg(_micro_sum(F.col("size") * F.exp("lam")).alias("taken")).collect()
-        worst = 0.0
+        tilt = F.col("lam") * F.col("size") / F.col("scale")
+        slope = F.when(F.exp(F.least(tilt, F.lit(700.0))) < cap, F.col("size") / F.col("scale") * F.exp(F.least(tilt, F.lit(700.0)))).otherwise(0.0)
+        got = _with(base, [(s, v, scale[s]) for s, v in at.items()], "lam double, scale double").groupBy("source").agg(_micro_sum(F.col("size") * _rate(cap)).alias("taken"), _micro_sum(F.col("size") * slope).alias("slope")).collect()
         for r in got:
-            taken = float(r.taken) / _MICRO  # gradient: taken - target; second derivative: taken
-            step = (target[r.source] - taken) / taken
-            at[r.source] += max(-1.0, min(1.0, step))
-            worst = max(worst, abs(step))
-        if worst < 1e-9:
-            break
-    return at
+            s, gradient, second = r.source, float(r.taken) / _MICRO - target[r.source], float(r.slope) / _MICRO
+            out[s] = (at[s], scale[s])
+            bracket[s][0 if gradient < 0 else 1] = at[s]
+            lo, hi = bracket[s]
+            if abs(gradient) < 1e-10 * target[s] or hi - lo < 1e-15 * max(1.0, abs(lo)):
+                del at[s]
+                continue
+            step = at[s] - gradient / second if second > 0 else hi
+            # Newton's step, unless it leaves the bracket; far ones are taken in parts.
+            step = max(at[s] - 2.0, min(at[s] + 2.0, step))
+            at[s] = step if lo < step < hi else (lo + hi) / 2
+    return out
 
 
 def _copies(rate: Column, u: Column, offset: Column, cap: float) -> Column:
     return F.least(F.greatest(F.floor(rate + u + offset), F.lit(0)), F.lit(int(cap))).cast("long")
 
 
-def _offsets(base: DataFrame, rows: list[tuple], target: dict, cap: float) -> dict[str | None, float]:
+def _offsets(base: DataFrame, tilt: dict, target: dict, cap: float) -> dict[str | None, float]:
     """For each source the offset at which its copies take the tokens nearest its target."""
-    span = {s: (-1.0, 1.0) for s, _ in rows}
-    rate = dict(rows)
+    span = {s: (-1.0, 1.0) for s in target}
     best: dict[str | None, tuple[float, float]] = {}
     for _ in range(5):
-        joined = _with(base, [(s, rate[s], *span[s]) for s in span], "rate double, lo double, hi double")
+        joined = _with(base, [(s, *tilt[s], *span[s]) for s in span], "lam double, scale double, lo double, hi double")
         at = lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(j / STEPS)
-        got = joined.groupBy("source").agg(*[F.sum(F.col("size") * _copies(F.col("rate"), F.col("u"), at(j), cap)).alias(f"t{j}") for j in range(STEPS + 1)]).collect()
+        got = joined.groupBy("source").agg(*[F.sum(F.col("size") * _copies(_rate(cap), F.col("u"), at(j), cap)).alias(f"t{j}") for j in range(STEPS + 1)]).collect()
         for r in got:
             lo, hi = span[r.source]
             taken = [r[f"t{j}"] for j in range(STEPS + 1)]
@@ -112,27 +133,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     base = written(
         docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("u", u), "mix-sizes"
     )
-    per = base.groupBy("source").agg(F.sum("size").alias("size"))
+    per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("count"))
     found = per.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    size = {r.source: r["size"] for r in found}
+    size, count = {r.source: r["size"] for r in found}, {r.source: r["count"] for r in found}
     target = targets(size, weights, share, cap)
-    lam = _newton(base, size, target)
-    rates = base.sparkSession.createDataFrame([(s, v) for s, v in lam.items()], "source string, lam double").select("source", F.exp("lam").alias("rate")).collect() if lam else []
-    rate = {s: 0.0 for s in size} | {r.source: min(r.rate, cap) for r in rates}
-    rows = [(s, rate[s]) for s in size]
-    offset = _offsets(base, rows, target, cap) if rows else {}
+    tilt = _newton(base, size, count, target, cap)
+    offset = _offsets(base, tilt, target, cap) if size else {}
     # What is left of a gap, mostly part of one long document, is shared out among documents shorter than it.
-    first = _copies(F.col("rate"), F.col("u"), F.col("offset"), cap)
-    once = _with(base, [(s, rate[s], offset[s]) for s in size], "rate double, offset double").groupBy("source").agg(F.sum(F.col("size") * first).alias("t")).collect()
+    first = _copies(_rate(cap), F.col("u"), F.col("offset"), cap)
+    once = _with(base, [(s, *tilt[s], offset[s]) for s in size], "lam double, scale double, offset double").groupBy("source").agg(F.sum(F.col("size") * first).alias("t")).collect()
     gap = {r.source: target[r.source] - r.t for r in once}
-    short = _with(base, [(s, abs(gap[s]), rate[s], offset[s]) for s in size], "limit double, rate double, offset double").where("size <= limit").withColumn("now", F.col("size") * first)
+    short = _with(base, [(s, abs(gap[s]), *tilt[s], offset[s]) for s in size], "limit double, lam double, scale double, offset double").where("size <= limit").withColumn("now", F.col("size") * first)
     small = {r.source: r.t for r in short.groupBy("source").agg(F.sum("now").alias("t")).collect()}
-    offset2 = _offsets(short.drop("rate", "offset", "limit", "now"), [(s, rate[s]) for s in small], {s: t + gap[s] for s, t in small.items()}, cap) if small else {}
-    final = _with(base, [(s, int(size[s]), float(target[s]), rate[s], offset[s], abs(gap[s]), offset2.get(s, offset[s])) for s in size], "source_size long, target double, rate double, offset double, limit double, offset2 double")
-    copies = _copies(F.col("rate"), F.col("u"), F.when(F.col("size") <= F.col("limit"), F.col("offset2")).otherwise(F.col("offset")), cap)
-    return final.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("u", "offset", "offset2", "limit")
+    offset2 = _offsets(short.drop("lam", "scale", "offset", "limit", "now"), tilt, {s: t + gap[s] for s, t in small.items()}, cap) if small else {}
+    final = _with(base, [(s, int(size[s]), float(target[s]), *tilt[s], offset[s], abs(gap[s]), offset2.get(s, offset[s])) for s in size], "source_size long, target double, lam double, scale double, offset double, limit double, offset2 double")
+    copies = _copies(_rate(cap), F.col("u"), F.when(F.col("size") <= F.col("limit"), F.col("offset2")).otherwise(F.col("offset")), cap)
+    return final.withColumn("rate", _rate(cap)).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("u", "lam", "scale", "offset", "offset2", "limit")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

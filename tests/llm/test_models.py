@@ -206,11 +206,20 @@ def test_entropy_balancing(spark):
         size[s] += len(t.split())
     target = mixing.targets(dict(size))
     base = docs.select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long").alias("size"))
-    lam = mixing._newton(base, dict(size), target)
-    assert {s: size[s] * math.exp(v) for s, v in lam.items()} == pytest.approx({s: t for s, t in target.items() if t > 0})
+    many = Counter(s for _, _, s in rows)
+    tilt = mixing._newton(base, dict(size), dict(many), target, 2.0)
+    # The plain dual: its gradient vanishes, and rates of one source differ by size.
+    for s in size:
+        lam, scale = tilt[s]
+        own = [len(t.split()) for _, t, x in rows if x == s]
+        rates = [2.0 if lam >= mixing._FULL else min(2.0, math.exp(lam * n / scale)) for n in own]
+        assert scale == size[s] / many[s] and abs(sum(r * n for r, n in zip(rates, own)) - target[s]) < 1e-9 * target[s]
+        assert lam >= mixing._FULL or len({round(r, 9) for r in rates}) > 20
     got = mixing.mix(docs).collect()
     taken = Counter()
     for r in got:
         assert 0 <= r.taken <= 2 * r["size"] and r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
         taken[r.source] += r.taken
+        lam, scale = tilt[r.source]
+        assert r.rate == pytest.approx(2.0 if lam >= mixing._FULL else min(2.0, math.exp(lam * r["size"] / scale)))
     assert all(abs(taken[s] - target[s]) <= 50 for s in size)
