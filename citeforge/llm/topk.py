@@ -8,8 +8,9 @@ first whose bound is below the k-th score so far. Queries go in blocks as well:
 meets each segment once, in a task that holds just the two, and the k best of each segment are
 merged. So neither side is held whole anywhere and nothing is broadcast.
 
-Defined results: a vector that is null, or has null or non-finite components, takes no part;
-dimensions that a vector lacks count as zero; equal scores go to the smaller id; rows that repeat an
+Defined results: a vector that is null, or has null or non-finite components, takes no part, nor does one
+with a component beyond LARGEST once scaled or of more than LONGEST components, whose scores could leave
+64 bits; dimensions that a vector lacks count as zero; equal scores go to the smaller id; rows that repeat an
 id are candidates each, but never for a query of their own id; a null id takes no part; fewer than k
 candidates give all.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .textbytes import tidy
 
 SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 4096
+#: LONGEST products of two such numbers stay below 2**63.
+LARGEST, LONGEST = 2**26, 2047
 
 
 def _matrix(vectors: list[list[int]], dims: int, kind) -> np.ndarray:
@@ -71,7 +74,7 @@ def search_segment(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarra
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows (vec_id, embedding); queries have vec_id % every = 0."""
     x = F.col("embedding")
-    whole = vectors.select(F.col("vec_id").cast("long").alias("id"), x.cast("array<double>").alias("x")).where("id is not null and x is not null and not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
+    whole = vectors.select(F.col("vec_id").cast("long").alias("id"), x.cast("array<double>").alias("x")).where("id is not null and x is not null and size(x) <= " + str(LONGEST) + f" and not exists(x, v -> v is null or isnan(v) or abs(v) > {LARGEST / 256}D)")
     ints = whole.select("id", F.expr("transform(x, v -> cast(floor(256 * v) as bigint))").alias("v"))
     size = ints.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0L, (a, y) -> greatest(a, abs(y)))")).alias("most")).first()
     total, segments = size.n, max(1, -(-size.n // SEGMENT))

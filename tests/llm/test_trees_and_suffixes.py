@@ -232,3 +232,18 @@ def test_rows_that_share_an_id(spark):
     got = sorted((r.doc_id, r.text, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     # One of the texts of id 5 is the first, and its copies keep the passage as well.
     assert [r[2] for r in got] in ([0, 25, 25, 25], [25, 0, 0, 25])
+
+
+def test_top_k_of_large_components(spark):
+    """Finite components whose scores could leave 64 bits take no part; the largest that do are exact."""
+    from citeforge.llm.topk import LARGEST, top_k
+
+    big = LARGEST / 256
+    rows = [(0, [1.0, big]), (1, [-1e300, 0.0]), (2, [1e18, 1.0]), (3, [0.5, -big]), (4, [2.0, 3.0]), (5, [0.0] * 3000), (50, [big, -big])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in rows if i not in (1, 2, 5)}
+    want = []
+    for q in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == want and max(abs(r[3]) for r in want) > 2**52
