@@ -81,9 +81,33 @@ def swapped_names(a: Column, b: Column) -> Column:
     return F.coalesce(two & (straight | crossed) & (F.length(author_key(a)) > 0), F.lit(False))
 
 
-def bridge(x: Column, dictionary: dict[str, str]) -> Column:
-    """A text with words of one language replaced by those of another, longest phrases first; other words stay."""
-    out = F.lower(F.coalesce(x, F.lit("")))
-    for phrase in sorted(dictionary, key=lambda p: (-len(p), p)):
-        out = F.replace(out, F.lit(phrase), F.lit(dictionary[phrase]))
-    return out
+# Letters that Vietnamese alone has with their marks, and how many make a text Vietnamese, or a source not English.
+MARKED = "àáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
+CONTEXT_LEAST, SOURCE_MOST = 3, 5
+
+
+def bridge(context: Column, title: Column, abstract: Column, dictionary: dict[str, str]) -> Column:
+    """struct(cross, text): whether a Vietnamese context cites an English source, and the context with what helps to compare them.
+
+    The context stays as it is; behind it, in brackets, come its own words in plain Latin letters and the equivalents of the
+    dictionary's phrases in it. Otherwise the text is empty."""
+    marks = lambda x: F.length(x) - F.length(F.translate(F.lower(x), MARKED, ""))
+    own = F.coalesce(context, F.lit(""))
+    source = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit("")))
+    cross = (marks(own) >= CONTEXT_LEAST) & (marks(source) <= SOURCE_MOST)
+    words = F.transform(F.regexp_extract_all(own, F.lit(r"([\p{L}\p{N}_][\p{L}\p{N}_+.\-]*)"), F.lit(1)), lambda w: F.regexp_replace(w, r"[+.\-]+$", ""))
+    latin = F.filter(words, lambda w: w.rlike(r"^[A-Za-z][A-Za-z0-9_+.\-]{2,}$"))
+    low = F.lower(own)
+    equal = F.array_compact(F.array(*[F.when(low.contains(phrase), F.lit(equivalent)) for phrase, equivalent in dictionary.items()]))
+    more = F.concat(latin, equal)
+    return F.struct(cross.alias("cross"), F.when(~cross, "").when(F.size(more) == 0, own).otherwise(F.concat(own, F.lit(" ("), F.array_join(more, " "), F.lit(")"))).alias("text"))
+
+
+def from_positions(x: Column) -> Column:
+    """The text that an index of words to their places, as JSON, was made from; null if it is broken or holds none.
+
+    Words whose places are no list are left out, and so are places that are no whole numbers; of equal places the smaller word comes first."""
+    index = F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE"})
+    places = lambda v: F.filter(F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>")), lambda p: p.rlike(r"^-?\d+$"))
+    each = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(places(F.when(e["value"].startswith("["), e["value"])), lambda p: F.struct(p.cast("long").alias("at"), e["key"].alias("word")))))
+    return F.nullif(F.trim(F.array_join(F.transform(F.array_sort(each), lambda e: e["word"]), " ")), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merging
 from ..sources.cited import DUCK_NAMES, SPARK_NAMES
+from ..sources.lists import DUCK_WORDS, SPARK_WORDS
 from ..sources.tables import PAPERS, papers, table
 
 # Some terms of Vietnamese titles and their English counterparts.
@@ -42,9 +43,23 @@ def written_back(spark, d):
     return merging.write_back(p.where("doi is not null or id % 3 = 0"), new).select("doi", F.col("confidence"))
 
 
-def bridged_titles(spark, d):
-    title = F.element_at(F.array(F.lit("Học máy và Dữ liệu"), F.lit("Trí tuệ nhân tạo"), F.lit("Plain title")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", merging.bridge(title, TERMS).alias("title"))
+_CONTEXT = "regexp_extract(text, '^[^.!?\n]*', 0) || CASE doc_id % 4 WHEN 0 THEN ' dùng học máy và BERT-base cho dữ liệu' WHEN 1 THEN ' theo trí tuệ nhân tạo' WHEN 2 THEN ' with GPT_2.' ELSE '' END"
+
+
+def bridged_contexts(spark, d):
+    """Contexts with the words that help to compare them with an English source, the next document's title."""
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_CONTEXT} AS context", "trim(regexp_extract(text, '^[^.!?\n]*', 0)) AS title")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("other"))
+    b = docs.join(other, "doc_id", "left").select("doc_id", merging.bridge(F.col("context"), F.col("other"), F.lit(None).cast("string"), TERMS).alias("b"))
+    return b.select("doc_id", F.col("b.cross").alias("cross"), F.md5(F.col("b.text")).alias("text"))
+
+
+def restored_abstracts(spark, d):
+    """Texts out of indexes of their words' places, every seventh of which is broken."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.expr(SPARK_WORDS)).alias("at", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("places")).groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "places")))).alias("x"))
+    broken = F.when(F.col("doc_id") % 7 == 3, F.substring("x", 2, 1_000_000_000)).when(F.col("doc_id") % 7 == 5, F.concat(F.lit('{"odd": 7, "text": "x", '), F.substring("x", 2, 1_000_000_000))).otherwise(F.col("x"))
+    return index.select("doc_id", F.md5(merging.from_positions(broken)).alias("text"))
 
 
 def swapped_authors(spark, d):
@@ -53,7 +68,7 @@ def swapped_authors(spark, d):
     return table(spark, d, "documents").select("doc_id", merging.swapped_names(a, F.lit("Guodong Wei")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (merged_lists, written_back, bridged_titles, swapped_authors)}
+QUERIES = {f.__name__: f for f in (merged_lists, written_back, bridged_contexts, restored_abstracts, swapped_authors)}
 
 _KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -81,6 +96,13 @@ ORACLE_SQL = {
         k AS (SELECT *, {_KEY.format('title')} || '|' || year AS loose FROM c), m AS (SELECT *, coalesce('doi:' || doi, loose) AS k FROM k),
         f AS (SELECT * FROM m WHERE k NOT IN (SELECT k FROM have) AND loose NOT IN (SELECT k FROM have))
         SELECT doi, confidence FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY confidence DESC, title) = 1""",
-    "bridged_titles": "SELECT doc_id, ['machine learning và data', 'artificial intelligence', 'plain title'][doc_id % 3 + 1] AS title FROM documents",
+    "bridged_contexts": rf"""WITH d AS (SELECT doc_id, {_CONTEXT} AS context, trim(regexp_extract(text, '^[^.!?\n]*')) AS title FROM documents),
+        j AS (SELECT a.doc_id, coalesce(a.context, '') AS context, coalesce(b.title, '') || ' ' AS source FROM d a LEFT JOIN d b ON b.doc_id = a.doc_id + 1),
+        k AS (SELECT *, len(regexp_extract_all(lower(context), '[{merging.MARKED}]')) >= 3 AND len(regexp_extract_all(lower(source), '[{merging.MARKED}]')) <= 5 AS cross_,
+            list_concat(list_filter(list_transform(regexp_extract_all(context, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_+.\-]*'), lambda w: rtrim(w, '+.-')), lambda w: regexp_matches(w, '^[A-Za-z][A-Za-z0-9_+.\-]{{2,}}$')),
+                list_filter([{', '.join(f"CASE WHEN contains(lower(context), '{p}') THEN '{e}' END" for p, e in TERMS.items())}], lambda x: x IS NOT NULL)) AS more FROM j)
+        SELECT doc_id, cross_ AS cross, md5(CASE WHEN NOT cross_ THEN '' WHEN len(more) = 0 THEN context ELSE context || ' (' || array_to_string(more, ' ') || ')' END) AS text FROM k""",
+    # What the indexes were made from.
+    "restored_abstracts": f"SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN md5(array_to_string(w, ' ')) END AS text FROM (SELECT doc_id, {DUCK_WORDS} AS w FROM documents) WHERE len(w) > 0",
     "swapped_authors": "SELECT doc_id, [true, true, false, true][doc_id % 4 + 1] AS same FROM documents",
 }

@@ -70,3 +70,20 @@ def test_shuffled_lists_merge(spark):
     merged = merge_lists(with_all(left), with_all(right)).collect()
     assert len({(r.doc_id, r.left_id) for r in merged if r.left_id is not None}) == len(lefts) == sum(r.left_id is not None for r in merged)
     assert sum(r.right_id is not None for r in merged) == len(rights)
+
+
+def test_bridge(spark):
+    from citeforge.operators.merging import bridge
+
+    words = {"học máy": "machine learning", "học": "study"}
+    rows = [("Chúng tôi dùng học máy với BERT-base và (SVM).", "A study", None), ("Chúng tôi", "A study", None), ("plain English", "A study", None), ("Chúng tôi dùng học máy", "Nghiên cứu về dữ liệu lớn", None), (None, None, None), ("ắ ằ ẳ", "A", None)]
+    got = spark.createDataFrame(rows, "c string, t string, a string").select(bridge(F.col("c"), F.col("t"), F.col("a"), words).alias("b")).collect()
+    assert [(r.b.cross, r.b.text) for r in got] == [(True, rows[0][0] + " (BERT-base SVM machine learning study)"), (False, ""), (False, ""), (False, ""), (False, ""), (True, "ắ ằ ẳ")]
+
+
+def test_texts_from_positions(spark):
+    from citeforge.operators.merging import from_positions
+
+    rows = ['{"b": [1], "a": [0, 2]}', '{"a": "x", "c": [0, "y", 1.5, null], "d": 7}', "{}", "", None, "[1]", '{"a": [0', '{"b": [0], "a": [0]}', '{"a": []}']
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(from_positions(F.col("x"))).collect()]
+    assert got == ["a b a", "c", None, None, None, None, None, "a b", None]
