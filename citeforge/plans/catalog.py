@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normalize import citation_key, csv_guard, fingerprint, normalize_doi, normalize_text
-from ..operators import postings
+from ..operators import maintenance, postings
 from ..operators.catalog import bm25, keep_best, survivors, upsert
+from ..sources import versions
 from ..sources.store import new_path
 from ..sources.tables import ESSAYS, LOG, PAPERS, essays, papers, query_log, table
 
@@ -72,11 +73,25 @@ def word_search_batch(spark, d):
     return _index(spark, d).search(asked, 10)
 
 
+_SOURCE = "CASE WHEN length(title) % 3 = 0 THEN 'known_papers' ELSE source END"
+
+
+def maintained_catalog(spark, d):
+    """The catalogue after maintenance as its next version has it, and how often the log refers to each row."""
+    p = papers(spark, d).select("id", F.expr("CASE WHEN length(title) % 3 = 0 THEN NULL ELSE doi END").alias("doi"), F.expr("CASE WHEN id % 40 = 7 THEN ' ' ELSE title END").alias("title"), "year", F.expr(_SOURCE).alias("source"))
+    kept = versions.Versions(spark, new_path(spark, "catalogue"))
+    kept.commit({"papers": p, "query_log": query_log(spark, d).select("id", "paper_id", "found")})
+    maintenance.maintain(kept, papers(spark, d).select("title", "doi").where("doi is not null"))
+    now = kept.tables()
+    refs = now["query_log"].groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("refs"))
+    return now["papers"].join(refs, "id", "left").select("id", F.coalesce("refs", F.lit(0)).alias("refs"), "source")
+
+
 def essay_keep_best(spark, d):
     return keep_best(essays(spark, d), ["user_id", "class_id"], [F.desc("uploaded_at"), "essay_id"]).select("essay_id", "user_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, paper_search_batch, word_search_batch, essay_keep_best)}
+QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, paper_search_batch, word_search_batch, maintained_catalog, essay_keep_best)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _SEARCH = """WITH {papers}, n AS (SELECT doc_id AS id, {words} AS words FROM documents), t AS (SELECT sum(len(words)) / count(*) AS mean, count(*) AS total FROM n),
@@ -86,7 +101,20 @@ _SEARCH = """WITH {papers}, n AS (SELECT doc_id AS id, {words} AS words FROM doc
             FROM u JOIN tf USING (word) JOIN df USING (word), t GROUP BY query_id, id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s WHERE held = many QUALIFY rank <= {top}"""
 
+_KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
 ORACLE_SQL = {
+    # One step after another, the log rewritten after each.
+    "maintained_catalog": f"""WITH {PAPERS}, {LOG}, p0 AS (SELECT id, CASE WHEN length(title) % 3 = 0 THEN NULL ELSE doi END AS doi, CASE WHEN id % 40 = 7 THEN ' ' ELSE title END AS title, year, {_SOURCE} AS source FROM papers),
+        p1 AS (SELECT * FROM p0 WHERE trim(title) <> ''), l1 AS (SELECT paper_id FROM log), r1 AS (SELECT paper_id AS id, count(*) AS refs FROM l1 GROUP BY 1),
+        m1 AS (SELECT id, first_value(id) OVER (PARTITION BY lower(doi) ORDER BY coalesce(refs, 0) DESC, id) AS s FROM p1 LEFT JOIN r1 USING (id) WHERE doi IS NOT NULL),
+        p2 AS (SELECT * FROM p1 WHERE id NOT IN (SELECT id FROM m1 WHERE id <> s)), l2 AS (SELECT coalesce(s, paper_id) AS paper_id FROM l1 LEFT JOIN m1 ON m1.id = paper_id), r2 AS (SELECT paper_id AS id, count(*) AS refs FROM l2 GROUP BY 1),
+        m2 AS (SELECT id, first_value(id) OVER (PARTITION BY lower(trim(title)), coalesce(year, -1) ORDER BY coalesce(refs, 0) DESC, id) AS s FROM p2 LEFT JOIN r2 USING (id)),
+        p3 AS (SELECT * FROM p2 WHERE id NOT IN (SELECT id FROM m2 WHERE id <> s)), l3 AS (SELECT coalesce(s, paper_id) AS paper_id FROM l2 LEFT JOIN m2 ON m2.id = paper_id),
+        c AS (SELECT {_KEY.format('title')} AS k, min(doi) AS doi FROM papers WHERE doi IS NOT NULL AND {_KEY.format('title')} <> '' GROUP BY 1),
+        m3 AS (SELECT a.id, min(b.id) AS s FROM p3 a LEFT JOIN c ON c.k = {_KEY.format('a.title')} JOIN p3 b ON b.doi = coalesce(a.doi, c.doi) AND b.source <> 'known_papers' WHERE a.source = 'known_papers' GROUP BY a.id),
+        p4 AS (SELECT * FROM p3 WHERE id NOT IN (SELECT id FROM m3)), l4 AS (SELECT coalesce(s, paper_id) AS paper_id FROM l3 LEFT JOIN m3 ON m3.id = paper_id), r4 AS (SELECT paper_id AS id, count(*) AS refs FROM l4 GROUP BY 1)
+        SELECT id, coalesce(refs, 0) AS refs, source FROM p4 LEFT JOIN r4 USING (id)""",
     "paper_search_batch": _SEARCH.format(papers=PAPERS, words=_WORDS.format("text"), title=_WORDS.format("title"), asked="w", top=5),
     "word_search_batch": _SEARCH.format(papers=PAPERS, words=_WORDS.format("text"), title=_WORDS.format("title"), asked="list_filter([list_max(list_transform(w, lambda x: {'n': length(x), 'w': x})).w, w[-1]], lambda x: x IS NOT NULL)", top=10),
     "catalog_doi_survivors": _SURVIVORS.format(papers=PAPERS, log=LOG, key="lower(doi)"),
