@@ -77,6 +77,45 @@ EVIDENCE_RULES: tuple[tuple[str, str, str, str], ...] = (
 )
 
 
+_NEAR = "year_distance <= 1"
+_ALIAS = "(doi_exact_match or arxiv_alias)"
+_STRONG = f"((title_fuzzy >= 0.9 and (doi_exact_match or author_sim >= 0.35 or {_NEAR})) or (doi_exact_match and title_fuzzy >= 0.35) or (author_sim >= 0.8 and {_NEAR} and title_fuzzy >= 0.55 and title_fuzzy < 0.9))"
+_ODD = "(title_fuzzy < 0.9 or author_sim < 0.5 or (year_distance > 1 and year_distance < 900) or (both_dois and not doi_exact_match))"
+_CONTENT = "content_score > 0 and not missing_reference"
+# Rules that look at the record found, each with the rule of EVIDENCE_RULES that it goes before. Besides those
+# columns they read title_fuzzy (title_sim is the greater of it and the semantic one), registered (found through a DOI
+# registration agency), local_only (no live source, or the best candidate is a local record), live (a live source found it),
+# arxiv_alias (one of the DOIs is arXiv's and the titles agree), both_dois, doi_conflict, content_score, content_aligned,
+# missing_reference, matched (null: not mapped at all), quality_candidate and url_only.
+RECORD_RULES: tuple[tuple[str, str, str, str, str], ...] = (
+    ("R-GLOBAL-DOI-RA-VERIFIED", f"registered and doi_exact_match and title_fuzzy >= 0.85 and {_SURE_YEAR}", "verified", f"greatest(0, 0.88 {_BOTH})", "R-WELL-LINKED"),
+    ("R-LOCAL_DB_VERIFIED", f"local_only and title_fuzzy >= 0.9 and title_sim >= 0.95 and author_sim >= 0.8 and {_NEAR}", "verified", f"greatest(0, case when doi_exact_match then 0.9 else 0.8 end {_STYLE})", "R-WELL-LINKED"),
+    ("R-LOCAL_DB_GOOD_MATCH", f"local_only and title_fuzzy >= 0.9 and title_sim >= 0.95 and {_NEAR} and (author_sim >= 0.5 or ({_ALIAS} and author_sim >= 0.35) or (title_fuzzy >= 0.98 and author_sim >= 0.35 and not (both_dois and not {_ALIAS})))", "verified", f"greatest(0, 0.75 {_STYLE})", "R-WELL-LINKED"),
+    ("R-CONTENT-ALIGNMENT", f"{_CONTENT} and content_aligned and title_fuzzy >= 0.6 and author_sim >= 0.5 and {_NEAR} and not doi_conflict and (consensus >= 2 or matched is null or matched)", "verified", f"greatest(0, 0.85 {_STYLE})", "second R-NONEXISTENT-DOI"),
+    ("R-CONTENT-MISMATCH", f"{_CONTENT} and not content_aligned and content_score >= 0.3 and title_fuzzy >= 0.75 and author_sim >= 0.5", "suspected_hallucination", f"greatest(0, 0.8 {_STYLE})", "second R-NONEXISTENT-DOI"),
+    ("R-CONTENT-ALIGNMENT", f"{_CONTENT} and not content_aligned and content_score >= 0.2 and content_score < 0.5 and author_sim >= 0.3 and {_NEAR} and not url_only", "unresolved", f"greatest(0, content_score {_STYLE})", "second R-NONEXISTENT-DOI"),
+    ("R-SINGLE-SOURCE-PARTIAL", f"consensus >= 1 and live and not doi_conflict and (author_sim > 0 or doi_exact_match or (consensus >= 2 and title_sim >= 0.9 and {_NEAR})) and ((title_sim >= 0.9 and (author_sim < 0.5 or year_distance > 1)) or (title_sim >= 0.6 and title_sim < 0.9 and (author_sim >= 0.3 or year_distance <= 2)))", "metadata_error", f"greatest(0, 0.68 {_STYLE})", "second R-NONEXISTENT-DOI"),
+    ("R-LOCAL_DB_METADATA_ERROR", f"local_only and {_STRONG} and {_ODD}", "metadata_error", f"greatest(0, 0.78 {_STYLE})", "second R-NONEXISTENT-DOI"),
+    ("R-KNOWN-AUTHOR-TITLE-MISMATCH", "known_author and quality_candidate and author_sim >= 0.5 and title_sim >= 0.3 and title_sim < 0.9", "metadata_error", "0.65", "second R-NONEXISTENT-DOI"),
+)
+
+
+def _placed() -> tuple[tuple[str, str, str, str], ...]:
+    """EVIDENCE_RULES with each of RECORD_RULES before the rule that it names."""
+    out: list[tuple[str, str, str, str]] = []
+    met: dict[str, int] = {}
+    for rule in EVIDENCE_RULES:
+        met[rule[0]] = met.get(rule[0], 0) + 1
+        here = rule[0] if met[rule[0]] == 1 else f"second {rule[0]}"
+        out += [r[:4] for r in RECORD_RULES if r[4] == here]
+        out.append(rule)
+    return tuple(out)
+
+
+#: The whole chain.
+FULL_RULES = _placed()
+
+
 def decide(rules: tuple[tuple[str, str, str, str], ...] = RULES) -> Column:
     """struct(label, confidence, rule)."""
     chain = F

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.context import ABBREVIATIONS, KEEP_HYPHEN
+from ..functions.normalize import jaccard
 from ..operators import discovery
 from ..operators import lists as cut
 from ..operators import notes
+from ..operators.rules import RECORD_RULES, classify
 from ..sources import lists
 from ..sources import notes as noted
 from ..sources.tables import table
@@ -51,7 +53,33 @@ def linked_notes(spark, d):
     return notes.link_notes(notes.note_lines(texts), references)
 
 
-QUERIES = {f.__name__: f for f in (implicit_passages, unmarked_entries, implicit_bibliographies, linked_notes)}
+#: What a record found says of a citation: the document's own record, or one of the next two documents', by the text's length.
+_OF = "doc_id + n_chars % 3"
+_TITLE = "trim(regexp_extract(text, '^[^.!?\\n]*', 0))"
+_FLAGS = [
+    "length(title) % 2 = 0 AS registered", "length(title) % 3 = 0 AS local_only", "length(title) % 5 <> 0 AS live", "length(title) % 7 = 0 AS arxiv_alias", "doi IS NOT NULL AND other_doi IS NOT NULL AS both_dois",
+    "coalesce(doi <> other_doi, false) AND length(title) % 7 <> 0 AS doi_conflict", "length(title) % 11 = 0 AS missing_reference", "CASE length(title) % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS matched",
+    "length(title) % 6 <> 0 AS quality_candidate", "length(title) % 13 = 0 AS url_only", "length(title) % 9 < 4 AS known_author", "length(title) % 3 AS consensus", "(length(title) % 3) * 75 / 1e3 AS style_penalty", "(length(title) % 2) * 5 / 1e2 AS provenance_penalty",
+]
+
+
+def record_labels(spark, d):
+    """What the rules on records found make of each document, with similarities of whole titles and whole texts."""
+    word_set = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({discovery.WORD})"), F.lit(1)))
+    docs = table(spark, d, "documents").selectExpr("doc_id", "n_chars", "text", "lang", "source", f"{_TITLE} AS title", "CASE WHEN n_chars % 2 = 0 THEN md5(text) END AS doi").withColumn("words", word_set(F.col("text"))).withColumn("topic", word_set(F.col("title"))).drop("text")
+    other = docs.select(F.col("doc_id").alias("of"), *[F.col(c).alias(f"other_{c}") for c in ("lang", "source", "doi", "words", "topic", "n_chars")])
+    pairs = docs.withColumn("of", F.expr(_OF)).join(other, "of")
+    share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+    f = pairs.select(
+        "doc_id", jaccard(F.col("topic"), F.col("other_topic")).alias("title_fuzzy"), share(F.col("topic"), F.col("other_words")).alias("semantic"), share(F.col("words"), F.col("other_words")).alias("content_score"),
+        (((F.col("lang") == F.col("other_lang")).cast("int") + (F.col("source") == F.col("other_source")).cast("int")) / 2.0).alias("author_sim"), F.abs(F.col("n_chars") % 24 - F.col("other_n_chars") % 24).alias("year_distance"), F.coalesce(F.col("doi") == F.col("other_doi"), F.lit(False)).alias("doi_exact_match"), *[F.expr(x) for x in _FLAGS],
+    )
+    f = f.withColumn("title_sim", F.greatest("title_fuzzy", "semantic")).withColumn("content_aligned", F.col("content_score") >= 0.5)
+    got = classify(f, tuple(r[:4] for r in RECORD_RULES))
+    return got.select("doc_id", "label", F.round("confidence", 6).alias("confidence"), "rule")
+
+
+QUERIES = {f.__name__: f for f in (record_labels, implicit_passages, unmarked_entries, implicit_bibliographies, linked_notes)}
 
 # RE2 knows the edges of ASCII words alone, so what stands before a word is part of the match.
 _B = r"(^|[^\p{L}\p{N}_])"
@@ -94,6 +122,23 @@ ORACLE_SQL = {
             WHERE b.p - a.p + a.w > 0 QUALIFY row_number() OVER (PARTITION BY b.doc_id ORDER BY b.p - a.p + a.w DESC, b.i, a.i DESC) = 1),
         y AS (SELECT r.doc_id, sum(len(regexp_extract_all(line, '{cut.YEAR}'))) AS years FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN a AND b GROUP BY r.doc_id)
         SELECT doc_id, CAST(lo + a AS INTEGER) AS first, CAST(lo + b AS INTEGER) AS last, CAST(entries AS INTEGER) AS entries, CAST(years AS INTEGER) AS years FROM r JOIN y USING (doc_id) WHERE entries >= 3 AND (brackets >= 3 OR years >= 3)""",
+    "record_labels": f"""WITH d AS (SELECT doc_id, n_chars, lang, source, {_TITLE} AS title, CASE WHEN n_chars % 2 = 0 THEN md5(text) END AS doi, {_TOKENS('text')} AS words, {_TOKENS(_TITLE)} AS topic FROM documents),
+        j AS (SELECT a.*, b.lang AS l2, b.source AS s2, b.doi AS other_doi, b.words AS w2, b.topic AS t2, b.n_chars AS n2 FROM d a JOIN d b ON b.doc_id = a.doc_id + a.n_chars % 3),
+        s AS (SELECT *, CASE WHEN len(list_distinct(list_concat(topic, t2))) > 0 THEN len(list_intersect(topic, t2)) / len(list_distinct(list_concat(topic, t2))) ELSE 0 END AS fuzzy, CASE WHEN len(topic) > 0 THEN len(list_intersect(topic, w2)) / len(topic) ELSE 0 END AS semantic,
+            CASE WHEN len(words) > 0 THEN len(list_intersect(words, w2)) / len(words) ELSE 0 END AS content, (CAST(lang = l2 AS INTEGER) + CAST(source = s2 AS INTEGER)) / 2 AS who, abs(n_chars % 24 - n2 % 24) AS years, coalesce(doi = other_doi, false) AS same, length(title) AS n FROM j),
+        f AS (SELECT *, greatest(fuzzy, semantic) AS best, n % 7 = 0 AS alias_, doi IS NOT NULL AND other_doi IS NOT NULL AS both_, coalesce(doi <> other_doi, false) AND n % 7 <> 0 AS clash, (n % 3) * 75 / 1e3 AS sp, (n % 2) * 5 / 1e2 AS pp FROM s),
+        v AS (SELECT doc_id, CASE
+            WHEN n % 2 = 0 AND same AND fuzzy >= 0.85 AND (years <= 1 OR years >= 900) THEN ['verified', CAST(greatest(0, 0.88 - sp - pp) AS VARCHAR), 'R-GLOBAL-DOI-RA-VERIFIED']
+            WHEN n % 3 = 0 AND fuzzy >= 0.9 AND best >= 0.95 AND who >= 0.8 AND years <= 1 THEN ['verified', CAST(greatest(0, (CASE WHEN same THEN 0.9 ELSE 0.8 END) - sp) AS VARCHAR), 'R-LOCAL_DB_VERIFIED']
+            WHEN n % 3 = 0 AND fuzzy >= 0.9 AND best >= 0.95 AND years <= 1 AND (who >= 0.5 OR who >= 0.35 AND (same OR alias_) OR who >= 0.35 AND fuzzy >= 0.98 AND (NOT both_ OR same OR alias_)) THEN ['verified', CAST(greatest(0, 0.75 - sp) AS VARCHAR), 'R-LOCAL_DB_GOOD_MATCH']
+            WHEN content > 0 AND n % 11 <> 0 AND content >= 0.5 AND fuzzy >= 0.6 AND who >= 0.5 AND years <= 1 AND NOT clash AND (n % 3 = 2 OR n % 4 <> 1) THEN ['verified', CAST(greatest(0, 0.85 - sp) AS VARCHAR), 'R-CONTENT-ALIGNMENT']
+            WHEN n % 11 <> 0 AND content >= 0.3 AND content < 0.5 AND fuzzy >= 0.75 AND who >= 0.5 THEN ['suspected_hallucination', CAST(greatest(0, 0.8 - sp) AS VARCHAR), 'R-CONTENT-MISMATCH']
+            WHEN n % 11 <> 0 AND content >= 0.2 AND content < 0.5 AND who >= 0.3 AND years <= 1 AND n % 13 <> 0 THEN ['unresolved', CAST(greatest(0, content - sp) AS VARCHAR), 'R-CONTENT-ALIGNMENT']
+            WHEN n % 3 >= 1 AND n % 5 <> 0 AND NOT clash AND (who > 0 OR same OR n % 3 = 2 AND best >= 0.9 AND years <= 1) AND (best >= 0.9 AND (who < 0.5 OR years > 1) OR best >= 0.6 AND best < 0.9 AND (who >= 0.3 OR years <= 2)) THEN ['metadata_error', CAST(greatest(0, 0.68 - sp) AS VARCHAR), 'R-SINGLE-SOURCE-PARTIAL']
+            WHEN n % 3 = 0 AND (fuzzy >= 0.9 AND (same OR who >= 0.35 OR years <= 1) OR same AND fuzzy >= 0.35 OR who >= 0.8 AND years <= 1 AND fuzzy >= 0.55 AND fuzzy < 0.9) AND (fuzzy < 0.9 OR who < 0.5 OR years > 1 AND years < 900 OR both_ AND NOT same) THEN ['metadata_error', CAST(greatest(0, 0.78 - sp) AS VARCHAR), 'R-LOCAL_DB_METADATA_ERROR']
+            WHEN n % 9 < 4 AND n % 6 <> 0 AND who >= 0.5 AND best >= 0.3 AND best < 0.9 THEN ['metadata_error', '0.65', 'R-KNOWN-AUTHOR-TITLE-MISMATCH']
+            ELSE ['unresolved', '0.4', 'R-WEAK-EVIDENCE'] END AS v FROM f)
+        SELECT doc_id, v[1] AS label, round(CAST(v[2] AS DOUBLE), 6) AS confidence, v[3] AS rule FROM v""",
     "linked_notes": rf"""WITH {noted.NOTED}, n AS ({' UNION ALL '.join(f"SELECT doc_id, {k + 1} AS note, n{k + 1} AS text FROM noted" for k in range(noted.NOTES))}
             UNION ALL SELECT doc_id, CAST(regexp_extract(x, '{notes.NOTE_LINE}', 1) AS INTEGER), trim(regexp_extract(x, '{notes.NOTE_LINE}', 2)) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '{notes.NOTE_LINE}')),
         p AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain, regexp_matches(text, '{notes.IBID}') AS ibid, regexp_matches(text, '{notes.OP_CIT}') AS op, regexp_matches(text, '{notes.SUPRA}') AS supra, rtrim(lower(regexp_extract(text, '{notes.DOI}', 1)), '.') AS doi FROM n),

@@ -87,3 +87,32 @@ def test_texts_from_positions(spark):
     rows = ['{"b": [1], "a": [0, 2]}', '{"a": "x", "c": [0, "y", 1.5, null], "d": 7}', "{}", "", None, "[1]", '{"a": [0', '{"b": [0], "a": [0]}', '{"a": []}']
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(from_positions(F.col("x"))).collect()]
     assert got == ["a b a", "c", None, None, None, None, None, "a b", None]
+
+
+def test_record_rules_in_the_chain(spark):
+    """Rules on records found stand where they belong, read null as false, and leave the rest of the chain as it is."""
+    from citeforge.operators.rules import EVIDENCE_RULES, FULL_RULES, RECORD_RULES, classify
+
+    assert tuple(r for r in FULL_RULES if r not in [x[:4] for x in RECORD_RULES]) == EVIDENCE_RULES and len(FULL_RULES) == len(EVIDENCE_RULES) + len(RECORD_RULES)
+    names = [r[0] for r in FULL_RULES]
+    assert names.index("R-HF-VERIFIED") < names.index("R-GLOBAL-DOI-RA-VERIFIED") < names.index("R-LOCAL_DB_VERIFIED") < names.index("R-LOCAL_DB_GOOD_MATCH") < names.index("R-WELL-LINKED")
+    assert names.index("R-AMBIGUOUS-MAPPING") < names.index("R-CONTENT-ALIGNMENT") < names.index("R-CONTENT-MISMATCH") < names.index("R-KNOWN-AUTHOR-TITLE-MISMATCH") < names.index("R-ABSTENTION-BORDER")
+    base = dict(fake_url=False, fabricated_doi=False, fake_author=False, future_year=False, known_author=False, url_status=None, clean_sources=0, sources_queried=1, substantive=True, kind=None, best_source=None, linked=False, ambiguous=False, book=False, style_penalty=0.1, provenance_penalty=0.05, has_candidate=True, has_doi=False, doi_exact_match=False, title_sim=0.5, author_sim=0.0, year_distance=5, consensus=0, title_fuzzy=0.5, registered=False, local_only=False, live=False, arxiv_alias=False, both_dois=False, doi_conflict=False, content_score=0.0, content_aligned=False, missing_reference=False, matched=None, quality_candidate=False, url_only=False)
+    cases = [
+        (dict(registered=True, doi_exact_match=True, title_fuzzy=0.88, title_sim=0.88, year_distance=999), ("R-GLOBAL-DOI-RA-VERIFIED", "verified", 0.73)),
+        (dict(local_only=True, title_fuzzy=0.95, title_sim=0.96, author_sim=0.9, year_distance=1), ("R-LOCAL_DB_VERIFIED", "verified", 0.7)),
+        (dict(local_only=True, title_fuzzy=0.99, title_sim=0.99, author_sim=0.4, year_distance=0), ("R-LOCAL_DB_GOOD_MATCH", "verified", 0.65)),
+        (dict(local_only=True, title_fuzzy=0.99, title_sim=0.99, author_sim=0.4, year_distance=0, both_dois=True), ("R-LOCAL_DB_METADATA_ERROR", "metadata_error", 0.68)),
+        (dict(content_score=0.6, content_aligned=True, title_fuzzy=0.7, title_sim=0.7, author_sim=0.5, year_distance=0, matched=False), ("R-WEAK-EVIDENCE", "unresolved", 0.4)),
+        (dict(content_score=0.6, content_aligned=True, title_fuzzy=0.7, title_sim=0.7, author_sim=0.5, year_distance=0), ("R-CONTENT-ALIGNMENT", "verified", 0.75)),
+        (dict(content_score=0.3, title_fuzzy=0.8, title_sim=0.8, author_sim=0.5, year_distance=3), ("R-CONTENT-MISMATCH", "suspected_hallucination", 0.7)),
+        (dict(content_score=0.25, title_fuzzy=0.3, title_sim=0.3, author_sim=0.3, year_distance=0), ("R-CONTENT-ALIGNMENT", "unresolved", 0.15)),
+        (dict(live=True, consensus=1, title_fuzzy=0.7, title_sim=0.7, author_sim=0.3), ("R-SINGLE-SOURCE-PARTIAL", "metadata_error", 0.58)),
+        (dict(known_author=True, quality_candidate=True, title_fuzzy=0.35, title_sim=0.35, author_sim=0.5), ("R-KNOWN-AUTHOR-TITLE-MISMATCH", "metadata_error", 0.65)),
+        (dict(title_sim=None, title_fuzzy=None, author_sim=None, year_distance=None, content_score=None, live=None), ("R-WEAK-EVIDENCE", "unresolved", 0.4)),
+    ]
+    kinds = {bool: "boolean", float: "double", int: "int", type(None): "string"}
+    schema = "i int, " + ", ".join(f"{k} {'boolean' if k == 'matched' else kinds[type(v)]}" for k, v in base.items())
+    df = spark.createDataFrame([(i, *(base | c).values()) for i, (c, _) in enumerate(cases)], schema)
+    got = {r.i: (r.rule, r.label, round(r.confidence, 6)) for r in classify(df, FULL_RULES).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
