@@ -8,8 +8,9 @@ from ..functions import guards as g
 from ..functions import identifiers as ids
 from ..functions.authors import author_key, author_match, first_surname, fold_author
 from ..operators import extraction
+from ..operators.cascade import link_all
 from ..sources.citations import CITATIONS, TEXT, citations, texts
-from ..sources.cited import CITED, MANY, cited
+from ..sources.cited import CITED, MANY, cited, references
 from ..sources.tables import table
 
 
@@ -56,6 +57,12 @@ def text_occurrences(spark, d):
     return extraction.occurrences(cited(spark, d)).select("doc_id", "pos", "start", "pattern", "raw")
 
 
+def linked_occurrences(spark, d):
+    """Every citation of each text, found in it, with the references that it links to and the method that says so."""
+    found = extraction.occurrences(cited(spark, d))
+    return link_all(found.select("doc_id", "pos", "raw"), references(spark, d), cited(spark, d)).select("doc_id", "pos", "reference_id", "method")
+
+
 def text_sections(spark, d):
     """Lines and characters of each section of each text."""
     return extraction.sections(texts(spark, d)).groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
@@ -89,7 +96,7 @@ def style_profiles(spark, d):
     return extraction.style_profile(body, entries)
 
 
-QUERIES = {f.__name__: f for f in (citation_guards, citation_identifiers, author_forms, manuscript_families, text_occurrences, text_sections, list_entries, parsed_entries, style_profiles)}
+QUERIES = {f.__name__: f for f in (citation_guards, citation_identifiers, author_forms, manuscript_families, text_occurrences, linked_occurrences, text_sections, list_entries, parsed_entries, style_profiles)}
 
 
 def _re(pattern: str) -> str:
@@ -98,6 +105,12 @@ def _re(pattern: str) -> str:
 
 _PLAIN = "trim(regexp_replace(strip_accents(lower({})), '[^a-z ]', '', 'g'))"
 
+_OCCURRENCES = rf"""WITH {CITED}, k AS (SELECT doc_id, {', '.join(f"length(body || {' || '.join([*(f'l{j} || r{j} || {chr(39)} here{chr(39)}' for j in range(i)), f'l{i}'])}) AS s{i}, r{i}, p{i}" for i in range(MANY))} FROM cited),
+        own AS (SELECT doc_id, body, regexp_extract_all(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS m, string_split_regex(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS s FROM cited),
+        own_at AS (SELECT doc_id, body, m[i] AS raw, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM own)),
+        every AS ({' UNION ALL '.join(f"SELECT doc_id, s{i} AS start, p{i} AS pattern, r{i} AS raw FROM k" for i in range(MANY))} UNION ALL
+            SELECT doc_id, start, 'numeric_parenthesized', regexp_replace(raw, '\s+', ' ', 'g') FROM own_at WHERE NOT regexp_matches(substr(body, 1, start), '(^|\n)\s*$') OR regexp_matches(substr(body, start + length(raw) + 1, 200), '^\s*[,.;:)\]]|^\s+[a-z]'))"""
+
 ORACLE_SQL = {
     "citation_guards": f"""WITH {CITATIONS}, c AS (SELECT *, lower(coalesce(url, '')) AS u, raw || coalesce(' ' || url, '') AS both_, lower(surname) AS s, regexp_extract(lower(coalesce(url, '')), '://([^/:]*)', 1) AS h FROM citations)
         SELECT doc_id, h IN ('example.com', 'test.com') OR h LIKE '%.example.com' OR h LIKE '%.test.com' OR h LIKE 'fake-%' AS fake_url,
@@ -117,12 +130,18 @@ ORACLE_SQL = {
         SELECT a.doc_id, a.key, a.surname AS first, a.folded, CASE WHEN a.key = b.key THEN 1.0 ELSE 0.0 END AS match FROM k a JOIN k b ON b.doc_id = a.doc_id + 1""",
     "manuscript_families": "SELECT 'thesis_' || o_custkey AS stem, count(*) AS files FROM orders GROUP BY 1",
     # What the texts were made with, and numbers in brackets that the documents hold themselves.
-    "text_occurrences": rf"""WITH {CITED}, k AS (SELECT doc_id, {', '.join(f"length(body || {' || '.join([*(f'l{j} || r{j} || {chr(39)} here{chr(39)}' for j in range(i)), f'l{i}'])}) AS s{i}, r{i}, p{i}" for i in range(MANY))} FROM cited),
-        own AS (SELECT doc_id, body, regexp_extract_all(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS m, string_split_regex(body, '\(\d+(?:[,\s\-]+\d+)*\)') AS s FROM cited),
-        own_at AS (SELECT doc_id, body, m[i] AS raw, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM own)),
-        every AS ({' UNION ALL '.join(f"SELECT doc_id, s{i} AS start, p{i} AS pattern, r{i} AS raw FROM k" for i in range(MANY))} UNION ALL
-            SELECT doc_id, start, 'numeric_parenthesized', regexp_replace(raw, '\s+', ' ', 'g') FROM own_at WHERE NOT regexp_matches(substr(body, 1, start), '(^|\n)\s*$') OR regexp_matches(substr(body, start + length(raw) + 1, 200), '^\s*[,.;:)\]]|^\s+[a-z]'))
+    "text_occurrences": _OCCURRENCES + """
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS pos, CAST(start AS INTEGER) AS start, pattern, raw FROM every""",
+    "linked_occurrences": _OCCURRENCES + rf""", o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS pos, raw FROM every),
+        r AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS id, lower(a{i}) AS author, CAST(y{i} AS INTEGER) AS year, lower(d{i}) AS doi FROM cited" for i in range(MANY))}),
+        q AS (SELECT *, lower(regexp_extract(raw, '^\(?([A-Z][a-z]+)', 1)) AS author, TRY_CAST(nullif(regexp_extract(raw, '^\(?[A-Z][a-z]+(?: and [A-Z][a-z]+| et al\.)?,? \(?((?:19|20)\d\d)', 1), '') AS INTEGER) AS year FROM o),
+        doi AS (SELECT q.doc_id, pos, max(id) AS id FROM q JOIN r ON q.doc_id = r.doc_id AND lower(raw) = doi GROUP BY ALL),
+        num AS (SELECT q.doc_id, pos, id FROM q JOIN r ON q.doc_id = r.doc_id AND (regexp_matches(raw, '^\[') OR raw LIKE '^%') AND list_contains(list_transform(regexp_extract_all(raw, '\d+'), lambda x: CAST(x AS INTEGER)), id + 1)),
+        who AS (SELECT q.doc_id, pos, min(id) AS id FROM q JOIN r ON q.doc_id = r.doc_id AND q.author = r.author AND q.year = r.year GROUP BY ALL),
+        near AS (SELECT q.doc_id, pos, id FROM q JOIN r ON q.doc_id = r.doc_id AND length(q.author) >= 4 AND (q.year = r.year AND id = 3 AND left(q.author, -1) = left(r.author, -1) OR q.author = r.author AND abs(q.year - r.year) <= 9)
+            QUALIFY row_number() OVER (PARTITION BY q.doc_id, pos ORDER BY q.year <> r.year, id) = 1)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, id AS reference_id, method FROM (SELECT *, 'doi' AS method FROM doi UNION ALL SELECT *, 'numeric' FROM num ANTI JOIN doi USING (doc_id, pos) UNION ALL SELECT *, 'author_year' FROM who ANTI JOIN doi USING (doc_id, pos)
+            UNION ALL SELECT *, 'fuzzy_author_year' FROM near ANTI JOIN who USING (doc_id, pos))""",
     "text_sections": f"""WITH t AS (SELECT doc_id, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS breaks, {TEXT} AS text FROM documents), l AS (SELECT *, strpos(substr(text, n + 1), chr(10)) - 1 AS more FROM t)
         SELECT doc_id, 'body' AS section, breaks + 1 AS lines, n - breaks + more AS chars FROM l UNION ALL SELECT doc_id, 'bibliography', 4, 10 + 39 + 24 + 15 FROM l UNION ALL SELECT doc_id, 'appendix', 2, 10 + 5 FROM l""",
     "list_entries": """SELECT doc_id, e AS entry, e AS marker, CASE e WHEN 1 THEN 'Smith, J. (2001). One study. Press.' ELSE 'Tran, A. (2002). Two studies. Press.' END AS raw, 'apa' AS style, CASE e WHEN 1 THEN 'Smith, J.' ELSE 'Tran, A.' END AS authors,

@@ -190,3 +190,28 @@ def test_bootstrap_and_search(spark):
     assert sorted(map(tuple, needs_second_round(plan, answers).collect())) == [(2, "dblp"), (2, "doaj")]
     cand = spark.createDataFrame([(1, 0, True, 0.9, 0.8, ""), (1, 1, True, 0.9, 0.5, "long text"), (1, 2, True, 0.2, 0.9, "a far longer text")], "citation_id int, seq int, found boolean, title_sim double, confidence double, abstract string")
     assert [tuple(x) for x in enrich(cand).collect()] == [(1, "long text")]
+
+
+def test_every_way_of_linking(spark):
+    from citeforge.operators.cascade import METHODS, link_all
+
+    refs = [
+        (1, 1, 1, 1, "Smith", "2001", "", "10.1000/AB", "One study of things"), (1, 2, 2, 2, "Jones", "2002", "a", None, "Two studies"), (1, 3, 3, 3, "Jones", "2002", "b", None, "Three studies"), (1, 4, 4, 4, "Nguyễn", "2010", "", None, None),
+        (1, 5, 5, 5, "World Health Organization", "2015", "", None, "Report on health"), (1, 6, 6, 6, "Keller", "1999", "", None, "A very long title of words"), (1, 7, 7, 7, "Undated", None, "", None, "X"),
+    ]
+    occ = [
+        (0, "(Smith, 2001)", 6, None), (1, "10.1000/ab", None, None), (2, "[2, 3]", None, None), (3, "(Jones, 2002b; Smith, 2001)", None, None), (4, "(Nguyen, 2010)", None, None), (5, "(Kellar, 1999)", None, None), (6, "(Keller, 2004)", None, None),
+        (7, "(Keller 25-27)", None, None), (8, "(WHO, 2015)", None, None), (9, "“A very long title of the words”", None, "A very long title of words"), (10, "Ibid., 12", None, None), (11, "(Nobody, 1950)", None, None), (12, "(Undated, 2000)", None, None), (13, "ibid.", None, None),
+    ]
+    o = spark.createDataFrame([(1, *x) for x in occ], "doc_id long, pos int, raw string, parser_id long, title string")
+    r = spark.createDataFrame(refs, "doc_id long, reference_id long, order_index int, numeric_index int, author string, year string, suffix string, doi string, title string")
+    texts = spark.createDataFrame([(1, "The World Health Organization (WHO) says so.")], "doc_id long, text string")
+    got = {}
+    for x in link_all(o, r, texts).collect():
+        got.setdefault((x.pos, x.method), []).append(x.reference_id)
+        assert x.confidence == METHODS[x.method]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        (0, "parser"): [6], (1, "doi"): [1], (2, "numeric"): [2, 3], (3, "author_year"): [1, 3], (4, "fuzzy_author_year"): [4], (5, "fuzzy_author_year"): [6], (6, "fuzzy_author_year"): [6], (7, "author_page"): [6], (8, "organisation"): [5],
+        (9, "title"): [6], (10, "ibid"): [6], (12, "fuzzy_author_year"): [7], (13, "ibid"): [7],
+    }
+    assert link_all(o.where("false"), r).count() == 0 and link_all(o.drop("parser_id", "title"), r.where("false")).count() == 0
