@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
