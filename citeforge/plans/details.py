@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import context, laws, render, venues
 from ..functions.normalize import citation_key
 from ..operators import scores
-from ..sources.citations import citations
+from ..sources.citations import CITATIONS, citations
 from ..sources.tables import PAPERS, PREDICTIONS, papers, predictions, table
 
 _MONTH = "CAST(doc_id % 12 + 1 AS STRING)"
@@ -60,7 +60,7 @@ def unique_citations(spark, d):
     """One citation for each key, the first; keys come from DOI, else title, author and year."""
     c = citations(spark, d)
     none = F.lit(None).cast("string")
-    key = citation_key(F.when(F.col("doi") == "10.0000/x", F.col("doi")), none, F.substring("venue", 1, 5), F.lit(None).cast("string"), none, F.col("raw"))
+    key = citation_key(F.col("doi"), none, F.col("title"), F.col("surname"), F.col("year"), F.col("raw"))
     w = Window.partitionBy("key").orderBy("doc_id")
     return c.select("doc_id", key.alias("key")).withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "key")
 
@@ -121,6 +121,8 @@ QUERIES = {
 
 _C = "SELECT doc_id, {} FROM documents"
 
+_PLAIN_WORDS = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({}), 'ß', 'ss'), '\bet\s+al\b\.?', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
 ORACLE_SQL = {
     "cleaned_contexts": "SELECT doc_id, 'The calibration of pre-trained nets, see Fig. 2, is known [7]. Number ' || doc_id || ' of J. Smith et al. is another one.' AS whole, 2 AS sentences, 'The calibration of pre-trained nets, see Fig. 2, is known [7].' AS focal, 'machine learning is' || chr(10) || chr(10) || 'fine ' || doc_id AS lines FROM documents",
     "best_segments": """WITH s AS (SELECT doc_id, i, substr(text, i * 512 + 1, 512) AS piece FROM documents, range(0, 5) t(i) WHERE i = 0 OR i * 512 < length(text)), n AS (SELECT doc_id, i, length(piece) - length(replace(piece, ' ', '')) AS n FROM s)
@@ -133,7 +135,8 @@ ORACLE_SQL = {
         ['Smith, John K. and Lee, Ann', 'Tran, A.', 'NameA, X. et al.'][doc_id % 3 + 1] || ' (' || (2000 + doc_id % 20) || '), ''Deep study ' || doc_id || ''', Venue, ' || CASE doc_id % 2 WHEN 0 THEN 'DOI: 10.1/' || doc_id ELSE 'URL: https://x.org' END || '.' AS harvard,
         ['smith', 'tran', 'namea'][doc_id % 3 + 1] || (2000 + doc_id % 20) || 'deep' AS key,
         CASE doc_id % 2 WHEN 0 THEN 'The work was found in ' || doc_id % 4 || ' source(s)' ELSE 'The evidence does not decide' END || ' (title 50 % alike); rule R-X, sure to 79 %.' AS why FROM documents""",
-    "unique_citations": """WITH k AS (SELECT doc_id, CASE doc_id % 7 WHEN 2 THEN 'doi:10.0000/x' ELSE 'title:' || ['journ', 'mit p', 'phd t', 'nghị', 'the b', 'proce', 'clini', 'arxiv', 'neura'][doc_id % 9 + 1] || '||' END AS key FROM documents)
+    "unique_citations": rf"""WITH {CITATIONS}, n AS (SELECT *, {_PLAIN_WORDS.format('title')} AS words, {_PLAIN_WORDS.format('raw')} AS whole FROM citations),
+        k AS (SELECT doc_id, coalesce('doi:' || regexp_replace(lower(doi), '[\s.,;:)\]}}>]+$', ''), CASE WHEN trim(title) <> '' THEN 'title:' || words || '|' || lower(surname) || '|' || CAST(year AS VARCHAR) END, 'raw:' || whole) AS key FROM n)
         SELECT min(doc_id) AS doc_id, key FROM k GROUP BY key""",
     "verifiable_citations": "SELECT doc_id, ['reference_list', 'in_text', 'numeric', 'doi', 'url'][doc_id % 5 + 1] AS type FROM documents WHERE doc_id % 5 = 0 OR (doc_id % 5 IN (3, 4) AND (doc_id % 7 < 4 OR doc_id % 6 < 4))",
     "confident_share": f"WITH {PREDICTIONS} SELECT t / 10 AS threshold, avg(CASE WHEN p >= t / 10 THEN 1 ELSE 0 END) AS coverage FROM predictions, range(5, 10) r(t) GROUP BY 1",

@@ -48,8 +48,7 @@ def baseline_labels(spark, d):
 
 def evidence_labels(spark, d):
     """Labels of the whole chain: guards come from the citations' texts, similarities from their ids."""
-    guards = citations.citation_guards(spark, d).select(F.col("doc_id").alias("id"), *[F.col(c) & (F.col("doc_id") % 3 == 0) if c.startswith("fa") else F.col(c) for c in ("fake_url", "fabricated_doi", "fake_author", "kind", "known_author", "substantive")])
-    guards = guards.toDF("id", "fake_url", "fabricated_doi", "fake_author", "kind", "known_author", "substantive")
+    guards = citations.citation_guards(spark, d).select(F.col("doc_id").alias("id"), *[F.col(c) for c in ("fake_url", "fabricated_doi", "fake_author", "kind", "known_author", "substantive")])
     got = classify(papers(spark, d).select("id").selectExpr(*_EVIDENCE).join(guards, "id"), EVIDENCE_RULES)
     return demote_retracted(got).select("id", "label", "confidence", "rule")
 
@@ -100,7 +99,7 @@ def exact_duplicate_references(spark, d):
 def class_essay_counts(spark, d):
     """Essays of each class: those handed in to it, and those of its members that name no class."""
     e = essays(spark, d).withColumn("named", F.when(F.col("essay_id") % 3 > 0, F.col("class_id")))
-    members = e.where("essay_id % 2 = 0").select("class_id", "user_id").distinct()
+    members = e.select("class_id", "user_id").distinct()
     named = e.where("named is not null").select(F.col("named").alias("class_id"), "essay_id")
     through = e.where("named is null").select("user_id", "essay_id").join(members, "user_id").select("class_id", "essay_id")
     return named.union(through).groupBy("class_id").agg(F.count("*").alias("n"))
@@ -119,7 +118,7 @@ _CAND = f"{PAPERS}, cand AS (SELECT {', '.join(_CANDIDATES)} FROM papers, range(
 ORACLE_SQL = {
     "baseline_labels": f"WITH f AS (SELECT {', '.join(_FEATURES)} FROM (SELECT doc_id AS id FROM documents)) SELECT id, {', '.join(f'{baselines.case(n)} AS {n.lower()}' for n in baselines.BASELINES)} FROM f",
     "evidence_labels": f"""WITH g AS ({citations.ORACLE_SQL['citation_guards']}),
-        f AS (SELECT e.*, fake_url AND id % 3 = 0 AS fake_url, fabricated_doi AND id % 3 = 0 AS fabricated_doi, fake_author AND id % 3 = 0 AS fake_author, kind, known_author, style_penalty AS sp, provenance_penalty AS pp,
+        f AS (SELECT e.*, fake_url, fabricated_doi, fake_author, kind, known_author, style_penalty AS sp, provenance_penalty AS pp,
             NOT has_candidate AND clean_sources >= 2 AND NOT known_author AS gone, year_distance <= 1 OR year_distance >= 900 AS near
             FROM (SELECT {', '.join(_EVIDENCE)} FROM (SELECT doc_id AS id FROM documents)) e JOIN g ON doc_id = id),
         v AS (SELECT id, retracted, CASE
@@ -183,7 +182,7 @@ ORACLE_SQL = {
         x AS (SELECT r.* FROM r WHERE NOT EXISTS (FROM g WHERE g.doc_id = r.doc_id AND g.key = r.doi))
         SELECT doc_id, kind, key::VARCHAR AS key, n, representative FROM g UNION ALL
         SELECT doc_id, 'arxiv', arxiv::VARCHAR, count(*), min(o) FROM x GROUP BY ALL HAVING count(*) > 1""",
-    "class_essay_counts": f"""WITH {ESSAYS}, e AS (SELECT *, CASE WHEN essay_id % 3 > 0 THEN class_id END AS named FROM essays), m AS (SELECT DISTINCT class_id, user_id FROM e WHERE essay_id % 2 = 0),
+    "class_essay_counts": f"""WITH {ESSAYS}, e AS (SELECT *, CASE WHEN essay_id % 3 > 0 THEN class_id END AS named FROM essays), m AS (SELECT DISTINCT class_id, user_id FROM e),
         a AS (SELECT named AS class_id, essay_id FROM e WHERE named IS NOT NULL UNION ALL SELECT m.class_id, essay_id FROM e JOIN m USING (user_id) WHERE named IS NULL)
         SELECT class_id, count(*) AS n FROM a GROUP BY 1""",
 }
