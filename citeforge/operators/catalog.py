@@ -53,3 +53,36 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows at random, the same ones for the same seed."""
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)
+
+
+# Titles that are no paper's, the years and lengths of good records.
+NOT_A_TITLE = (
+    r"(?i)(?:this\s+essay|comprehensive\s+survey|comprehensive\s+review|introduction\s+to\s+|abstract\s+|survey\s*$|:?\s*survey\s+of\s+|a\s+(?:brief\s+)?(?:survey|review|introduction)|"
+    r"^\s*(?:deep\s+learning|natural\s+language\s+processing)|[{}\\]|^proceedings\s+of|^book\s+reviews?)"
+)
+TITLE_LENGTHS, YEARS, SURNAME_LEAST = (18, 180), (1995, 2026), 3
+
+
+def quality_sample(papers: DataFrame, seed: int, n: int, prefer_with_doi: bool = True) -> DataFrame:
+    """n good records of papers (id, doi, title, authors, year, abstract) at random, the same ones for the same seed; no two of one title.
+
+    A good one has a title of one sentence and of fair length, a first author with a surname, a year, and with prefer_with_doi a
+    DOI. Records with an abstract come before those without."""
+    t = F.regexp_replace(F.trim(F.coalesce("title", F.lit(""))), r"\.+$", "")
+    good = F.length(t).between(*TITLE_LENGTHS) & ~t.rlike(r"[.?!]") & ~t.rlike(NOT_A_TITLE) & F.col("year").between(*YEARS)
+    named = F.length(F.regexp_replace(F.coalesce(F.get("authors", F.lit(0)), F.lit("")), r"[^A-Za-zÀ-ÿ]", "")) >= SURNAME_LEAST
+    kept = papers.where(good & named & ((F.trim(F.coalesce("doi", F.lit(""))) != "") if prefer_with_doi else F.lit(True)))
+    order = F.struct((F.trim(F.coalesce("abstract", F.lit(""))) == "").alias("bare"), F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}"))).alias("h"), "id")
+    one = kept.withColumn("o", order).groupBy(F.lower(t).alias("key")).agg(F.min_by(F.struct(*papers.columns), "o").alias("p"), F.min("o").alias("o"))
+    return one.orderBy("o").limit(n).select("p.*")
+
+
+def like_search(papers: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id) of papers (id, title, authors, year) whose title holds the asked words in order as they stand, whatever their case, of that year and with an author whose name holds the asked one.
+
+    asked: (query_id, title, author, year); what is null or empty does not narrow. The title's longest word has to stand in the paper's, so pairs come from an equi-join."""
+    longest = F.array_max(F.transform(words_of(F.col("title")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = asked.select("query_id", F.lower(F.trim("title")).alias("asked"), F.lower(F.trim(F.coalesce("author", F.lit("")))).alias("author"), F.col("year").alias("of_year"), longest.alias("word")).where("word is not null")
+    p = papers.select("id", F.lower("title").alias("held"), F.lower(F.array_join("authors", "\n")).alias("names"), "year")
+    met = q.join(p.withColumn("word", F.explode(F.array_distinct(words_of(F.col("held"))))), "word")
+    return met.where(F.col("held").contains(F.col("asked")) & F.col("names").contains(F.col("author")) & (F.col("of_year").isNull() | (F.col("of_year") == F.col("year")))).select("query_id", "id")

@@ -59,6 +59,32 @@ def hashed_split(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("split", F.when(h < "b333", "train").when(h < "d99a", "validation").otherwise("test"))
 
 
+def stratified_split(rows: DataFrame, key: str, stratum: str, shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
+    """rows with ``split``: of every stratum the shares of its rows go to train and validation, rounded half to even, the rest to test.
+
+    Rows stand in the order of their key's hash, so the split is at random but the same for the same rows. A row's place is what
+    the 65,536 ranges of hashes before its own hold, by one aggregate, and its place within its range; so no stratum, however large,
+    is put in order by one task. Null is a stratum of its own."""
+    digest = F.md5(F.col(key).cast("string"))
+    placed = rows.withColumn("_h", digest).withColumn("_bucket", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    held = placed.groupBy(F.col(stratum).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_c"))
+    # At most 65,536 rows a stratum.
+    upto = Window.partitionBy("_s").orderBy("_b")
+    held = held.select("_s", "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
+    inside = Window.partitionBy("_s", "_b").orderBy("_h", key)
+    ranked = placed.join(held, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
+    first, second = (F.bround(F.col("_n") * F.lit(x)) for x in shares)
+    split = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= first + second, "validation").otherwise("test")
+    return ranked.select(*rows.columns, split.alias("split"))
+
+
+def split_audit(rows: DataFrame, key: str) -> DataFrame:
+    """(split, n, keys, shared) of rows with ``split``: rows and different keys of each split, and how many of these another split has too."""
+    per = rows.groupBy(key, "split").agg(F.count("*").alias("n"))
+    many = per.groupBy(key).agg(F.count("*").alias("in_"))
+    return per.join(many, per[key].eqNullSafe(many[key])).groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.count_if(F.col("in_") > 1).alias("shared"))
+
+
 def threshold_metrics(rows: DataFrame, thousandths: list[int]) -> DataFrame:
     """(threshold, tp, fp, tn, fn, precision_, recall_, f1) of p against y, all thresholds in one aggregation."""
     yes, p = F.col("y") == 1, F.round(F.col("p") * 1000)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import citation_key, csv_guard, fingerprint, normalize_doi, normalize_text
 from ..operators import maintenance, postings
-from ..operators.catalog import bm25, keep_best, survivors, upsert
+from ..operators.catalog import NOT_A_TITLE, bm25, keep_best, like_search, quality_sample, survivors, upsert
 from ..sources import versions
 from ..sources.store import new_path
 from ..sources.tables import ESSAYS, LOG, PAPERS, essays, papers, query_log, table
@@ -87,11 +87,26 @@ def maintained_catalog(spark, d):
     return now["papers"].join(refs, "id", "left").select("id", F.coalesce("refs", F.lit(0)).alias("refs"), "source")
 
 
+def quality_papers(spark, d):
+    """Thirty good records at random; the abstract is a text's second half, if it has one."""
+    text = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("CASE WHEN n_chars % 3 > 0 THEN substr(text, length(text) DIV 2) END").alias("abstract"))
+    p = papers(spark, d).select("id", "doi", F.expr("substr(title, 1, 170 + id % 20)").alias("title"), F.array("source").alias("authors"), "year").join(text, "id")
+    return quality_sample(p, 11, 30).select("id", "title", "year", "doi")
+
+
+def like_matches(spark, d):
+    """Papers whose title holds two middle words of each paper's own, of its year and source."""
+    p = papers(spark, d).select("id", "title", F.array("source").alias("authors"), "year", "source")
+    words = F.split("title", " ")
+    middle = F.array_join(F.slice(words, F.floor(F.size(words) / 2).cast("int") + 1, 2), " ")
+    return like_search(p, p.select(F.col("id").alias("query_id"), middle.alias("title"), F.expr("upper(substr(source, 2))").alias("author"), F.when(F.col("id") % 2 == 0, F.col("year")).alias("year")))
+
+
 def essay_keep_best(spark, d):
     return keep_best(essays(spark, d), ["user_id", "class_id"], [F.desc("uploaded_at"), "essay_id"]).select("essay_id", "user_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, paper_search_batch, word_search_batch, maintained_catalog, essay_keep_best)}
+QUERIES = {f.__name__: f for f in (catalog_doi_survivors, catalog_title_year_survivors, query_log_stats, recent_queries, paper_keys, paper_upsert, paper_search_bm25, paper_search_batch, word_search_batch, maintained_catalog, quality_papers, like_matches, essay_keep_best)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _SEARCH = """WITH {papers}, n AS (SELECT doc_id AS id, {words} AS words FROM documents), t AS (SELECT sum(len(words)) / count(*) AS mean, count(*) AS total FROM n),
@@ -104,6 +119,14 @@ _SEARCH = """WITH {papers}, n AS (SELECT doc_id AS id, {words} AS words FROM doc
 _KEY = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 ORACLE_SQL = {
+    "quality_papers": rf"""WITH {PAPERS}, p AS (SELECT p.id, doi, substr(title, 1, CAST(170 + id % 20 AS INTEGER)) AS title, p.source, year, CASE WHEN n_chars % 3 > 0 THEN substr(text, length(text) // 2) END AS abstract FROM papers p JOIN documents ON doc_id = id),
+        t AS (SELECT *, regexp_replace(trim(title), '\.+$', '') AS t FROM p),
+        g AS (SELECT *, coalesce(trim(abstract), '') = '' AS bare, md5(CAST(id AS VARCHAR) || '-11') AS h FROM t WHERE length(t) BETWEEN 18 AND 180 AND NOT regexp_matches(t, '[.?!]') AND NOT regexp_matches(t, '{NOT_A_TITLE}') AND year BETWEEN 1995 AND 2026 AND length(regexp_replace(source, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 3 AND doi IS NOT NULL)
+        SELECT id, title, year, doi FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY lower(t) ORDER BY bare, h, id) = 1) ORDER BY bare, h, id LIMIT 30""",
+    "like_matches": rf"""WITH {PAPERS}, w AS (SELECT *, string_split(title, ' ') AS w FROM papers), q AS (SELECT id AS query_id, trim(array_to_string(w[len(w) // 2 + 1:len(w) // 2 + 2], ' ')) AS asked, upper(substr(source, 2)) AS author, CASE WHEN id % 2 = 0 THEN year END AS y FROM w)
+        SELECT query_id, id FROM q JOIN papers ON contains(lower(title), lower(asked)) AND contains(lower(source), lower(author)) AND (y IS NULL OR y = year)
+            AND list_has_any(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), [list_max(list_transform(list_filter(regexp_split_to_array(lower(asked), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: {{'n': length(x), 'w': x}})).w])
+        WHERE len(list_filter(regexp_split_to_array(lower(asked), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) > 0""",
     # One step after another, the log rewritten after each.
     "maintained_catalog": f"""WITH {PAPERS}, {LOG}, p0 AS (SELECT id, CASE WHEN length(title) % 3 = 0 THEN NULL ELSE doi END AS doi, CASE WHEN id % 40 = 7 THEN ' ' ELSE title END AS title, year, {_SOURCE} AS source FROM papers),
         p1 AS (SELECT * FROM p0 WHERE trim(title) <> ''), l1 AS (SELECT paper_id FROM log), r1 AS (SELECT paper_id AS id, count(*) AS refs FROM l1 GROUP BY 1),

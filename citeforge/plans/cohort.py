@@ -59,6 +59,20 @@ def stratified_split(spark, d):
     return ev.hashed_split(predictions(spark, d).select("id", "y"), "id")
 
 
+def _split(spark, d):
+    return ev.stratified_split(papers(spark, d).select("id", "source"), "id", "source")
+
+
+def audited_split(spark, d):
+    """Each paper's split, exact shares of every source."""
+    return _split(spark, d)
+
+
+def split_overlaps(spark, d):
+    """Rows and keys of each split of the papers, and keys that another one has too."""
+    return ev.split_audit(_split(spark, d), "id")
+
+
 def threshold_tuner(spark, d):
     return ev.threshold_metrics(predictions(spark, d), [500, 600, 700, 800, 900, 950])
 
@@ -117,10 +131,13 @@ def cited_positions(spark, d):
     return got.select("doc_id", "reference_id", "n", F.array_join(F.col("at").cast("array<string>"), ",").alias("positions"))
 
 
-QUERIES = {f.__name__: f for f in (class_scores, top_rules, shared_flagged, students_per_class, revision_diff, class_essays, stratified_split, threshold_tuner, blended_confidence, reference_order, paper_page, paper_sample, author_match, document_sentences, bibliography, log_windows, source_status, cited_positions)}
+QUERIES = {f.__name__: f for f in (class_scores, top_rules, shared_flagged, students_per_class, revision_diff, class_essays, stratified_split, audited_split, split_overlaps, threshold_tuner, blended_confidence, reference_order, paper_page, paper_sample, author_match, document_sentences, bibliography, log_windows, source_status, cited_positions)}
 
 _A, _B = ("list_filter({}.authors, lambda x: x IS NOT NULL)".format(t) for t in "pb")
 
+_SPLIT = f"""WITH {PAPERS}, r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(id AS VARCHAR)), id) AS r, count(*) OVER (PARTITION BY source) AS n FROM papers),
+        s AS (SELECT id, source, CASE WHEN r <= round_even(n * 0.70::DOUBLE, 0) THEN 'train' WHEN r <= round_even(n * 0.70::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'validation' ELSE 'test' END AS split FROM r)"""
+
 ORACLE_SQL = {
     "class_scores": f"""WITH {ESSAYS}, {VERDICTS}, v AS (SELECT essay_id, (100 * count_if(label = 'verified' OR is_overridden)) // count(*) AS s FROM verdicts GROUP BY 1),
         e AS (SELECT class_id, CAST(coalesce(s, 0) AS BIGINT) AS s FROM essays LEFT JOIN v USING (essay_id))
@@ -135,6 +152,8 @@ ORACLE_SQL = {
         SELECT essay_id, CASE WHEN was IS NULL THEN 'added' WHEN label IS NULL THEN 'removed' WHEN label = was THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM c FULL JOIN p USING (essay_id, key) GROUP BY ALL""",
     "class_essays": f"""WITH {ESSAYS}, e AS (SELECT essay_id, user_id, CASE WHEN essay_id % 3 <> 0 THEN class_id END AS class_id FROM essays), m AS (SELECT c_custkey AS user_id, c_custkey % 20 AS class_id FROM customer)
         SELECT DISTINCT essay_id, m.class_id FROM e JOIN m ON e.class_id = m.class_id OR (e.class_id IS NULL AND e.user_id = m.user_id)""",
+    "audited_split": _SPLIT + " SELECT id, source, split FROM s",
+    "split_overlaps": _SPLIT + ", k AS (SELECT id, count(DISTINCT split) AS many FROM s GROUP BY id) SELECT split, count(*) AS n, count(DISTINCT id) AS keys, count(DISTINCT CASE WHEN many > 1 THEN id END) AS shared FROM s JOIN k USING (id) GROUP BY split",
     "stratified_split": f"WITH {PREDICTIONS}, h AS (SELECT id, y, substr(md5(CAST(id AS VARCHAR)), 1, 4) AS h FROM predictions) SELECT id, y, CASE WHEN h < 'b333' THEN 'train' WHEN h < 'd99a' THEN 'validation' ELSE 'test' END AS split FROM h",
     "threshold_tuner": f"""WITH {PREDICTIONS}, c AS (SELECT t AS threshold, count(*) FILTER (round(p * 1000) >= t AND y = 1) AS tp, count(*) FILTER (round(p * 1000) >= t AND y = 0) AS fp,
             count(*) FILTER (round(p * 1000) < t AND y = 0) AS tn, count(*) FILTER (round(p * 1000) < t AND y = 1) AS fn FROM predictions, (VALUES (500), (600), (700), (800), (900), (950)) v(t) GROUP BY t)
