@@ -1,12 +1,16 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
 Candidates are dealt by ranges of their id into segments, and a segment into blocks of consecutive
-ids. A block keeps the largest and the smallest value of each dimension, its term maxima for
-positive and negative query components, and a forward index, the vectors themselves. A query scores
-the blocks of a segment in the order of their bounds (the sum of its term maxima) and stops at the
-first whose bound is below the k-th score so far. Queries go in blocks as well: each block of queries
-meets each segment once, in a task that holds just the two, and the k best of each segment are
-merged. So neither side is held whole anywhere and nothing is broadcast.
+ids. Segments and blocks keep the largest and the smallest value of each dimension, their term maxima for
+positive and negative query components; a block's forward index are the vectors themselves. The bound of
+a segment or block for a query is the sum of its term maxima.
+
+A query first visits the segment of greatest bound, in a task that holds that segment and a block of such
+queries, and takes its k-th score on. Then it visits those of the others whose bound reaches that score;
+pairs that can't reach it are never shipped. Within a segment a query scores blocks in the order of their
+bounds and stops at the first whose bound is below the k-th score so far. The segments' maxima go to all
+tasks if they take no more than BROADCAST_BYTES; beyond that every query visits every segment. So neither
+side is held whole anywhere.
 
 Defined results: a vector that is null, or has null or non-finite components, takes no part, nor does one
 with a component beyond LARGEST once scaled or of more than LONGEST components, whose scores could leave
@@ -23,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import measured, written
 from .textbytes import tidy
 
 SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 4096
+#: Maxima of segments are broadcast if they take no more bytes than this.
+BROADCAST_BYTES = 32_000_000
 #: LONGEST products of two such numbers stay below 2**63.
 LARGEST, LONGEST = 2**26, 2047
 
@@ -104,14 +111,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             yield row()
 
     made = "dims int, ids binary, m binary"
-    candidates = dealt.mapInArrow(tidy(pack), made).select(F.xxhash64("ids", "m").alias("part"), "dims", "ids", "m")
-    queries = ints.where(F.col("id") % every == 0)
+    # A segment's part is a number of its own; both sides are written, so that it stays.
+    candidates = written(dealt.mapInArrow(tidy(pack), made).select(F.monotonically_increasing_id().alias("part"), "dims", "ids", "m"), "topk-segments")
     blocks = max(1, -(-total // (every * QUERY_BLOCK)))
-    asked = queries.repartitionByRange(blocks, *order).mapInArrow(tidy(pack), made).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    # Each block of queries meets each segment: rows of a block and a segment, one pair a row.
-    spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-    placed = candidates.withColumn("slot", F.expr(f"pmod(part, {segments})").cast("int"))
-    pairs = spread.join(placed, "slot")
+    asked = ints.where(F.col("id") % every == 0).repartitionByRange(blocks, *order).mapInArrow(tidy(pack), made)
+    asked = written(asked.select(F.monotonically_increasing_id().alias("block"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), "topk-queries")
+
+    def maxima(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = np.frombuffer(r["m"], kind).reshape(-1, r["dims"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["part"]]), pa.array([m.max(0).tobytes()], pa.binary()), pa.array([m.min(0).tobytes()], pa.binary())], names=["part", "high", "low"])
+
+    tops, bytes_ = measured(candidates.mapInArrow(tidy(maxima), "part long, high binary, low binary"), "topk-maxima", "high")
 
     def score(batches):
         for batch in batches:
@@ -122,6 +134,60 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 a, b, s = search_segment(qid, q, cid, c, k)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": a, "vec_id": b, "score": s}), preserve_index=False)
 
-    found = pairs.select("q_ids", "q_dims", "q_m", "ids", "dims", "m").repartition(max(1, segments * blocks), F.xxhash64("q_ids", "ids", "m")).mapInArrow(tidy(score), "query_id long, vec_id long, score long")
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Scores of pairs, each some queries and the part of a segment that they visit."""
+        met = pairs.join(candidates, "part").select("part", "q_ids", "q_dims", "q_m", "ids", "dims", "m")
+        return met.repartition(max(1, segments * blocks), F.xxhash64("part", "q_ids")).drop("part").mapInArrow(tidy(score), "query_id long, vec_id long, score long")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if 2 * bytes_ > BROADCAST_BYTES:
+        # Each block of queries is sent to each slot, and so to every segment that is dealt there.
+        placed = candidates.select("part", F.expr(f"pmod(xxhash64(part), {segments})").alias("slot"))
+        spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))))
+        return top(scored(spread.join(placed, "slot").select("part", "q_ids", "q_dims", "q_m")))
+    rows = tops.collect()  # within BROADCAST_BYTES
+    dims = max((len(r.high) // 8 for r in rows), default=0)
+    # Dimensions that a segment lacks are zero.
+    wide = lambda blobs: np.array([np.pad(np.frombuffer(x, np.int64), (0, dims - len(x) // 8)) for x in blobs], np.float64).reshape(len(rows), dims)
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.part for r in rows], np.int64), wide([r.high for r in rows]), wide([r.low for r in rows])))
+
+    def visits(first: bool):
+        """For each part the queries that visit it: in the first round those whose best it is, then those of whom it can beat the k-th score."""
+
+        def run(batches):
+            part, high, low = sent.value
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ids = np.frombuffer(r["q_ids"], np.int64)
+                    own = np.frombuffer(r["q_m"], kind).reshape(len(ids), r["q_dims"])
+                    q = np.pad(own.astype(np.float64), ((0, 0), (0, max(0, dims - r["q_dims"]))))[:, :dims]
+                    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    # What doubles may lose of sums of up to LONGEST products is far less than this.
+                    bound += (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T) * 1e-9 + 1
+                    go, lead = np.zeros(bound.shape, bool), (np.arange(len(ids)), bound.argmax(1))
+                    if not first:
+                        least = {x["query_id"]: x["kth"] for x in r["kth"]}
+                        go = bound >= np.array([least.get(i, -np.inf) for i in ids.tolist()], np.float64)[:, None]
+                    go[lead] = first
+                    for j in np.flatnonzero(go.any(0)):
+                        i = np.flatnonzero(go[:, j])
+                        yield pa.RecordBatch.from_arrays([pa.array([part[j]]), pa.array([ids[i].tobytes()], pa.binary()), pa.array([r["q_dims"]], pa.int32()), pa.array([own[i].tobytes()], pa.binary())], names=["part", "q_ids", "q_dims", "q_m"])
+
+        return tidy(run)
+
+    visit = "part long, q_ids binary, q_dims int, q_m binary"
+    lead = written(top(scored(asked.mapInArrow(visits(True), visit))), "topk-first")
+    # Each block of queries gets its queries' k-th scores; one that has found fewer than k has none to reach.
+    kth = lead.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+
+    def listed(batches):
+        for batch in batches:
+            for block, x in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                ids = np.unique(np.frombuffer(x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids)], names=["block", "query_id"])
+
+    known = asked.select("block", "q_ids").mapInArrow(tidy(listed), "block long, query_id long").join(kth, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("kth"))
+    again = asked.join(known, "block", "left").select("q_ids", "q_dims", "q_m", F.coalesce("kth", F.array().cast("array<struct<query_id:bigint,kth:double>>")).alias("kth"))
+    rest = scored(again.mapInArrow(visits(False), visit))
+    return top(lead.select("query_id", "vec_id", "score").unionByName(rest))

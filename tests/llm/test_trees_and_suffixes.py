@@ -247,3 +247,24 @@ def test_top_k_of_large_components(spark):
         scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:3]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert sorted(tuple(r) for r in got) == want and max(abs(r[3]) for r in want) > 2**52
+
+
+def test_top_k_visits_no_segment_that_cannot_win(spark, monkeypatch):
+    """Small segments, clustered vectors, repeated ids and ties: results of the plain search, and of searching every pair."""
+    from citeforge.llm import topk
+
+    monkeypatch.setattr(topk, "SEGMENT", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(8 * (i // 60), 0.2, 6)]) for i in range(600)]
+    rows += [(100, rows[3][1]), (100, [0.0] * 6), (601, [1.0] * 4), (602, rows[50][1]), (603, [-9.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in ints if i % 50 == 0}):
+        found = [(-sum(a * b for a, b in zip(x, v)), i) for j, x in ints if j == q for i, v in ints if i != q]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:5])]
+    got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    assert got == want
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
