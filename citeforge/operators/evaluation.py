@@ -65,17 +65,16 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, shares: tuple[floa
     Rows stand in the order of their key's hash, so the split is at random but the same for the same rows. A row's place is what
     the 65,536 ranges of hashes before its own hold, by one aggregate, and its place within its range; so no stratum, however large,
     is put in order by one task. Null is a stratum of its own."""
-    digest = F.md5(F.col(key).cast("string"))
-    placed = rows.withColumn("_h", digest).withColumn("_bucket", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    held = placed.groupBy(F.col(stratum).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_c"))
+    # The rows' own columns go in a struct, so that none of their names can clash with ours.
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("k"), F.col(stratum).alias("s"), F.md5(F.col(key).cast("string")).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
+    held = placed.groupBy(F.col("s").alias("of"), F.col("bucket").alias("b")).agg(F.count("*").alias("c"))
     # At most 65,536 rows a stratum.
-    upto = Window.partitionBy("_s").orderBy("_b")
-    held = held.select("_s", "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
-    inside = Window.partitionBy("_s", "_b").orderBy("_h", key)
-    ranked = placed.join(held, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-    first, second = (F.bround(F.col("_n") * F.lit(x)) for x in shares)
-    split = F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= first + second, "validation").otherwise("test")
-    return ranked.select(*rows.columns, split.alias("split"))
+    held = held.select("of", "b", (F.sum("c").over(Window.partitionBy("of").orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("of")).alias("n"))
+    inside = Window.partitionBy("s", "bucket").orderBy("h", "k")
+    ranked = placed.join(held, F.col("s").eqNullSafe(F.col("of")) & (F.col("bucket").eqNullSafe(F.col("b")))).withColumn("rank", F.col("before") + F.row_number().over(inside))
+    first, second = (F.bround(F.col("n") * F.lit(x)) for x in shares)
+    split = F.when(F.col("rank") <= first, "train").when(F.col("rank") <= first + second, "validation").otherwise("test")
+    return ranked.select("row.*", split.alias("split"))
 
 
 def split_audit(rows: DataFrame, key: str) -> DataFrame:
