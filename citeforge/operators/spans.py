@@ -1,6 +1,7 @@
 """Citations in a text by a table of patterns: the first pattern to claim a span owns it.
 
-Each pattern runs over the text once. Spans that are taken are marked byte by character, so whether a new one
+No pattern runs over the whole text: one that begins with a bracket or a caret is tried where these stand, one that begins
+with names between what names can't hold and the year in brackets behind them. Spans that are taken are marked byte by character, so whether a new one
 overlaps is one search within its own length; where lines begin, and where a line warns that what follows is no
 citation, is found once a text. The work grows with the text and not with the square of its citations.
 """
@@ -13,12 +14,63 @@ from collections.abc import Iterator
 
 from ..functions import occurrence_patterns as P
 
-#: A pattern needs its opening character in the text; equal patterns of one kind run once, for the first name.
-_NEEDS = {"doi": "10.", "url": "http"}
-_PATTERNS: list[tuple[str, str, str, re.Pattern]] = []
+#: Equal patterns of one kind run once, for the first name.
+_PATTERNS: list[tuple[str, str, re.Pattern]] = []
 for _name, _kind, _text in P.PATTERNS:
-    if not any(k == _kind and p.pattern == _text for _, k, _, p in _PATTERNS):
-        _PATTERNS.append((_name, _kind, _NEEDS.get(_name, "^" if "superscript" in _name else ""), re.compile(_text)))
+    if not any(k == _kind and p.pattern == _text for _, k, p in _PATTERNS):
+        _PATTERNS.append((_name, _kind, re.compile(_text)))
+#: Patterns that begin with names, and what ends them.
+_YEAR_AFTER = re.compile(r"\s[(\[](?:(?:18|19|20)\d\d|n)|et\s+al\.\s+(?:18|19|20)\d\d")
+_ENDS = {"apa_intext_narrative": _YEAR_AFTER, "harvard_narrative": re.compile(r"\s\(\d{4}"), "vancouver_narrative": re.compile(r"\s\(\d{4}"), "mla_intext_narrative": re.compile(r"\s\(pp?\.")}
+#: What names and what joins them can't hold: a full stop only stands behind "et al." and "và cs.".
+_BARRIER = re.compile(r"(?<!al)(?<!cs)(?<! l)\.|[;:!?\"“”()\[\]{}]")
+_CLOSE = re.compile(r"[)\]]")
+
+
+def _before(text: str, at: int, least: int) -> int:
+    """Where names that end at ``at`` can begin at the earliest, not before least."""
+    reach = 200
+    while True:
+        lo = max(least, at - reach)
+        last = None
+        for last in _BARRIER.finditer(text, lo, at):
+            pass
+        if last or lo == least:
+            return last.end() if last else lo
+        reach *= 4
+
+
+def _matches(name: str, pattern: re.Pattern, text: str, opening: list[int], carets: list[int]) -> Iterator[re.Match]:
+    """What pattern.finditer(text) gives."""
+    if name in ("doi", "url"):
+        if ("10." if name == "doi" else "http") in text:
+            yield from pattern.finditer(text)
+        return
+    end = 0
+    if name in _ENDS:
+        for hit in _ENDS[name].finditer(text):
+            if hit.end() <= end:
+                continue
+            close = _CLOSE.search(text, hit.end())
+            for m in pattern.finditer(text, _before(text, hit.start(), end), max(hit.end() + 2, close.end() if close else len(text))):
+                yield m
+                end = m.end()
+    elif name == "acs_author_superscript":
+        for at in carets:
+            lo = at
+            while lo > end and text[lo - 1].isalpha():
+                lo -= 1
+            m = pattern.search(text, lo)
+            if m and m.start() < at:
+                yield m
+                end = m.end()
+    else:
+        for at in carets if "superscript" in name else opening:
+            if at >= end and (m := pattern.match(text, at)):
+                yield m
+                end = m.end()
+
+
 _RULES = {n: re.compile(getattr(P, n)) for n in dir(P) if n.isupper() and isinstance(getattr(P, n), str) and n not in ("UPPER", "NOT_A_NAME", "AUTHOR", "BODY", "YEAR", "PAGES", "SUPERSCRIPT", "PAGE_AFTER", "TWO_NAMES", "NAME_YEAR", "NOT_BEFORE_YEAR", "NOT_BEFORE_YEAR_CHICAGO", "NOT_BEFORE_PAGE", "SURNAME")}
 _QUOTES = "\"“”'‘’"
 
@@ -105,11 +157,9 @@ def find_spans(text: str | None) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, raw, pattern, kind) of the citations of a text, pattern by pattern."""
     text = text or ""
     lines, taken, seen = _Lines(text), bytearray(len(text)), set()
-    opening = any(c in text for c in "([")
-    for name, kind, needs, pattern in _PATTERNS:
-        if (needs and needs not in text) or (not needs and not opening and name != "apa_intext_narrative"):
-            continue
-        for m in pattern.finditer(text):
+    opening, carets = ([m.start() for m in re.finditer(c, text)] for c in (r"[(\[]", r"\^"))
+    for name, kind, pattern in _PATTERNS:
+        for m in _matches(name, pattern, text, opening, carets):
             a, b = m.span()
             raw = re.sub(r"\s+", " ", m.group(0)).strip()
             if len(raw) > P.LONGEST or _RULES["BARE_YEAR"].match(raw) or (a, b) in seen or taken.find(1, a, b) >= 0:
