@@ -49,9 +49,10 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(_DOT), F.lit(".")))), lambda p: F.length(p) >= SENTENCE_LEAST)
 
 
-def windows(text: Column) -> Column:
-    """struct(place, passage, words): two sentences on end each, none that is an entry of a reference list; no text with a table of contents has any."""
-    s = sentences(text)
+def windows(text: Column, s: Column) -> Column:
+    """struct(place, passage): two of a text's sentences s on end each, none that is an entry of a reference list; no text with a table of contents has any.
+
+    s has to be a column that is made once, not an expression, which would be made again for each window."""
     two = F.transform(s, lambda p, i: F.struct(i.cast("int").alias("place"), F.trim(F.array_join(F.slice(s, i + 1, 2), " ")).alias("passage")))
     entry = lambda p: p.rlike(ENTRY) | F.lower(p).rlike("|".join(re.escape(m) for m in ENTRY_MARKS))
     kept = F.filter(two, lambda w: (F.length(w["passage"]) >= WINDOW_LEAST) & ~entry(w["passage"]))
@@ -132,5 +133,6 @@ def discover(texts: DataFrame, references: DataFrame, cues: dict[str, str] | Non
                 out.append(got)
             yield pd.Series(out)
 
-    met = texts.select("doc_id", "text").join(own, "doc_id").select("doc_id", windows(F.col("text")).alias("windows"), "refs")
+    met = texts.select("doc_id", "text").join(own, "doc_id").withColumn("sentences", sentences(F.col("text")))
+    met = met.select("doc_id", windows(F.col("text"), F.col("sentences")).alias("windows"), "refs")
     return met.select("doc_id", F.explode(probe("windows", "refs")).alias("f")).select("doc_id", "f.*")

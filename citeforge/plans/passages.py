@@ -166,6 +166,6 @@ ORACLE_SQL = {
         h AS (SELECT a.doc_id, ref, place, passage, asked, words, len(list_intersect(topic, words)) * 2.0 + len(list_intersect(names, words)) * 3.0 + {_CUE} AS hit FROM a JOIN k USING (doc_id)
             WHERE NOT (length(start) >= 12 AND contains(lower(passage), start) AND (length(start) >= 24 OR regexp_matches(lower(passage), '\b(?:19|20)\d{{2}}\b')))),
         b AS (SELECT *, round(hit + least(length(passage), 260) / 300.0, 9) AS hits FROM h WHERE hit > 0),
-        e AS (SELECT *, len(list_intersect(asked, words)) / len(asked) AS share FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY hits DESC, place) <= 8)
+        e AS (SELECT *, CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, words)) / len(asked) ELSE 0 END AS share FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY hits DESC, place) <= 8)
         SELECT doc_id, ref, CAST(place AS INTEGER) AS place, md5(passage) AS passage, CAST(round(hits, 6) AS DOUBLE) AS hits, round(share, 6) AS similarity FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY share DESC, hits DESC, place) = 1""",
 }
