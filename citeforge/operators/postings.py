@@ -12,21 +12,24 @@ one row or task.
 
 Weights: idf is ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; scores are sums over words of millionths, rounded. Ids are
 whole numbers, unique in the index; rows that repeat one in a segment are one document together. Null texts have no word.
-A query without words finds nothing. Words are not stemmed unless ``words`` does so.
+A query without words finds nothing; a document without id is left out. Words are not stemmed unless ``words`` does so.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-BUCKETS, BLOCK = 32, 2048
+BUCKETS, BLOCK = 32, 4096
 #: Words of queries are broadcast to the index if they are no more than this, else both sides are shuffled.
 BROADCAST_WORDS = 200_000
-_ROWS = "word string, segment string, block int, n int, most int, shortest int, ids array<bigint>, tfs array<int>, lens array<int>, bucket int"
+_ROWS = "word string, segment string, block bigint, n int, most int, shortest int, ids array<bigint>, tfs array<int>, lens array<int>, bucket int"
 _SIZES = "segment string, docs bigint, words bigint"
 
 
@@ -35,19 +38,53 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, words) sorted by block and id as postings of each block; rows of one id are one document."""
+    names = ["word", "block", "n", "most", "shortest", "ids", "tfs", "lens"]
+
+    def packed(block: int, docs: list[tuple[int, Counter]]) -> Iterator[pa.RecordBatch]:
+        lists: dict[str, tuple[list, list, list]] = {}
+        for id_, counts in docs:
+            length = counts.total()
+            for word, tf in counts.items():
+                ids, tfs, lens = lists.setdefault(word, ([], [], []))
+                ids.append(id_)
+                tfs.append(tf)
+                lens.append(length)
+        keys = sorted(lists)
+        for lo in range(0, len(keys), 5000):
+            part = keys[lo : lo + 5000]
+            got = [lists[w] for w in part]
+            cols = [part, [block] * len(part), [len(g[0]) for g in got], [max(g[1]) for g in got], [min(g[2]) for g in got], *([g[i] for g in got] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=names)
+
+    block, docs = None, []
+    for batch in batches:
+        for b, id_, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if docs and b != block:
+                yield from packed(block, docs)
+                docs = []
+            block = b
+            if docs and docs[-1][0] == id_:
+                docs[-1][1].update(words)
+            else:
+                docs.append((id_, Counter(words)))
+    if docs:
+        yield from packed(block, docs)
+
+
 def add(docs: DataFrame, path: str, words=words_of, block: int = BLOCK, buckets: int = BUCKETS) -> None:
-    """Writes docs (id, text) as a new segment of the index at path."""
-    split = docs.select(F.col("id").cast("bigint").alias("id"), words(F.col("text")).alias("words"))
-    # One row a document and word; dealt by id, so that a document's length needs no further shuffle.
-    counted = split.repartition("id").select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count("*").cast("int").alias("tf"))
-    sized = counted.withColumn("len", F.sum("tf").over(Window.partitionBy("id")).cast("int"))
-    blocks = max(1, -(-docs.count() // block))
-    placed = sized.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})").cast("int"))
-    rows = placed.groupBy("word", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("entries"))
+    """Writes docs (id, text) as a new segment of the index at path.
+
+    A block is a range of ids; its documents meet in one task, which makes its postings whole. Those are dealt by the bucket of
+    their word and written; texts are shuffled once, and postings once, as arrays."""
+    split = docs.select(F.floor(F.col("id").cast("bigint") / block).alias("block"), F.col("id").cast("bigint").alias("id"), words(F.col("text")).alias("words"))
+    made = "word string, block bigint, n int, most int, shortest int, ids array<bigint>, tfs array<int>, lens array<int>"
+    rows = split.where("id is not null").repartition("block").sortWithinPartitions("block", "id").mapInArrow(_postings, made)
     segment = uuid.uuid4().hex
-    out = rows.select("word", F.lit(segment).alias("segment"), "block", "n", "most", "shortest", F.col("entries.id").alias("ids"), F.col("entries.tf").alias("tfs"), F.col("entries.len").alias("lens"), F.expr(f"pmod(xxhash64(word), {buckets})").cast("int").alias("bucket"))
-    out.repartition("bucket", "block").sortWithinPartitions("bucket", "word", "block").write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-    sizes = split.agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"))
+    out = rows.select("word", F.lit(segment).alias("segment"), "block", "n", "most", "shortest", "ids", "tfs", "lens", F.expr(f"pmod(xxhash64(word), {buckets})").cast("int").alias("bucket"))
+    out.repartition("bucket", F.expr("pmod(xxhash64(word), 8)")).sortWithinPartitions("bucket", "word", "block").write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
+    sizes = docs.select(F.col("id").cast("bigint").alias("id"), F.size(words(F.col("text"))).alias("n")).agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     sizes.select(F.lit(segment).alias("segment"), "docs", "words").coalesce(1).write.mode("append").parquet(f"{path}/sizes")
 
 
