@@ -2,7 +2,7 @@
 
 A hidden list is the run of lines of greatest sum, entries counting for and prose against it, from running sums over the
 lines of texts that have enough entries at all; only counts of lines are shuffled. A list's best cut is found by dynamic
-programming over all cuts in one ordered fold inside the row, the state being how many years the entry has so far.
+programming over all cuts in one ordered fold over a list's lines, the state being how many years the entry has so far.
 
 Defined results: a null or empty text has no list and no entries; a list of one line is one entry; of equal cuts the one
 with fewer entries, then the one that cuts later; of equal runs the one that ends first, then the shorter one.
@@ -10,8 +10,10 @@ with fewer entries, then the one that cuts later; of equal runs the one that end
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Lines that begin like an entry of a numbered list, and prose.
 BRACKET_LINE = r"^\s*\[\d+\](?:\s+\S|\s*$)"
@@ -42,10 +44,11 @@ def implicit_lists(texts: DataFrame) -> DataFrame:
     Lines count from 0. A line is an entry's if it begins with a number in brackets, or with one and a full stop that
     goes on from the numbered line before or leads to the next one. Without three lines in brackets three years are
     needed; texts without such a run give no row."""
-    # Only texts with three such lines go on, and of their lines no more than what they are.
-    lines = lines_of(F.col("text"))
-    likely = F.size(F.filter(lines, lambda x: x.rlike(BRACKET_LINE) | x.rlike(DOT_LINE))) >= LEAST_ENTRIES
-    each = texts.where(likely).select("doc_id", F.size(lines).alias("of"), F.posexplode(lines).alias("line", "x")).where("line >= of DIV 2")
+    # Only texts with three such lines go on, and of their lines no more than what they are. No filter on the texts, which would
+    # take what they are made of apart and make it again for each reference.
+    lines = texts.select("doc_id", lines_of(F.col("text")).alias("lines"))
+    likely = F.size(F.filter("lines", lambda x: x.rlike(BRACKET_LINE) | x.rlike(DOT_LINE))) >= LEAST_ENTRIES
+    each = lines.select("doc_id", F.size("lines").alias("of"), F.posexplode(F.when(likely, F.col("lines"))).alias("line", "x")).where("line >= of DIV 2")
     years = F.size(F.regexp_extract_all("x", F.lit(f"({YEAR})"), F.lit(1)))
     t = each.select("doc_id", "line", F.col("x").rlike(BRACKET_LINE).alias("bracket"), F.when(F.col("x").rlike(DOT_LINE), F.regexp_extract("x", DOT_LINE, 1).try_cast("int")).alias("number"), F.col("x").rlike(PROSE_LINE).alias("prose"), years.alias("years"))
     ordered = Window.partitionBy("doc_id").orderBy("line")
@@ -78,22 +81,33 @@ def _features(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct(starts(x).alias("s"), years(x).alias("y"), ends(F.coalesce(F.get(lines, i - 1), F.lit(""))).alias("e")))
 
 
-def best_cut(lines: Column) -> Column:
-    """For each line "1" if an entry begins with it, else "0", as one string: the cut of greatest score."""
-    gain = lambda y: F.element_at(F.array(*[F.lit(g) for g in YEARS]), y + 1)
-    none = F.array().cast("array<struct<score:int,n:int,cuts:string,y:int>>")
-    state = lambda score, n, cuts, y: F.struct(score.cast("int").alias("score"), n.cast("int").alias("n"), cuts.alias("cuts"), y.cast("int").alias("y"))
+def _cut(lines: list[dict]) -> str:
+    """The fold over a list's lines: of each number of years so far the best (score, -entries, cuts), until the last line."""
+    states: dict[int, tuple[int, int, str]] = {}
+    for f in lines:
+        closed = max(((score + YEARS[y], n, cuts) for y, (score, n, cuts) in states.items()), default=None)
+        after: dict[int, tuple[int, int, str]] = {}
+        for y, (score, n, cuts) in states.items():
+            on = (score, n, cuts + "0")
+            y = min(3, y + f["y"])
+            after[y] = max(after[y], on) if y in after else on
+        anew = (f["s"], -1, "1") if closed is None else (closed[0] + f["e"] + f["s"], closed[1] - 1, closed[2] + "1")
+        after[f["y"]] = max(after[f["y"]], anew) if f["y"] in after else anew
+        states = after
+    return max(((score + YEARS[y], n, cuts) for y, (score, n, cuts) in states.items()), default=(0, 0, ""))[2]
+
+
+@F.pandas_udf(StringType())
+def _cuts(features: pd.Series) -> pd.Series:
+    return features.map(lambda x: None if x is None else _cut(list(x)))
 
-    def step(states, f):
-        on = F.transform(states, lambda s: state(s["score"], s["n"], F.concat(s["cuts"], F.lit("0")), F.least(s["y"] + f["y"], F.lit(3))))
-        closed = F.array_max(F.transform(states, lambda s: F.struct((s["score"] + gain(s["y"])).alias("score"), s["n"].alias("n"), s["cuts"].alias("cuts"))))
-        anew = F.when(closed.isNull(), state(f["s"], F.lit(-1), F.lit("1"), f["y"])).otherwise(state(closed["score"] + f["e"] + f["s"], closed["n"] - 1, F.concat(closed["cuts"], F.lit("1")), f["y"]))
-        every = F.concat(on, F.array(anew))
-        # Of each number of years the best way there.
-        return F.filter(F.transform(F.array(*[F.lit(y) for y in range(4)]), lambda y: F.array_max(F.filter(every, lambda s: s["y"] == y))), lambda s: s.isNotNull())
 
-    last = F.aggregate(_features(lines), none, step)
-    return F.array_max(F.transform(last, lambda s: F.struct((s["score"] + gain(s["y"])).alias("score"), s["n"].alias("n"), s["cuts"].alias("cuts"))))["cuts"]
+def best_cut(lines: Column) -> Column:
+    """For each line "1" if an entry begins with it, else "0", as one string: the cut of greatest score.
+
+    What lines look like are column expressions; the fold itself is small and goes over Arrow batches, since nested
+    expressions would be evaluated many times a line."""
+    return _cuts(_features(lines))
 
 
 def joined(parts: Column) -> Column:
@@ -104,7 +118,7 @@ def joined(parts: Column) -> Column:
 
 def unmarked_entries(texts: DataFrame, least: int = 20) -> DataFrame:
     """(doc_id, entry, raw): the entries, from 0 on, of each list (doc_id, text) without markers that are longer than ``least`` characters."""
-    t = texts.select("doc_id", list_lines(F.col("text")).alias("lines")).where("size(lines) > 0").withColumn("cuts", best_cut(F.col("lines")))
+    t = texts.select("doc_id", list_lines(F.col("text")).alias("lines")).withColumn("cuts", best_cut(F.col("lines")))
     t = t.withColumn("first", F.filter(F.transform(F.split("cuts", ""), lambda c, i: F.when(c == "1", i + 1)), lambda i: i.isNotNull()))
     t = t.withColumn("raw", F.transform("first", lambda i, k: joined(F.slice("lines", i, F.coalesce(F.get(F.col("first"), k + 1), F.size("lines") + 1) - i))))
     return t.select("doc_id", F.posexplode(F.filter("raw", lambda e: F.length(e) > least)).alias("entry", "raw"))
