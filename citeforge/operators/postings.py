@@ -78,13 +78,14 @@ def add(docs: DataFrame, path: str, words=words_of, block: int = BLOCK, buckets:
 
     A block is a range of ids; its documents meet in one task, which makes its postings whole. Those are dealt by the bucket of
     their word and written; texts are shuffled once, and postings once, as arrays."""
-    split = docs.select(F.floor(F.col("id").cast("bigint") / block).alias("block"), F.col("id").cast("bigint").alias("id"), words(F.col("text")).alias("words"))
+    # Texts are shuffled, not their words, which take three times the bytes.
+    dealt = docs.where("id is not null").select(F.floor(F.col("id").cast("bigint") / block).alias("block"), F.col("id").cast("bigint").alias("id"), "text").repartition("block").sortWithinPartitions("block", "id")
     made = "word string, block bigint, n int, most int, shortest int, ids array<bigint>, tfs array<int>, lens array<int>"
-    rows = split.where("id is not null").repartition("block").sortWithinPartitions("block", "id").mapInArrow(_postings, made)
+    rows = dealt.select("block", "id", words(F.col("text")).alias("words")).mapInArrow(_postings, made)
     segment = uuid.uuid4().hex
     out = rows.select("word", F.lit(segment).alias("segment"), "block", "n", "most", "shortest", "ids", "tfs", "lens", F.expr(f"pmod(xxhash64(word), {buckets})").cast("int").alias("bucket"))
     out.repartition("bucket", F.expr("pmod(xxhash64(word), 8)")).sortWithinPartitions("bucket", "word", "block").write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-    sizes = docs.select(F.col("id").cast("bigint").alias("id"), F.size(words(F.col("text"))).alias("n")).agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    sizes = docs.where("id is not null").select(F.col("id").cast("bigint").alias("id"), F.size(words(F.col("text"))).alias("n")).agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     sizes.select(F.lit(segment).alias("segment"), "docs", "words").coalesce(1).write.mode("append").parquet(f"{path}/sizes")
 
 
