@@ -67,8 +67,11 @@ def acronyms(texts: DataFrame) -> DataFrame:
     n = F.length("acronym")
     last = F.slice(main, F.greatest(F.size(main) - n + 1, F.lit(1)), n)
     agree = F.upper(F.array_join(F.transform(last, lambda w: F.substring(w, 1, 1)), "")) == F.col("acronym")
-    name = F.when(F.size(main) <= n, F.regexp_replace(F.lower("name"), r"^the\s+", "")).otherwise(F.lower(F.array_join(last, " ")))
-    return each.where(agree).select("doc_id", name.alias("name"), F.lower("acronym").alias("acronym")).distinct()
+    # Small words in front may be the name's own ("De La Salle University") or the sentence's ("On The World Health Organization"): both are learned.
+    whole = F.regexp_replace(F.lower("name"), r"^the\s+", "")
+    bare = F.regexp_replace(F.lower("name"), rf"^(?:(?:{'|'.join(SMALL_WORDS)})\s+)+", "")
+    names = F.when(F.size(main) <= n, F.array(whole, bare)).otherwise(F.array(F.lower(F.array_join(last, " "))))
+    return each.where(agree).select("doc_id", F.explode(F.array_distinct(names)).alias("name"), F.lower("acronym").alias("acronym")).distinct()
 
 
 def with_acronyms(references: DataFrame, learned: DataFrame) -> DataFrame:
