@@ -64,8 +64,9 @@ def _words(text: str | None) -> list[str]:
     return list(dict.fromkeys(re.findall(WORD, (text or "").lower())))
 
 
-def _passage(ref, places, passages: list[str], index: dict[str, list[int]], cues: list[tuple[str, list[str]]]):
-    """(place, passage, hits, similarity) of a reference, or None."""
+def _passage(ref, places, passages: list[str], index: dict[str, list[int]], cues: list[tuple[str, list[str]]], lows: list[str] | None = None):
+    """(place, passage, hits, similarity) of a reference, or None. lows: the passages in lower case, if they are known."""
+    lows = [p.lower() for p in passages] if lows is None else lows
     title = [w for w in _words(ref["title"]) if w not in COMMON]
     names = {re.sub(r"[^a-zA-ZÀ-ỹ]", "", a.split(",")[0].split()[0]).lower() for a in ref["authors"] if a and len(a.strip()) >= 3 and a.split(",")[0].split()}
     source = f"{ref['title']} {ref['abstract'] or ''}".lower()
@@ -76,11 +77,14 @@ def _passage(ref, places, passages: list[str], index: dict[str, list[int]], cues
         weight[w] = weight.get(w, 0.0) + AUTHOR_WEIGHT
     lists = [(w, index[w]) for w in sorted(weight, key=lambda w: (len(index.get(w, ())), w)) if w in index]
     hits: dict[int, float] = {}
+    # Windows that hold the title are out from the start: those that are counted as sure to win have to be able to.
+    head = re.sub(r"\s+", " ", ref["title"].lower().strip())[:35]
+    held = {i for i, p in enumerate(lows) if head in p and (len(head) >= 24 or _YEAR.search(p))} if len(head) >= 12 else set()
     # Phrases are looked for in whole windows; they have no lists.
     for phrase, equal in cues:
         if any(e in source for e in equal):
-            for i, p in enumerate(passages):
-                if phrase in p.lower():
+            for i, p in enumerate(lows):
+                if phrase in p and i not in held:
                     hits[i] = hits.get(i, 0.0) + CUE_WEIGHT
     left, closed = sum(weight[w] for w, _ in lists), False
     for w, rows in lists:
@@ -89,16 +93,10 @@ def _passage(ref, places, passages: list[str], index: dict[str, list[int]], cues
             sure = sorted((h + min(len(passages[i]), 260) / 300.0 for i, h in hits.items()), reverse=True)
             closed = sure[COMPARED - 1] > left + 260 / 300.0
         for i in rows:
-            if i in hits or not closed:
+            if i in hits or not closed and i not in held:
                 hits[i] = hits.get(i, 0.0) + weight[w]
         left -= weight[w]
-    head = re.sub(r"\s+", " ", ref["title"].lower().strip())[:35]
-    scored = []
-    for i, h in hits.items():
-        low = passages[i].lower()
-        if len(head) >= 12 and head in low and (len(head) >= 24 or _YEAR.search(low)):
-            continue
-        scored.append((-round(h + min(len(passages[i]), 260) / 300.0, 9), i))
+    scored = [(-round(h + min(len(passages[i]), 260) / 300.0, 9), i) for i, h in hits.items()]
     asked = set(_words(f"{ref['title']}. {(ref['abstract'] or '')[:320]}"))
     best = None
     for score, i in sorted(scored)[:COMPARED]:
@@ -122,12 +120,13 @@ def discover(texts: DataFrame, references: DataFrame, cues: dict[str, str] | Non
             for mine, asked in zip(found, refs):
                 rows = [] if mine is None else list(mine)
                 passages, index = [w["passage"] for w in rows], {}
+                lows = [p.lower() for p in passages]
                 for i, p in enumerate(passages):
                     for word in _words(p):
                         index.setdefault(word, []).append(i)
                 got = []
                 for ref in asked:
-                    hit = _passage(ref, [w["place"] for w in rows], passages, index, known) if rows else None
+                    hit = _passage(ref, [w["place"] for w in rows], passages, index, known, lows) if rows else None
                     if hit:
                         got.append({"ref": ref["ref"], "place": hit[0], "passage": hit[1], "hits": hit[2], "similarity": hit[3]})
                 out.append(got)
