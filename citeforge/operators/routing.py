@@ -31,7 +31,9 @@ def signals(title: Column, venue: Column, raw: Column, url: Column, doi: Column)
     """struct of flags: arxiv_doi, data_doi, bio_doi, arxiv, rfc, package, hub, thesis, regional, book, biomed, cs, periodical."""
     text = F.concat_ws(" ", title, venue, raw, url)
     key = F.coalesce(normalize_doi(doi), F.lit(""))
-    has = lambda p: text.rlike(f"(?iu){p}")
+    # A word goes on over any letter: Java's \w knows ASCII alone, while its \b doesn't.
+    word = r"[\p{L}\p{N}_]"
+    has = lambda p: text.rlike("(?iu)" + p.replace(r"\w", word))
     arxiv_doi = key.startswith("10.48550/arxiv")
     data = reduce(lambda a, b: a | b, [key.startswith(p) for p in DATA_DOIS]) & ~arxiv_doi
     bio = key.startswith("10.1101/")
