@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.authors import author_key
 from ..functions.identifiers import title_key
@@ -103,6 +107,19 @@ def bridge(context: Column, title: Column, abstract: Column, dictionary: dict[st
     return F.struct(cross.alias("cross"), F.when(~cross, "").when(F.size(more) == 0, own).otherwise(F.concat(own, F.lit(" ("), F.array_join(more, " "), F.lit(")"))).alias("text"))
 
 
+@F.pandas_udf(StringType())
+def to_positions(text: pd.Series) -> pd.Series:
+    """The index of words to their places, from 0 on, as JSON, of a text whose words are parted by one blank; null if it is null or empty. Rows don't meet."""
+
+    def index(x: str | None) -> str | None:
+        places: dict[str, list[int]] = {}
+        for i, word in enumerate(x.split(" ") if x else ()):
+            places.setdefault(word, []).append(i)
+        return json.dumps(places, ensure_ascii=False, separators=(",", ":")) if places else None
+
+    return text.map(index)
+
+
 def from_positions(x: Column) -> Column:
     """The text that an index of words to their places, as JSON, was made from; null if it is broken or holds none.
 
