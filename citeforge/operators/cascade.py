@@ -27,11 +27,12 @@ def link_all(occurrences: DataFrame, references: DataFrame, texts: DataFrame | N
 
     occurrences: (doc_id, pos, raw), and if known parser_id, a reference that the parser has linked, and title; references:
     (doc_id, reference_id, order_index, numeric_index, author, year, suffix, doi, title), author a surname or an organisation; texts: (doc_id, text)
-    in which acronyms are explained. An occurrence may have several links by number, or by author and year."""
+    in which acronyms are explained. An occurrence may have several links by number, or by author and year. Both tables are
+    written first, as every way reads them, and what they are made of may be dear."""
     o = occurrences.select("doc_id", "pos", "raw", *[F.col(c) for c in ("parser_id", "title") if c in occurrences.columns])
     o = o.withColumn("doi", F.lower(extract_doi(F.col("raw")))).withColumn("key", F.get(author_years(F.col("raw")), F.lit(0)))
     o = written(o.withColumn("author", F.col("key.author")).withColumn("year", F.col("key.year")).drop("key"), "cascade-occurrences")
-    r = references.withColumn("doi", F.lower(present(F.col("doi")))).withColumn("year", F.col("year").cast("string"))
+    r = written(references.withColumn("doi", F.lower(present(F.col("doi")))).withColumn("year", F.col("year").cast("string")), "cascade-references")
     named = r.select("doc_id", "reference_id", "order_index", "author", "year", "title")
     if texts is not None:
         more = with_acronyms(named, acronyms(texts)).join(named.select("doc_id", "reference_id", "title"), ["doc_id", "reference_id"])
@@ -52,9 +53,8 @@ def link_all(occurrences: DataFrame, references: DataFrame, texts: DataFrame | N
         if way is None:
             continue
         left = o if found is None else o.join(found.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti")
-        links = way(left).select("doc_id", "pos", "reference_id").distinct().withColumn("method", F.lit(name))
+        links = written(way(left).select("doc_id", "pos", "reference_id").distinct().withColumn("method", F.lit(name)), "cascade-links")
         found = links if found is None else found.unionByName(links)
-        found = written(found, "cascade-links")
     first = found.groupBy("doc_id", "pos").agg(F.min("reference_id").alias("link"))
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     again = o.select("doc_id", "pos", F.col("raw").rlike(IBID).alias("ibid")).join(first, ["doc_id", "pos"], "left").withColumn("before", F.last("link", True).over(before)).where("ibid and link is null and before is not null")

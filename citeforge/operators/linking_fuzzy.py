@@ -55,7 +55,9 @@ def by_organisation(occurrences: DataFrame, references: DataFrame) -> DataFrame:
     short = F.when(F.size(words) >= 2, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
     heads = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split(low(F.col("title")), " ")), F.lit(6))), lambda n: F.array_join(F.slice(F.split(low(F.col("title")), " "), 1, n), " "))
     keys = F.array_distinct(F.array_compact(F.concat(corporate_keys(F.col("author")), F.array(low(F.col("author")), short), heads)))
-    r = references.select("doc_id", "reference_id", "order_index", "year", F.explode(keys).alias("key"))
+    # Keys are dear, so only references of years that are asked for get any.
+    asked = references.join(o.select("doc_id", "year").distinct(), ["doc_id", "year"], "left_semi")
+    r = asked.select("doc_id", "reference_id", "order_index", "year", F.explode(keys).alias("key"))
     return _first(o.join(r, ["doc_id", "year", "key"]).withColumn("prio", F.lit(0)))
 
 

@@ -11,6 +11,7 @@ from ..operators import extraction
 from ..operators.cascade import link_all
 from ..sources.citations import CITATIONS, TEXT, citations, texts
 from ..sources.cited import CITED, MANY, cited, references
+from ..sources.store import written
 from ..sources.tables import table
 
 
@@ -59,8 +60,9 @@ def text_occurrences(spark, d):
 
 def linked_occurrences(spark, d):
     """Every citation of each text, found in it, with the references that it links to and the method that says so."""
-    found = extraction.occurrences(cited(spark, d))
-    return link_all(found.select("doc_id", "pos", "raw"), references(spark, d), cited(spark, d)).select("doc_id", "pos", "reference_id", "method")
+    whole = written(cited(spark, d), "cited")
+    found = extraction.occurrences(whole)
+    return link_all(found.select("doc_id", "pos", "raw"), references(spark, d), whole).select("doc_id", "pos", "reference_id", "method")
 
 
 def text_sections(spark, d):
