@@ -43,11 +43,21 @@ def uncited(references: DataFrame, links: DataFrame) -> DataFrame:
 def by_title(occurrences: DataFrame, references: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, pos, reference_id, score): the reference of highest Jaccard over title words, the first of equal ones.
 
-    ``words`` are distinct. Pairs come from a join on shared words, so titles without one never meet."""
-    left = occurrences.select("doc_id", "pos", F.size("words").alias("n1"), F.explode("words").alias("word"))
-    right = references.select("doc_id", "reference_id", "order_index", F.size("words").alias("n2"), F.explode("words").alias("word"))
-    pairs = left.join(right, ["doc_id", "word"]).groupBy("doc_id", "pos", "reference_id", "order_index", "n1", "n2").agg(F.count("*").alias("both"))
-    scored = pairs.withColumn("score", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).where(F.col("score") >= least)
+    ``words`` are distinct. Sets of n words as like as ``least`` share n * least of them, so also one of the first n - n * least + 1
+    of each in the order of hashes; pairs come from a join on these alone. Of a pair, bits of one mask that the other lacks are words
+    that it lacks, which rules out most of those that are not alike enough; what is left is compared by its whole sets once."""
+    size = F.size("words")
+    head = F.explode(F.slice(F.sort_array(F.transform("words", lambda w: F.xxhash64(w))), 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("head")
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
+    mask = F.aggregate("words", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))
+    left = occurrences.select("doc_id", "pos", size.alias("n1"), mask.alias("m1"), head)
+    right = references.select("doc_id", "reference_id", size.alias("n2"), mask.alias("m2"), head)
+    most = lambda n, m, other: F.col(n) - F.bit_count(F.col(m).bitwiseAND(F.bitwise_not(other)))
+    likely = F.least(most("n1", "m1", "m2"), most("n2", "m2", "m1")) >= (F.col("n1") + F.col("n2")) * (least / (1 + least)) - 1e-9
+    pairs = left.join(right, ["doc_id", "head"]).where(likely).select("doc_id", "pos", "reference_id").distinct()
+    whole = pairs.join(references.select("doc_id", "reference_id", "order_index", F.col("words").alias("theirs")), ["doc_id", "reference_id"]).join(occurrences.select("doc_id", "pos", "words"), ["doc_id", "pos"])
+    both = F.size(F.array_intersect("words", "theirs"))
+    scored = whole.select("doc_id", "pos", "reference_id", "order_index", (both / (F.size("words") + F.size("theirs") - both)).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("doc_id", "pos").agg(F.max_by(F.struct("reference_id", "score"), F.struct("score", -F.col("order_index"))).alias("best"))
     return best.select("doc_id", "pos", "best.*")
 

@@ -1,7 +1,15 @@
 """What reviews found to grow too fast: inputs read once, few rows met."""
 
+import random
+
+import duckdb
+import pytest
+
 from citeforge.operators.cascade import link_all
+from citeforge.operators.linking import by_title
 from citeforge.operators.spans import find_spans
+from citeforge.plans.matching import title_links
+from citeforge.queries import ORACLE_SQL
 from pyspark.sql import functions as F
 
 
@@ -24,6 +32,31 @@ def test_references_of_occurrences_are_made_once(spark):
     assert n.value == 3
 
 
+def test_rows_that_repeat_a_document_link_by_title_once(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest([1, 1, 2, 2])::BIGINT AS doc_id, unnest([4, 4, 3, 8])::BIGINT AS n_chars) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    keep = lambda rows: sorted((r[0], r[1], r[2], r[3]) for r in rows)
+    got = title_links(spark, str(tmp_path)).select("doc_id", "pos", "reference_id", "score").collect()
+    assert keep(got) == keep(con.execute(ORACLE_SQL["title_links"]).fetchall()) and got
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_titles_meet_as_in_a_comparison_of_all(spark, least):
+    rng = random.Random(7)
+    some = lambda: sorted(rng.sample("abcdefghijklmnop", rng.randint(1, 12)))
+    left, right = [(i % 3, i, some()) for i in range(90)], [(i % 3, i, i, some()) for i in range(90)]
+    right += [(d, 100 + p, 100 + p, w[: max(1, len(w) - p % 3)]) for d, p, w in left]
+    want = {}
+    for d, p, a in left:
+        met = [(-len(set(a) & set(b)) / len(set(a) | set(b)), o, r) for e, r, o, b in right if d == e]
+        score, _, r = min(met)
+        if -score >= least:
+            want[d, p] = (r, -score)
+    got = by_title(spark.createDataFrame(left, "doc_id int, pos int, words array<string>"), spark.createDataFrame(right, "doc_id int, reference_id int, order_index int, words array<string>"), least).collect()
+    assert {(r.doc_id, r.pos): (r.reference_id, r.score) for r in got} == want
+
+
 def test_rules_of_lines_hold_however_they_are_spelt():
     with_rule, without = "Reference: so [4] goes", "Referred: so [4] goes"
     assert not list(find_spans(with_rule)) and [x[2] for x in find_spans(without)] == ["[4]"]
