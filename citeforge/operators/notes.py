@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.characters import ascii_letters
+from ..sources.store import written
 
 # How many words of a title count, how long they have to be, and how long a title's beginning is compared.
 TITLE_WORDS, WORD_LEAST, PREFIX_LEAST, PREFIX_MOST = 5, 4, 12, 38
@@ -61,8 +62,11 @@ def full_notes(notes: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def link_notes(notes: DataFrame, references: DataFrame) -> DataFrame:
-    """(doc_id, note, reference_id, how): how is full, op_cit, supra or ibid; a full note gives a row for each work it names."""
-    full = full_notes(notes, references)
+    """(doc_id, note, reference_id, how): how is full, op_cit, supra or ibid; a full note gives a row for each work it names.
+
+    Notes, references and what each step links are written, as several steps read them, and what they are made of may be dear."""
+    notes, references = written(notes, "notes"), written(references, "note-references")
+    full = written(full_notes(notes, references), "notes-full")
     words = references.select("doc_id", "reference_id", _title_words(F.col("title")).alias("words"))
     # op. cit.: the last full note before, by author and a word of the title, or else by author alone. Askers and full
     # notes are one sequence for each key; a name of two words is asked for by its last one.
@@ -81,10 +85,10 @@ def link_notes(notes: DataFrame, references: DataFrame) -> DataFrame:
     by_word = by_author.join(named.select("doc_id", "author").distinct(), ["doc_id", "author"], "left_semi").select("doc_id", "note", "author", F.explode("said").alias("word"))
     found = last_named(named, by_author, ["author"], 0).unionByName(last_named(named.withColumn("word", F.explode("words")), by_word, ["author", "word"], 1))
     op_cit = found.groupBy("doc_id", "note").agg(F.max("best").alias("b")).select("doc_id", "note", F.col("b.reference_id").alias("reference_id"), F.lit("op_cit").alias("how"))
-    direct = full.select("doc_id", "note", "reference_id", F.lit("full").alias("how")).unionByName(op_cit)
+    direct = full.select("doc_id", "note", "reference_id", F.lit("full").alias("how")).unionByName(written(op_cit, "notes-op-cit"))
     first = direct.groupBy("doc_id", "note").agg(F.min("reference_id").alias("reference_id"))
     supra = notes.where(F.col("text").rlike(SUPRA)).select("doc_id", "note", F.regexp_extract("text", SUPRA, 1).cast("int").alias("at")).join(first.withColumnRenamed("note", "at"), ["doc_id", "at"]).where("at < note").select("doc_id", "note", "reference_id", F.lit("supra").alias("how"))
-    linked = direct.unionByName(supra)
+    linked = direct.unionByName(written(supra, "notes-supra"))
     # ibid.: the last linked note before, whatever linked it.
     ibid = notes.where(F.col("text").rlike(IBID)).select("doc_id", "note", none.alias("reference_id"), F.lit(True).alias("asks"))
     known = linked.groupBy("doc_id", "note").agg(F.min("reference_id").alias("reference_id")).withColumn("asks", F.lit(False))

@@ -7,6 +7,7 @@ import pytest
 
 from citeforge.operators.cascade import link_all
 from citeforge.operators.linking import by_title
+from citeforge.operators.notes import link_notes
 from citeforge.operators.spans import find_spans
 from citeforge.plans.matching import title_links
 from citeforge.queries import ORACLE_SQL
@@ -32,6 +33,14 @@ def test_references_of_occurrences_are_made_once(spark):
     assert n.value == 3
 
 
+def test_notes_and_references_are_made_once(spark):
+    notes, n = counted(spark.createDataFrame([(1, 1, "Jane Smith, Rivers of Europe (Press, 1999), 12."), (1, 2, "Ibid., 14."), (1, 3, "Smith, op. cit., 25."), (1, 4, "See supra note 1, at 4.")], "doc_id long, note int, text string"), "text")
+    references, m = counted(spark.createDataFrame([(1, 0, "Smith", "Rivers of Europe", None)], "doc_id long, reference_id long, author string, title string, doi string"), "title")
+    got = link_notes(notes, references).select("note", "how").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "full"), (2, "ibid"), (3, "op_cit"), (4, "supra")]
+    assert (n.value, m.value) == (4, 1)
+
+
 def test_rows_that_repeat_a_document_link_by_title_once(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT unnest([1, 1, 2, 2])::BIGINT AS doc_id, unnest([4, 4, 3, 8])::BIGINT AS n_chars) TO '{tmp_path}/documents.parquet'")
