@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from ..functions.authors import author_key
 from ..functions.identifiers import title_key
 from ..functions.normalize import normalize_doi
+from ..sources.store import written
 
 
 #: Of a pair of entries: hundredths of shared title words, and what an equal year and an equal author add; less than LEAST is no pair.
@@ -43,7 +44,9 @@ def merge_lists(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("d
     """(doc_id, left_id, right_id, fields, conflicts) of references (doc_id, reference_id, fields) that two parsers found.
 
     Entries meet by DOI, then by title, then one-to-one by what else is alike (:func:`best_pairs`); left's fields win, right's
-    fill gaps, and fields in which both have something else are named. Entries of one side alone stay."""
+    fill gaps, and fields in which both have something else are named. Entries of one side alone stay. Both lists and the pairs of
+    each step are written, as later steps read them, and what the lists are made of may be dear."""
+    left, right = written(left, "merge-left"), written(right, "merge-right")
 
     def pairs(a: DataFrame, b: DataFrame, key) -> DataFrame:
         keyed = lambda df, name: df.select("doc_id", key(df).alias("k"), F.col("reference_id").alias(name)).where("k is not null and k <> ''").groupBy("doc_id", "k").agg(F.min(name).alias(name))
@@ -52,11 +55,11 @@ def merge_lists(left: DataFrame, right: DataFrame, fields: tuple[str, ...] = ("d
     by_doi = lambda df: normalize_doi(F.col("doi"))
     by_title = lambda df: title_key(F.col("title"))
     rest = lambda df, found, name: df.join(found.select("doc_id", F.col(name).alias("reference_id")), ["doc_id", "reference_id"], "left_anti")
-    first = pairs(left, right, by_doi)
+    first = written(pairs(left, right, by_doi), "merge-doi")
     a, b = rest(left, first, "left_id"), rest(right, first, "right_id")
-    second = pairs(a, b, by_title)
+    second = written(pairs(a, b, by_title), "merge-title")
     a, b = rest(a, second, "left_id"), rest(b, second, "right_id")
-    third = best_pairs(a, b)
+    third = best_pairs(*(written(x, f"merge-rest-{side}") for x, side in ((a, "left"), (b, "right"))))
     links = first.unionByName(second).unionByName(third)
     named = lambda df, side: df.select("doc_id", F.col("reference_id").alias(f"{side}_id"), *[F.col(f).alias(f"{side}_{f}") for f in fields])
     whole = named(left, "left").join(links, ["doc_id", "left_id"], "left").join(named(right, "right"), ["doc_id", "right_id"], "full_outer")

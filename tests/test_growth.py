@@ -7,6 +7,7 @@ import pytest
 
 from citeforge.operators.cascade import link_all
 from citeforge.operators.linking import by_title
+from citeforge.operators.merging import merge_lists
 from citeforge.operators.notes import link_notes
 from citeforge.operators.spans import find_spans
 from citeforge.plans.matching import title_links
@@ -41,6 +42,15 @@ def test_notes_and_references_are_made_once(spark):
     assert (n.value, m.value) == (4, 1)
 
 
+def test_lists_of_parsers_are_made_once(spark):
+    schema = "doc_id long, reference_id long, doi string, title string, year int, venue string, author string"
+    left, n = counted(spark.createDataFrame([(1, 1, "10.1/a", "One", 2001, None, "Lee"), (1, 2, None, "Two tales", 2002, None, "Tran")], schema), "title")
+    right, m = counted(spark.createDataFrame([(1, 7, "10.1/A", "Other", 2001, "V", "Lee"), (1, 8, None, "Two tales", 2002, "V", "Tran"), (1, 9, None, "Three", 2003, "V", "Ho")], schema), "title")
+    got = merge_lists(left, right).select("left_id", "right_id").collect()
+    assert sorted(tuple(r) for r in got if r[0]) == [(1, 7), (2, 8)] and len(got) == 3
+    assert (n.value, m.value) == (2, 3)
+
+
 def test_rows_that_repeat_a_document_link_by_title_once(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT unnest([1, 1, 2, 2])::BIGINT AS doc_id, unnest([4, 4, 3, 8])::BIGINT AS n_chars) TO '{tmp_path}/documents.parquet'")
