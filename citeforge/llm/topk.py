@@ -7,10 +7,11 @@ a segment or block for a query is the sum of its term maxima.
 
 A query first visits the segment of greatest bound, in a task that holds that segment and a block of such
 queries, and takes its k-th score on. Then it visits those of the others whose bound reaches that score;
-pairs that can't reach it are never shipped. Within a segment a query scores blocks in the order of their
-bounds and stops at the first whose bound is below the k-th score so far. The segments' maxima go to all
-tasks if they take no more than BROADCAST_BYTES; beyond that every query visits every segment. So neither
-side is held whole anywhere.
+pairs that can't reach it are never shipped, nor are scores below it. Within a segment a query scores blocks in the
+order of their bounds and stops at the first whose bound is below the k-th score so far. The segments' maxima go to all
+tasks if they take no more than BROADCAST_BYTES; beyond that every query visits every segment. Queries and segments meet
+by a merge join, in TASKS tasks at most: pairs grow with the square of the input, so they are never broadcast, and each
+segment is shuffled once a round. So neither side is held whole anywhere.
 
 Defined results: a vector that is null, or has null or non-finite components, takes no part, nor does one
 with a component beyond LARGEST once scaled or of more than LONGEST components, whose scores could leave
@@ -33,6 +34,10 @@ from .textbytes import tidy
 SEGMENT, BLOCK, QUERY_BLOCK = 8192, 64, 4096
 #: Maxima of segments are broadcast if they take no more bytes than this.
 BROADCAST_BYTES = 32_000_000
+#: What the driver keeps of a stage grows with its tasks, so segments share them beyond this.
+TASKS = 1000
+#: Stands for the k-th score of a query that has fewer.
+NONE = -(2**63)
 #: LONGEST products of two such numbers stay below 2**63.
 LARGEST, LONGEST = 2**26, 2047
 
@@ -44,8 +49,8 @@ def _matrix(vectors: list[list[int]], dims: int, kind) -> np.ndarray:
     return out
 
 
-def search_segment(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
-    """(query, candidate, score) of each query's k best candidates of other ids in the segment."""
+def search_segment(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | None = None):
+    """(query, candidate, score) of each query's k best candidates of other ids in the segment, of scores not below its least."""
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     starts = np.arange(0, len(cid), BLOCK)
@@ -58,7 +63,7 @@ def search_segment(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarra
     turn = np.argsort(-bounds, axis=1, kind="stable")
     out = []
     for i in range(len(qid)):
-        best_s, best_id, kth = np.zeros(0, kind), np.zeros(0, np.int64), None
+        best_s, best_id, kth = np.zeros(0, kind), np.zeros(0, np.int64), None if least is None or least[i] == NONE else kind(least[i])
         for b in turn[i]:
             if kth is not None and bounds[i, b] < kth:
                 break
@@ -131,13 +136,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 dims = max(r["dims"], r["q_dims"])
                 qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = (np.pad(np.frombuffer(m, kind).reshape(len(i), d).astype(np.int64), ((0, 0), (0, dims - d))) for m, i, d in ((r["q_m"], qid, r["q_dims"]), (r["m"], cid, r["dims"])))
-                a, b, s = search_segment(qid, q, cid, c, k)
+                a, b, s = search_segment(qid, q, cid, c, k, np.frombuffer(r["q_least"], np.int64))
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": a, "vec_id": b, "score": s}), preserve_index=False)
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Scores of pairs, each some queries and the part of a segment that they visit."""
-        met = pairs.join(candidates, "part").select("part", "q_ids", "q_dims", "q_m", "ids", "dims", "m")
-        return met.repartition(max(1, segments * blocks), F.xxhash64("part", "q_ids")).drop("part").mapInArrow(tidy(score), "query_id long, vec_id long, score long")
+        tasks = min(segments, TASKS)
+        met = pairs.repartition(tasks, "part").hint("merge").join(candidates.repartition(tasks, "part"), "part")
+        return met.select("q_ids", "q_dims", "q_m", "q_least", "ids", "dims", "m").mapInArrow(tidy(score), "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -145,7 +151,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         # Each block of queries is sent to each slot, and so to every segment that is dealt there.
         placed = candidates.select("part", F.expr(f"pmod(xxhash64(part), {segments})").alias("slot"))
         spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))))
-        return top(scored(spread.join(placed, "slot").select("part", "q_ids", "q_dims", "q_m")))
+        none = F.udf(lambda ids: np.full(len(ids) // 8, NONE, np.int64).tobytes(), "binary")
+        return top(scored(spread.hint("merge").join(placed, "slot").select("part", "q_ids", "q_dims", "q_m", none("q_ids").alias("q_least"))))
     rows = tops.collect()  # within BROADCAST_BYTES
     dims = max((len(r.high) // 8 for r in rows), default=0)
     # Dimensions that a segment lacks are zero.
@@ -166,20 +173,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     # What doubles may lose of sums of up to LONGEST products is far less than this.
                     bound += (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T) * 1e-9 + 1
                     go, lead = np.zeros(bound.shape, bool), (np.arange(len(ids)), bound.argmax(1))
+                    least = np.full(len(ids), NONE)
                     if not first:
-                        least = {x["query_id"]: x["kth"] for x in r["kth"]}
-                        go = bound >= np.array([least.get(i, -np.inf) for i in ids.tolist()], np.float64)[:, None]
+                        known = {x["query_id"]: x["kth"] for x in r["kth"]}
+                        least = np.array([known.get(i, NONE) for i in ids.tolist()], np.int64)
+                        go = bound >= least.astype(np.float64)[:, None]
                     go[lead] = first
                     for j in np.flatnonzero(go.any(0)):
                         i = np.flatnonzero(go[:, j])
-                        yield pa.RecordBatch.from_arrays([pa.array([part[j]]), pa.array([ids[i].tobytes()], pa.binary()), pa.array([r["q_dims"]], pa.int32()), pa.array([own[i].tobytes()], pa.binary())], names=["part", "q_ids", "q_dims", "q_m"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part[j]]), pa.array([ids[i].tobytes()], pa.binary()), pa.array([r["q_dims"]], pa.int32()), pa.array([own[i].tobytes()], pa.binary()), pa.array([least[i].tobytes()], pa.binary())], names=["part", "q_ids", "q_dims", "q_m", "q_least"])
 
         return tidy(run)
 
-    visit = "part long, q_ids binary, q_dims int, q_m binary"
+    visit = "part long, q_ids binary, q_dims int, q_m binary, q_least binary"
     lead = written(top(scored(asked.mapInArrow(visits(True), visit))), "topk-first")
     # Each block of queries gets its queries' k-th scores; one that has found fewer than k has none to reach.
-    kth = lead.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+    kth = lead.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
 
     def listed(batches):
         for batch in batches:
@@ -188,6 +197,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids)], names=["block", "query_id"])
 
     known = asked.select("block", "q_ids").mapInArrow(tidy(listed), "block long, query_id long").join(kth, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("kth"))
-    again = asked.join(known, "block", "left").select("q_ids", "q_dims", "q_m", F.coalesce("kth", F.array().cast("array<struct<query_id:bigint,kth:double>>")).alias("kth"))
+    again = asked.join(known, "block", "left").select("q_ids", "q_dims", "q_m", F.coalesce("kth", F.array().cast("array<struct<query_id:bigint,kth:bigint>>")).alias("kth"))
     rest = scored(again.mapInArrow(visits(False), visit))
     return top(lead.select("query_id", "vec_id", "score").unionByName(rest))
